@@ -7,13 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid, quality
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def remainder(column: str, divisor: int):
+    """crc32 of a number as text, modulo a divisor: what deals rows to folds."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two thirds of the labelled ones."""
+    import public_tokenizers
+
+    docs = documents(spark, folder).select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
+    pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = langid.fit(docs.where("not held_out"), pieces)
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and compression bands of every document."""
+    return quality.judge(documents(spark, folder))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every whole text, and their decoding, as counts and digests."""
     import public_tokenizers
@@ -29,6 +49,8 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op4_bpe": op4_bpe,
+    "op6_quality": op6_quality,
 }
 SQL: dict[str, str] = {}

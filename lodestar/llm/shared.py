@@ -32,3 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def columns(batch, *names):
     """The named columns of an Arrow batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def iterator_udf(function, kind):
+    """A scalar iterator pandas UDF; it names the types that annotations postponed by __future__ can't carry."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    whole = isinstance(kind, str) and "," in kind or isinstance(kind, T.StructType)
+    function.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame if whole else pd.Series]}
+    return F.pandas_udf(function, kind)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality
+from . import bpe, langid, quality, toxicity
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +34,18 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(documents(spark, folder))
 
 
+def toxicity_model(spark: SparkSession, folder: str) -> dict:
+    """Learned from the labelled documents outside the held-out fifth."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").where(remainder("doc_id", 5) != 0)
+    return toxicity.fit(documents(spark, folder).select("doc_id", "text").where(remainder("doc_id", 5) != 0).join(labels, "doc_id"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = documents(spark, folder).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(docs, toxicity_model(spark, folder)).drop("text")
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every whole text, and their decoding, as counts and digests."""
     import public_tokenizers
@@ -52,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, toxicity
+from . import bpe, langid, linededup, mixing, quality, sharding, toxicity
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,11 +29,33 @@ def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight shards in two regions of two racks; a ninth would come in a region of its own."""
+    tree = sharding.Tree.balanced(8)
+    return sharding.assign(documents(spark, folder).select("doc_id", "text"), tree, tree.with_region(8))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and compression bands of every document."""
     return quality.judge(documents(spark, folder))
 
 
+def op7_linededup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the later copies of line runs of 50 words or more."""
+    return linededup.dedup(documents(spark, folder).select("doc_id", "text"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """As many rows as there are, with sources weighted by the square root of their rows."""
+    sizes = mixing.source_sizes(docs)
+    return mixing.replicate(docs, mixing.repetition_rates(sizes, mixing.temperature_weights(sizes, 0.5)))
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix: every copy with its text and its place in the global shuffle."""
+    return mixed(documents(spark, folder).select("doc_id", "source", "text"))
+
+
 def toxicity_model(spark: SparkSession, folder: str) -> dict:
     """Learned from the labelled documents outside the held-out fifth."""
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").where(remainder("doc_id", 5) != 0)
@@ -63,7 +85,10 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op4_bpe": op4_bpe,
+    "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op7_linededup": op7_linededup,
+    "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {}

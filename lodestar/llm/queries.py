@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, mixing, quality, sharding, toxicity
+from . import bpe, langid, linededup, media, mixing, quality, sharding, toxicity, warc
+from .shared import stored
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +30,14 @@ def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as ARC archives, converted to WARC archives, and read back."""
+    when = F.date_format(F.timestamp_seconds(946684800 + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(700_000_000))), "yyyyMMddHHmmss")
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", when.alias("date"), "html")
+    arc = stored(warc.write_arc(pages), "warc-arc")
+    return warc.read_warc(warc.convert(arc))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards in two regions of two racks; a ninth would come in a region of its own."""
     tree = sharding.Tree.balanced(8)
@@ -45,6 +54,15 @@ def op7_linededup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedup(documents(spark, folder).select("doc_id", "text"))
 
 
+def op8_media(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as the image in a page: properties of the stored image, and the page's items in order."""
+    found = media.columns_of_texts(documents(spark, folder))
+    image = F.filter("items", lambda i: i["kind"] == "media")[0]
+    sequence = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["position"].cast("string"), i["kind"])), ",")
+    fields = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", *[image["payload"][f].alias(f) for f in fields], image["caption"].alias("caption"), sequence.alias("sequence"))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """As many rows as there are, with sources weighted by the square root of their rows."""
     sizes = mixing.source_sizes(docs)
@@ -84,10 +102,12 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_warc": op2_warc,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_linededup": op7_linededup,
+    "op8_media": op8_media,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, media, mixing, quality, sharding, toxicity, warc
+from . import bpe, langid, linededup, media, mixing, ngram, quality, sharding, toxicity, warc
 from .shared import stored
 
 
@@ -38,6 +38,11 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_warc(warc.convert(arc))
 
 
+def op3_ngram(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components at 0.75 of five-word shingles."""
+    return ngram.near_duplicates(documents(spark, folder))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards in two regions of two racks; a ninth would come in a region of its own."""
     tree = sharding.Tree.balanced(8)
@@ -103,6 +108,7 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_warc": op2_warc,
+    "op3_ngram": op3_ngram,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,

@@ -34,7 +34,7 @@ def columns(batch, *names):
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def iterator_udf(function, kind):
+def iterator_udf(function, kind, arguments: int = 1):
     """A scalar iterator pandas UDF; it names the types that annotations postponed by __future__ can't carry."""
     from collections.abc import Iterator
 
@@ -43,5 +43,6 @@ def iterator_udf(function, kind):
     from pyspark.sql import types as T
 
     whole = isinstance(kind, str) and "," in kind or isinstance(kind, T.StructType)
-    function.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame if whole else pd.Series]}
+    taken = pd.Series if arguments == 1 else tuple[(pd.Series,) * arguments]
+    function.__annotations__ = {"batches": Iterator[taken], "return": Iterator[pd.DataFrame if whole else pd.Series]}
     return F.pandas_udf(function, kind)

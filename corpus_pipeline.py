@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestar.llm import bpe, linededup, ngram, queries, toxicity
 from lodestar.llm.shared import stored
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Without the documents that the classifier, trained on the labelled ones outside the held-out fifth, calls toxic."""
+    scored = toxicity.score(docs, queries.toxicity_model(spark, folder), score="_score", predicted="_toxic")
+    return scored.where("_toxic = 0").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Without later copies of line runs; documents of which nothing is left go, others get their new length."""
+    cut = linededup.dedup(docs, deleted="_deleted").where(F.expr("_deleted = 0 or regexp_like(text, '[^\\\\x20\\\\x09-\\\\x0D]')"))
+    return cut.withColumn("n_chars", F.when(F.col("_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest doc_id. Documents without words are no group and stay."""
+    found = ngram.near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("_later"), "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents repeated to the target weights of their sources, shuffled globally."""
+    return queries.mixed(docs).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Token ids of every document, checked by decoding: doc_id, number of tokens, the ids and the digest of the decoded bytes."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, path)
+    return decoded.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
+#: SQL expresses neither the classifier nor the encoding; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

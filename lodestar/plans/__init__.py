@@ -1 +1 @@
-
+"""Whole conversions, and what they infer."""

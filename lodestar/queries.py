@@ -5,10 +5,451 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lodestar.functions import answers, chat, prompts, statistics, text
+from lodestar.operators import annotate, cluster, enrich, jsonkeys, judge, profile, sample, split, validate
+from lodestar.operators.scratch import scratch
+from lodestar.plans import convert, infer
+from lodestar.session import table
+from lodestar.sources import files, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+CONFIG = infer.Config(data_source="documents", question="text", answer="answer", topic="lang", difficulty="n_chars", passthrough=("source",), strategy=split.Strategy("stratified", "lang"), extractor="after_hash4", prefix="documents")
+
+# Expressions that several queries share, in SQL.
+WORDS = r"regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '\.$', '')"
+MARKED = "text || ' #### ' || n_chars || '. '"
+AFTER = f"CASE WHEN regexp_matches({MARKED}, '(?s)####\\s*(.+)$') THEN {WORDS.format(f'regexp_extract({MARKED}, ' + chr(39) + '(?s)####' + chr(92) + 's*(.+)$' + chr(39) + ', 1)')} ELSE {WORDS.format(MARKED)} END"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def marked(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with an answer after a mark."""
+    return table(spark, folder, "documents").withColumn("answer", F.concat("text", F.lit(" #### "), "n_chars", F.lit(". ")))
+
+
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    """Unified records of the documents: answers extracted, a stratified split, rows numbered in it."""
+    return convert.converted({"train": marked(spark, folder)}, CONFIG, "doc_id")
+
+
+# Answers
+
+
+@query(f"SELECT doc_id, {AFTER} AS answer FROM documents")
+def extract_after_hash4(spark, folder):
+    return marked(spark, folder).select("doc_id", answers.extracted(F.col("answer"), "after_hash4").alias("answer"))
+
+
+@query(rf"SELECT doc_id, coalesce(regexp_extract_all(text, '[-+]?\d*\.?\d+')[-1], {WORDS.format('text')}) AS answer FROM documents")
+def extract_numeric(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", answers.extracted(F.col("text"), "numeric").alias("answer"))
+
+
+@query(rf"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {WORDS.format('text')} ELSE 'f(' || n_chars || ')' END AS answer FROM documents")
+def extract_boxed(spark, folder):
+    mark = F.when(F.col("doc_id") % 3 != 0, F.concat("text", F.lit(" \\boxed{f("), "n_chars", F.lit(")} \\boxed{no}"))).otherwise(F.col("text"))
+    return table(spark, folder, "documents").select("doc_id", answers.extracted(mark, "boxed").alias("answer"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '(?s)^https?://([^/]+)', 1) AS host FROM pages WHERE regexp_matches(url, '(?s)^https?://([^/]+)')")
+def extract_regex_group1(spark, folder):
+    pages = table(spark, folder, "pages").where(F.rlike("url", F.lit("^https?://([^/]+)")))
+    return pages.select("page_id", answers.extracted(F.col("url"), "regex_group1", "^https?://([^/]+)").alias("host"))
+
+
+@query(f"SELECT doc_id, {WORDS.format('text')} AS text FROM documents")
+def norm_spaces(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", answers.extracted(F.col("text"), "copy").alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace('  ' || text || E' \n', '^\s+|\s+$', '', 'g') AS stripped, regexp_replace('  ' || text || E' \n', '\s+$', '') AS right_stripped FROM documents")
+def strip(spark, folder):
+    padded = F.concat(F.lit("  "), "text", F.lit(" \n"))
+    return table(spark, folder, "documents").select("doc_id", text.strip(padded).alias("stripped"), text.rstrip(padded).alias("right_stripped"))
+
+
+@query("SELECT doc_id, TRY_CAST(CASE WHEN doc_id % 2 = 0 THEN n_chars || 'e1' ELSE lang END AS DOUBLE) AS difficulty, CASE WHEN doc_id % 2 = 0 THEN n_chars || 'e1' ELSE lang END AS difficulty_text FROM documents")
+def float_or_text(spark, folder):
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat("n_chars", F.lit("e1"))).otherwise(F.col("lang"))
+    return table(spark, folder, "documents").select("doc_id", raw.try_cast("double").alias("difficulty"), raw.alias("difficulty_text"))
+
+
+# Splits and records
+
+RANKED = "row_number() OVER (PARTITION BY {0} ORDER BY md5('2025:' || {1}), {1}) AS place, count(*) OVER (PARTITION BY {0}) AS n"
+SPLIT = "CASE WHEN place <= greatest(1, floor(n * 0.02::DOUBLE)) THEN 'val' ELSE 'train' END"
+
+
+@query(f"SELECT o_orderkey, o_orderpriority, {SPLIT} AS split FROM (SELECT *, {RANKED.format('o_orderpriority', 'o_orderkey')} FROM orders)")
+def split_stratified(spark, folder):
+    return split.stratified_split(table(spark, folder, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
+
+
+@query(f"SELECT doc_id, {SPLIT} AS split FROM (SELECT *, {RANKED.format('1', 'doc_id')} FROM documents)")
+def split_random(spark, folder):
+    return split.random_split(table(spark, folder, "documents").select("doc_id"), "doc_id")
+
+
+@query(f"SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS index FROM (SELECT doc_id, {SPLIT} AS split FROM (SELECT *, {RANKED.format('lang', 'doc_id')} FROM documents))")
+def split_index(spark, folder):
+    return split.indexed(split.stratified_split(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id", "lang"), "doc_id").select("doc_id", "split", "index")
+
+
+@query("SELECT doc_id, split FROM (SELECT doc_id, 'train' AS split FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, 'val' FROM documents WHERE doc_id % 10 = 0)")
+def split_existing(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id")
+    return split.split(docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 = 0"), "doc_id", split.Strategy("existing"))
+
+
+@query(f"SELECT split, count(*) AS n FROM (SELECT {SPLIT} AS split FROM (SELECT *, {RANKED.format('lang', 'doc_id')} FROM documents)) GROUP BY split")
+def split_sizes(spark, folder):
+    return split.stratified_split(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id", "lang").groupBy("split").agg(F.count("*").alias("n"))
+
+
+INSTRUCTION_SQL = infer.INSTRUCTION.replace("'", "''")
+
+
+@query(
+    f"""SELECT 'documents' AS data_source, 'user' AS role, regexp_replace(text, '\\s+$', '') || E'\\n\\n' || '{INSTRUCTION_SQL}' AS content, 'general' AS ability, 'rule' AS style,
+    {AFTER} AS ground_truth, split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS index, lang AS topic, n_chars::DOUBLE AS difficulty, source
+    FROM (SELECT *, {SPLIT} AS split FROM (SELECT *, {RANKED.format('lang', 'doc_id')} FROM documents))"""
+)
+def unified_records(spark, folder):
+    flat = chat.flattened(flagship(spark, folder), "reward_model", "extra_info")
+    turn = F.get("prompt", F.lit(0))
+    return flat.select(
+        "data_source", turn["role"].alias("role"), chat.first_content(F.col("prompt")).alias("content"), "ability",
+        *[F.col(f"`{p}.{c}`").alias(c) for p, c in (("reward_model", "style"), ("reward_model", "ground_truth"), *[("extra_info", x) for x in ("split", "index", "topic", "difficulty", "source")])],
+    )
+
+
+@query("SELECT * FROM (VALUES ('prompt has a turn', 0::BIGINT), ('turns are whole', 0::BIGINT)) v(rule, violations)")
+def validate_rows(spark, folder):
+    return validate.violations(flagship(spark, folder))
+
+
+@query("SELECT rule, n AS violations FROM (SELECT 'prompt has a turn' AS rule, (SELECT count(*) FROM conversations WHERE turn = 0 AND conv_id % 7 = 0) AS n UNION ALL SELECT 'turns are whole', (SELECT count(*) FROM conversations WHERE turn = 0 AND conv_id % 5 = 0 AND conv_id % 7 <> 0))")
+def validate_violations(spark, folder):
+    first = table(spark, folder, "conversations").where("turn = 0")
+    turns = F.array(F.struct("role", F.when(F.col("conv_id") % 5 != 0, F.col("text")).alias("content")))
+    records = first.select(
+        F.lit("c").alias("data_source"), F.when(F.col("conv_id") % 7 != 0, turns).otherwise(F.array().cast("array<struct<role:string,content:string>>")).alias("prompt"),
+        F.lit("general").alias("ability"), F.struct(F.lit(None).cast("string").alias("ground_truth")).alias("reward_model"), F.struct(F.lit(0).alias("index")).alias("extra_info"),
+    )
+    return validate.violations(records)
+
+
+# Samples and joins
+
+
+@query("SELECT lang, count(*) AS n, count(*) / (SELECT count(*) FROM documents)::DOUBLE AS share, round_even(count(*) / (SELECT count(*) FROM documents)::DOUBLE * 500, 0)::BIGINT AS quota FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def category_share_alloc(spark, folder):
+    return sample.allocation(table(spark, folder, "documents"), "lang")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def category_frequencies(spark, folder):
+    return sample.frequencies(table(spark, folder, "documents"), "lang")
+
+
+@query("SELECT lang, to_json(list(doc_id ORDER BY doc_id)) AS members FROM documents WHERE source = 'src1' GROUP BY lang")
+def category_members(spark, folder):
+    small = table(spark, folder, "documents").where("source = 'src1'")
+    return sample.members(small, "lang", "doc_id").withColumn("members", F.to_json("members"))
+
+
+QUOTAS = {"en": 40, "de": 20, "fr": 10, "xx": 5}
+QUOTA_SQL = "(VALUES ('en', 40), ('de', 20), ('fr', 10), ('xx', 5)) q(lang, quota)"
+
+
+@query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, quota, row_number() OVER (PARTITION BY lang ORDER BY md5('2025:' || doc_id), doc_id) AS place FROM documents JOIN {QUOTA_SQL} USING (lang)) WHERE place <= quota")
+def quota_sample(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "lang")
+    return sample.quota_sample(docs, sample.quota_table(docs, QUOTAS, "lang"), "lang", "doc_id")
+
+
+@query(
+    """WITH share AS (SELECT lang, round_even(count(*) / (SELECT count(*) FROM documents WHERE source <> 'src0')::DOUBLE * 100, 0)::BIGINT AS quota FROM documents WHERE source <> 'src0' GROUP BY lang),
+    ranked AS (SELECT doc_id, lang, quota, row_number() OVER (PARTITION BY lang ORDER BY md5('2025:' || doc_id), doc_id) AS place FROM documents JOIN share USING (lang) WHERE source <> 'src0')
+    SELECT doc_id, text, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM ranked WHERE place <= quota)"""
+)
+def proportional_sample(spark, folder):
+    return convert.proportional_sample(table(spark, folder, "documents"), "lang", "doc_id", 100, F.col("source") != "src0", ("source", "n_chars"))
+
+
+@query(f"SELECT lang, quota::BIGINT AS quota FROM {QUOTA_SQL} WHERE lang NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL)")
+def missing_quota_category(spark, folder):
+    docs = table(spark, folder, "documents")
+    return sample.missing_categories(sample.quota_table(docs, QUOTAS, "lang"), docs, "lang")
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def semi_join_selected(spark, folder):
+    return sample.full_rows(table(spark, folder, "documents").drop("text"), table(spark, folder, "labels"), "doc_id")
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def set_difference(spark, folder):
+    return sample.without(table(spark, folder, "documents").select("doc_id"), table(spark, folder, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
+def enrich_join(spark, folder):
+    return enrich.enriched(table(spark, folder, "documents").select("doc_id", "lang"), table(spark, folder, "labels"), "doc_id")
+
+
+@query("SELECT c.key, c.name AS name_x, c.c_custkey, s.name AS name_y, s.s_suppkey FROM (SELECT c_nationkey AS key, c_name AS name, c_custkey FROM customer) c JOIN (SELECT s_nationkey AS key, s_name AS name, s_suppkey FROM supplier) s USING (key)")
+def enrich_join_suffix(spark, folder):
+    left = table(spark, folder, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_name").alias("name"), "c_custkey")
+    right = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_name").alias("name"), "s_suppkey")
+    return enrich.enriched(left, right, "key")
+
+
+@query("SELECT a.key, a.doc_id, b.n FROM (SELECT CASE WHEN doc_id % 9 <> 0 THEN doc_id % 9 END AS key, doc_id FROM labels) a JOIN (SELECT key, count(*) AS n FROM (SELECT CASE WHEN doc_id % 9 <> 0 THEN doc_id % 9 END AS key FROM labels) GROUP BY key) b ON a.key IS NOT DISTINCT FROM b.key")
+def enrich_join_nullsafe(spark, folder):
+    left = table(spark, folder, "labels").select(F.when(F.col("doc_id") % 9 != 0, F.col("doc_id") % 9).alias("key"), "doc_id")
+    return enrich.enriched(left, left.groupBy("key").agg(F.count("*").alias("n")), "key", null_keys_match=True)
+
+
+@query("SELECT event_id AS job FROM events WHERE event_type = 'click' UNION ALL (SELECT DISTINCT user_id FROM events WHERE event_type = 'view')")
+def union_all_distinct_b(spark, folder):
+    events = table(spark, folder, "events")
+    return cluster.job_list(events.where("event_type = 'click'").select(F.col("event_id").alias("job")), events.where("event_type = 'view'").select(F.col("user_id").alias("job")))
+
+
+# Chat
+
+
+@query("SELECT conv_id, to_json(list({role: role, content: text} ORDER BY turn)) AS messages FROM conversations GROUP BY conv_id")
+def messages_json(spark, folder):
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    grouped = table(spark, folder, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    return grouped.select("conv_id", F.to_json(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))).alias("messages"))
+
+
+def answered(spark: SparkSession, folder: str) -> DataFrame:
+    """Question, Answer, Think and ID out of documents and labels."""
+    return labelled(spark, folder).select(F.col("doc_id").alias("ID"), F.col("lang").alias("Question"), F.col("source").alias("Answer"), F.when(F.col("quality").isNotNull(), F.concat(F.lit(" q"), "quality")).alias("Think"))
+
+
+WRAPPED = "'<think>' || coalesce('q' || quality, '') || '</think><answer>' || source || '</answer>'"
+
+
+@query(f"SELECT doc_id AS id, to_json([{{role: 'system', content: 'Be exact.'}}, {{role: 'user', content: lang}}, {{role: 'assistant', content: {WRAPPED}}}]) AS messages FROM documents LEFT JOIN labels USING (doc_id)")
+def think_answer_wrap(spark, folder):
+    made = convert.chat_table(answered(spark, folder), "Be exact.")
+    return made.withColumn("messages", F.to_json("messages"))
+
+
+@query("SELECT doc_id AS id, to_json([{role: 'user', content: lang}, {role: 'assistant', content: source}]) AS messages FROM documents")
+def plain_messages(spark, folder):
+    return convert.chat_table(answered(spark, folder), tags=False).withColumn("messages", F.to_json("messages"))
+
+
+@query("SELECT doc_id AS id, to_json([{role: 'user', content: lang}, {role: 'assistant', content: '<think>' || coalesce('q' || quality, 'nan') || '</think><answer>' || source || '</answer>'}]) AS messages FROM documents LEFT JOIN labels USING (doc_id)")
+def nan_messages(spark, folder):
+    return convert.chat_table(answered(spark, folder), nan_text=True).withColumn("messages", F.to_json("messages"))
+
+
+@query(f"SELECT doc_id AS id, to_json({{question: lang, answer: {WRAPPED}}}) AS extra_info FROM documents LEFT JOIN labels USING (doc_id)")
+def extra_info(spark, folder):
+    return convert.question_table(answered(spark, folder)).withColumn("extra_info", F.to_json("extra_info"))
+
+
+@query(f"SELECT doc_id AS id, lang AS question, {WRAPPED} AS answer FROM documents LEFT JOIN labels USING (doc_id)")
+def flatten_extra(spark, folder):
+    flat = chat.flattened(convert.question_table(answered(spark, folder)), "extra_info")
+    return flat.toDF("id", "question", "answer")
+
+
+@query("SELECT doc_id, to_json([{role: 'user', content: 'Q: ' || source || E'\\n{' || lang || '}'}]) AS prompt FROM documents")
+def prompt_template(spark, folder):
+    prompt = F.array(chat.turn("user", chat.filled("Q: {source}\n{{{lang}}}", source=F.col("source"), lang=F.col("lang"))))
+    return table(spark, folder, "documents").select("doc_id", F.to_json(prompt).alias("prompt"))
+
+
+@query("SELECT printf('doc-%06d', row_number() OVER (ORDER BY doc_id) - 1) AS id, doc_id FROM documents WHERE lang = 'en'")
+def gen_id(spark, folder):
+    kept = table(spark, folder, "documents").where("lang = 'en'").select("doc_id")
+    return split.generated_ids(kept, "doc_id", "doc").select("id", "doc_id")
+
+
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND lang <> 'es'")
+def dropna_subset(spark, folder):
+    rows = labelled(spark, folder).withColumn("lang", F.when(F.col("lang") == "es", "N/A").otherwise(F.col("lang")))
+    return validate.complete(rows.withColumn("lang", text.null_if_na(F.col("lang"))), "quality", "lang").select("doc_id", "quality")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en' AND source <> 'src1'")
+def filter_empty(spark, folder):
+    image = F.when(F.col("source") == "src1", F.lit(None)).when(F.col("lang") == "en", "").otherwise("x.png")
+    return table(spark, folder, "documents").where(image == "").select("doc_id", "lang")
+
+
+# JSON
+
+
+@query("SELECT event_id, 'k' AS key1, CASE WHEN event_id % 4 = 0 THEN 'event' ELSE '' END AS key2 FROM events")
+def jsonl_keys(spark, folder):
+    record = F.when(F.col("event_id") % 4 == 0, F.concat(F.expr("rtrim('}', props)"), F.lit(', "event": 1}'))).otherwise(F.col("props"))
+    return jsonkeys.padded(table(spark, folder, "events").select("event_id", jsonkeys.keys(record).alias("keys")), "keys")
+
+
+def verdict():
+    return F.concat(F.lit('{"correct_answer": "a'), "user_id", F.lit('", "correct": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(', "confidence": '), (F.col("event_id") % 100).cast("string"), F.lit("}"))
+
+
+@query("SELECT event_id, 'e' || event_id AS id, 'a' || user_id AS correct_answer, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS correct, (event_id % 100)::VARCHAR AS confidence FROM events WHERE event_id % 4 <> 3")
+def judge_flatten(spark, folder):
+    name = F.concat(F.lit("e"), "event_id")
+    keyed = F.concat(F.lit('{"'), name, F.lit('": {"judge_response": '), verdict(), F.lit('}, "other": 5}'))
+    listed = F.concat(F.lit('[{"'), name, F.lit('": {"judge_response": '), verdict(), F.lit("}}, 3]"))
+    plain = F.concat(F.lit('[{"id": "'), name, F.lit('", "judge_response": '), verdict(), F.lit('}, {"id": "y", "judge_response": null}]'))
+    shape = F.when(F.col("event_id") % 4 == 0, keyed).when(F.col("event_id") % 4 == 1, listed).when(F.col("event_id") % 4 == 2, plain).otherwise("{broken")
+    return judge.flattened(table(spark, folder, "events").withColumn("doc", shape), "doc", ("event_id",))
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100")
+def limit_first_100(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", "lang", "n_chars").orderBy("doc_id").limit(100)
+
+
+# Profiles
+
+
+@query("SELECT * FROM (SELECT unnest(['doc_id', 'lang', 'quality', 'toxic']) AS \"column\", unnest([avg((doc_id IS NULL)::INT), avg((lang IS NULL)::INT), avg((quality IS NULL)::INT), avg((toxic IS NULL)::INT)]) AS missing_fraction FROM documents LEFT JOIN labels USING (doc_id))")
+def missing_report(spark, folder):
+    return profile.missing_report(labelled(spark, folder), "doc_id", "lang", "quality", "toxic")
+
+
+@query("SELECT 'nation' AS \"table\", unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS \"column\", unnest(['int64', 'object', 'int64']) AS dtype, unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS example FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 1)")
+def data_dictionary(spark, folder):
+    return profile.data_dictionary(table(spark, folder, "nation"), "nation", "n_nationkey")
+
+
+T_SQL = "(1.959963984540054 + (1.959963984540054^3 + 1.959963984540054) / 4 / v + (5 * 1.959963984540054^5 + 16 * 1.959963984540054^3 + 3 * 1.959963984540054) / 96 / v^2)"
+
+
+@query(
+    f"""WITH long AS (SELECT l_returnflag, 'l_quantity' AS metric, l_quantity AS x FROM lineitem UNION ALL SELECT l_returnflag, 'l_extendedprice', l_extendedprice FROM lineitem),
+    g AS (SELECT l_returnflag, metric, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s, (count(*) - 1)::DOUBLE AS v FROM long GROUP BY ALL)
+    SELECT l_returnflag, metric, n, round(m, 2) AS mean, round(m - {T_SQL} * s / sqrt(n), 2) AS low, round(m + {T_SQL} * s / sqrt(n), 2) AS high FROM g"""
+)
+def mean_ci95(spark, folder):
+    return profile.mean_interval(table(spark, folder, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
+
+
+@query("SELECT quality, count(*) AS n, printf('%.2f%% +/- %.2f%%', 100 * avg(toxic), 100 * 1.96 * sqrt(avg(toxic) * (1 - avg(toxic)) / count(*))) AS accuracy FROM labels GROUP BY quality")
+def wald_interval(spark, folder):
+    half = statistics.wald_half(F.avg("toxic"), F.count("*"))
+    return table(spark, folder, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.format_string("%.2f%% +/- %.2f%%", 100 * F.avg("toxic"), half).alias("accuracy"))
+
+
+@query("SELECT c_custkey, round(c_acctbal * 47 / 100, 1) AS score FROM customer")
+def scaled_score(spark, folder):
+    return table(spark, folder, "customer").select("c_custkey", statistics.scaled_score(F.col("c_acctbal"), 47).alias("score"))
+
+
+@query("SELECT o_orderkey, floor(96 / 24)::BIGINT AS accumulation, floor(o_orderkey / 96.0::DOUBLE * 2)::BIGINT AS steps, floor(floor(o_orderkey / 96.0::DOUBLE * 2) / 50)::BIGINT AS saves, floor(floor(o_orderkey / 96.0::DOUBLE * 2) / 20)::BIGINT AS evaluations FROM orders")
+def training_plan(spark, folder):
+    plan = statistics.training_plan(F.col("o_orderkey"), F.lit(96), F.lit(2), F.lit(50), F.lit(20))
+    return table(spark, folder, "orders").select("o_orderkey", *[c.cast("bigint").alias(n) for n, c in plan.items()])
+
+
+@query("SELECT p_partkey, 'part_' || substr(sha256(p_brand), 1, 10) AS row_key FROM part")
+def row_key(spark, folder):
+    return table(spark, folder, "part").select("p_partkey", statistics.row_key("part_", F.col("p_brand")).alias("row_key"))
+
+
+@query(r"SELECT DISTINCT p_type, regexp_replace(regexp_replace(p_type || ' - (#1)', '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS name, regexp_replace(lower(regexp_replace(p_type || ' - (#1)', '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') AS slug FROM part")
+def colname_normalise(spark, folder):
+    header = F.concat("p_type", F.lit(" - (#1)"))
+    return table(spark, folder, "part").select("p_type", text.column_name(header).alias("name"), text.slug_column(header).alias("slug")).distinct()
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '…' ELSE text END AS short FROM documents")
+def truncate(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", text.truncate(F.col("text")).alias("short"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages")
+def base_name(spark, folder):
+    return table(spark, folder, "pages").select("page_id", text.base_name(F.col("url")).alias("base"))
+
+
+@query("SELECT doc_id, '[' || source || '] ' || lang AS line, len(string_split(source || ',' || lang, ',')) ::BIGINT AS items FROM documents")
+def line_prefix(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", text.prefixed_lines(F.col("source"), F.col("lang")).alias("line"), text.item_count(F.concat_ws(",", "source", "lang")).cast("bigint").alias("items"))
+
+
+# Cluster text
+
+
+@query("SELECT s_name AS NODE, 8 AS TOTAL, s_suppkey % 9 AS USED, 8 - s_suppkey % 9 AS FREE, CASE WHEN s_suppkey % 9 = 0 THEN 'idle' WHEN s_suppkey % 9 < 8 THEN 'mix' ELSE 'alloc' END AS STATE FROM supplier")
+def gpu_inventory(spark, folder):
+    nodes = table(spark, folder, "supplier").select(F.col("s_name").alias("NODE"), F.lit("gpu:X:8").alias("GRES"), F.format_string("gpu:X:%d(IDX:0-7)", F.col("s_suppkey") % 9).alias("GRES_USED"))
+    return cluster.accelerators(nodes).withColumns({c: F.col(c).cast("bigint") for c in ("TOTAL", "USED", "FREE")})
+
+
+@query("SELECT printf('%-20s %-10d %-10d %-10d %s', s_name, 8, s_suppkey % 9, 8 - s_suppkey % 9, CASE WHEN s_suppkey % 9 = 0 THEN 'idle' WHEN s_suppkey % 9 < 8 THEN 'mix' ELSE 'alloc' END) AS value FROM supplier")
+def gpu_report(spark, folder):
+    return cluster.report_lines(gpu_inventory(spark, folder))
+
+
+@query("SELECT n_nationkey, (row_number() OVER (PARTITION BY n_nationkey ORDER BY k) - 1)::BIGINT AS node_rank, 'n' || lpad(x::VARCHAR, 2, '0') AS node FROM (SELECT n_nationkey, unnest(list_concat(generate_series(n_nationkey, n_nationkey + 2), [90])) AS x, generate_subscripts(list_concat(generate_series(n_nationkey, n_nationkey + 2), [90]), 1) AS k FROM nation WHERE n_nationkey % 5 <> 0)")
+def expand_nodelist(spark, folder):
+    listed = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("n"), "n_nationkey")).otherwise(F.format_string("n[%d-%d,90]", "n_nationkey", F.col("n_nationkey") + 2))
+    nodes = table(spark, folder, "nation").select("n_nationkey", listed.alias("nodes"))
+    return cluster.expanded_nodes(nodes, "nodes").select("n_nationkey", F.col("node_rank").cast("bigint").alias("node_rank"), "node")
+
+
+@query("SELECT s_suppkey, (right(s_name, 2)::INT + 8800)::BIGINT AS port FROM supplier")
+def port(spark, folder):
+    return table(spark, folder, "supplier").select("s_suppkey", cluster.port(F.col("s_name")).cast("bigint").alias("port"))
+
+
+# Annotation
+
+
+SOLVE = prompts.PROMPTS["solve"]
+SOLVE_SQL = "'" + SOLVE.replace("'", "''").replace("{problem}", "' || text || '") + "'"
+
+
+@query(f"SELECT doc_id, 'reply:' || substr(md5({SOLVE_SQL}), 1, 8) AS answer FROM documents")
+def annotate_stub(spark, folder):
+    docs = table(spark, folder, "documents")
+    return annotate.annotate(docs, chat.filled(SOLVE, problem=F.col("text")), "answer").select("doc_id", "answer")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_lines(spark, folder):
+    """Rows written as JSON lines and read back."""
+    path = sinks.jsonl(table(spark, folder, "nation"), scratch(spark, "json-lines"))
+    return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, 'say \"' || n_name || '\", ' AS n_name FROM nation")
+def csv_round_trip(spark, folder):
+    """Rows with quotes, commas and blanks at the end written as CSV with a mark, and read back."""
+    rows = table(spark, folder, "nation").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), F.concat(F.lit('say "'), "n_name", F.lit('", ')).alias("n_name"))
+    return files.csv(spark, sinks.csv_with_mark(rows, scratch(spark, "csv")), "utf-8-sig")

@@ -1 +1 @@
-
+"""Streams of the same records."""

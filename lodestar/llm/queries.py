@@ -117,4 +117,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_linededup": r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS all_lines FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS pos FROM split),
+counted AS (SELECT *, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM lines),
+placed AS (SELECT doc_id, pos, line, upto, coalesce(lag(upto) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS before FROM counted),
+runs AS (
+  SELECT a.doc_id, a.pos AS start, min(b.pos) AS stop FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.upto >= a.before + 50 GROUP BY ALL
+  UNION
+  SELECT a.doc_id, max(b.pos) AS start, a.pos AS stop FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.before <= a.upto - 50 GROUP BY a.doc_id, a.pos),
+named AS (SELECT runs.*, array_to_string(all_lines[start:stop], chr(10)) AS run FROM runs JOIN split USING (doc_id)),
+later AS (SELECT doc_id, start, stop FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS nth FROM named) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(start, stop)) AS pos FROM later),
+kept AS (SELECT lines.doc_id, string_agg(line, chr(10) ORDER BY lines.pos) FILTER (WHERE gone.pos IS NULL) AS rest, count(gone.pos) AS n FROM lines LEFT JOIN gone ON lines.doc_id = gone.doc_id AND lines.pos = gone.pos GROUP BY lines.doc_id)
+SELECT documents.doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(rest, '') END AS text, coalesce(n, 0)::INT AS deleted_lines FROM documents LEFT JOIN kept USING (doc_id)
+""",
+    "op9_mixing": """
+WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, sum(n) OVER () * sqrt(n) / sum(sqrt(n)) OVER () / n AS rate FROM sizes),
+steps AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM rates, generate_series(0, 150) g(k)),
+drawn AS (SELECT doc_id, source, text, (('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
+counts AS (SELECT doc_id, u, count(*) AS n FROM drawn JOIN steps ON drawn.source IS NOT DISTINCT FROM steps.source AND steps.c <= u GROUP BY doc_id, u),
+copies AS (SELECT doc_id, unnest(generate_series(0, n - 1))::INT AS copy FROM counts)
+SELECT doc_id, source, text, copy, ('0x' || substr(md5('mix-order:' || doc_id || ':' || copy), 1, 13))::BIGINT AS mix_key FROM copies JOIN documents USING (doc_id)
+""",
+}

@@ -1,0 +1,11 @@
+import pytest
+from oracle import differences
+
+from lodestar.llm import queries
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    assert differences(queries.QUERIES[name](spark, FOLDER), queries.SQL[name], FOLDER) == ""

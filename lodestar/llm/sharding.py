@@ -44,10 +44,10 @@ def _smallest_draw(key: Column, level: str, names: Column, weights: Column) -> C
 
     def draw(child, at):
         bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), child["names"]), 11)
-        return F.struct((-F.log((bits + 0.5) / float(1 << 53)) / child["weights"]).alias("draw"), at.alias("at"))
+        return F.struct(F.try_divide(-F.log((bits + 0.5) / float(1 << 53)), child["weights"]).alias("draw"), at.alias("at"))
 
     children = F.arrays_zip(names.alias("names"), weights.alias("weights"))
-    return F.array_min(F.filter(F.transform(children, draw), lambda d: d["draw"].isNotNull() & (d["draw"] < float("inf"))))["at"]
+    return F.array_min(F.filter(F.transform(children, draw), lambda d: d["draw"].isNotNull()))["at"]
 
 
 def _literal(rows, kind: str) -> Column:

@@ -187,9 +187,9 @@ def _strongest(sample: DataFrame, weights, bias: float, most: int = 3) -> DataFr
         for batch in batches:
             rows = []
             texts, labels = columns(batch, "text", "label")
-            for text, label in zip(texts, labels, strict=True):
-                sentences = [s for s in map(strings, SENTENCE.split(text)) if s]
-                known = scorer.learn({w for s in sentences for w in s})
+            cut = [[s for s in map(strings, SENTENCE.split(t)) if s] for t in texts]
+            known = scorer.learn({w for sentences in cut for s in sentences for w in s})
+            for sentences, label in zip(cut, labels, strict=True):
                 best = sorted(((known[w], w) for w in {max(s, key=known.__getitem__) for s in sentences}), reverse=True)[:most] or [(bias, "")]
                 rows += [(label, k, w, v) for k, (v, w) in enumerate(best)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.float64()))], ["label", "rank", "word", "value"])
@@ -213,12 +213,61 @@ def _frequencies(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(counted, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def grams(word: str) -> set[str]:
+    """The four-letter pieces of a string, with a mark for its start."""
+    marked = "^" + word[:STRETCH]
+    return {marked[k : k + 4] for k in range(len(marked) - 3)} or {marked}
+
+
+def _gram_frequencies(sample: DataFrame) -> DataFrame:
+    """In how many toxic and how many other documents each piece stands."""
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text, label in zip(*columns(batch, "text", "label"), strict=True):
+                for g in set().union(*map(grams, set(strings(text)))):
+                    seen.setdefault(g, [0, 0])[label] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["gram", "toxic", "clean"])
+
+    return sample.mapInArrow(counted, "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _telling(toxic: DataFrame, odds: dict[str, float], most: int = 2) -> DataFrame:
+    """(string, n): the `most` strings of each toxic document whose pieces tell most, and in how many documents they do."""
+    sent = toxic.sparkSession.sparkContext.broadcast(odds)
+
+    def found(batches):
+        import pyarrow as pa
+
+        known = sent.value
+        score: dict[str, float] = {}
+        for batch in batches:
+            words: list[str] = []
+            for text in columns(batch, "text")[0]:
+                own = set(strings(text))
+                for w in own - score.keys():
+                    score[w] = sum(known.get(g, 0.0) for g in grams(w))
+                words += sorted((w for w in own if score[w] > 0), key=lambda w: (-score[w], w))[:most]
+            if len(score) > REMEMBERED:
+                score.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+
+    return toxic.mapInArrow(found, "word string").groupBy("word").agg(F.count("*").alias("n"))
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents: int = 15_000, landmarks: int = 256, rounds: int = 3) -> dict:
     """The machine and its calibration from labelled rows (label 1: toxic).
 
     Rows with a null text or label teach nothing. About `documents` rows are used, chosen by a hash of the text; with the
-    at most 8,000 strings that each round keeps, that is the documented bound of the training sample. Without
+    at most 9,000 strings and 4,000 pieces of strings that each round keeps, that is the documented bound of the training sample. Without
     rows of both labels, the model gives every text the share of toxic rows (0.0 without any rows).
+
+    The first positive strings are those of each toxic document whose four-letter pieces are most peculiar to toxic documents;
+    later ones are those that the machine finds strongest in them. Negative strings are common ones, others of clean
+    documents, and those that the machine finds strongest there.
     """
     labelled = labelled.select(F.col(text).alias("text"), (F.col(label) == 1).cast("int").alias("label")).where("text is not null and label is not null")
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -228,12 +277,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents
         return constant
     sample = stored(labelled.where(F.expr(f"pmod(xxhash64(text), 1048576) < {1048576 * min(1.0, documents / total)}")), "toxicity-sample")
     frequencies = stored(_frequencies(sample), "toxicity-strings")
-    odds = F.log((F.col("toxic") + 0.05) / (F.col("clean") + 0.05) * (sizes[0] / sizes[1]))
-    seeds = frequencies.where("toxic > 1 or clean = 0").withColumn("odds", odds * F.log1p("toxic")).where("odds > 0").orderBy(F.desc("odds"), "word").limit(400).toPandas()
+    odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * (sizes[0] / sizes[1]))
+    peculiar = stored(_gram_frequencies(sample), "toxicity-pieces").withColumn("odds", odds).where((F.col("toxic") >= max(5.0, 0.01 * sizes[1])) & (F.col("odds") > 1.8)).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "gram").limit(4000).toPandas()
+    telling = _telling(sample.where("label = 1"), dict(zip(peculiar["gram"], peculiar["odds"] * np.sqrt(peculiar["toxic"].astype(float)), strict=True))).join(frequencies.select("word", "clean"), "word").where("clean <= 0.05 * n")
+    seeds = telling.orderBy(F.desc("n"), "word").limit(2000).toPandas()
     common = frequencies.where("clean > 0").orderBy(F.desc(F.col("clean") - 10 * F.col("toxic")), "word").limit(1500).toPandas()
     others = frequencies.where("clean > 0 and toxic = 0").orderBy(F.xxhash64("word"), "word").limit(2000).toPandas()
-    seeds = seeds[seeds["odds"] >= 0.5 * seeds["odds"].iloc[0]] if len(seeds) else seeds
-    positive = dict(zip(seeds["word"], seeds["toxic"].astype(float), strict=True))
+    first = dict(zip(seeds["word"], seeds["n"].astype(float), strict=True))
+    positive = dict(first)
     negative = {w: 1.0 for w in [*common["word"], *others["word"]] if w not in positive}
     if not positive or not negative:
         return constant
@@ -246,9 +297,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents
         weights, bias = Landmarks(marks).machine(words, labels, importance)
         best = stored(_strongest(sample, weights, bias), "toxicity-best")
         clean = frequencies.select("word", "clean")
-        tops = best.where("label = 1 and rank = 0").groupBy("word").agg(F.count("*").alias("n"), F.max("value").alias("value")).join(clean, "word", "left").where("coalesce(clean, 0) <= 0.05 * n").orderBy(F.desc("n"), F.desc("value"), "word").limit(3000).toPandas()
+        tops = best.where("label = 1 and rank = 0 and value > 0").groupBy("word").agg(F.count("*").alias("n"), F.max("value").alias("value")).join(clean, "word", "left").where("coalesce(clean, 0) <= 0.05 * n").orderBy(F.desc("n"), F.desc("value"), "word").limit(3000).toPandas()
         hard = best.where("label = 0").groupBy("word").agg(F.max("value").alias("value")).orderBy(F.desc("value"), "word").limit(3000).toPandas()
-        positive = dict(zip(tops["word"], tops["n"].astype(float), strict=True)) or positive
+        positive = first | dict(zip(tops["word"], tops["n"].astype(float), strict=True))
         for w in hard["word"]:
             negative.pop(w, None)
         negative |= {w: 1.0 for w in reversed(list(hard["word"])) if w and w not in positive}

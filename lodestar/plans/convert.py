@@ -38,9 +38,18 @@ def unified(df: DataFrame, config: Config, strict_nulls: bool = True) -> DataFra
 
 
 def converted(splits: dict[str, DataFrame], config: Config, key: str) -> DataFrame:
-    """Splits, row numbers and records. `key` is the rows' unique source order."""
-    whole = split(splits.get(config.train), splits.get(config.val) if config.val else None, key, config.strategy, config.seed)
-    return unified(indexed(whole, key), config)
+    """Splits, row numbers and records. `key` is the rows' source order, unique in each table and never null.
+
+    Rows are split and numbered by key and stratum alone, and joined with the rest once, so that long columns are shuffled once at most.
+    """
+    train, val = splits.get(config.train), splits.get(config.val) if config.val else None
+    slim = [key] + [c for c in {config.strategy.by} - {None, key} if val is None]
+    placed = split(None if train is None else train.select(*slim), None if val is None else val.select(*slim), key, config.strategy, config.seed)
+    placed = indexed(placed, key).select(key, "split", "index")
+    if val is None:
+        return unified(train.drop("split", "index").join(placed, key), config)
+    rows = [t.drop("split", "index").withColumn("split", F.lit(name)) for name, t in (("train", train), ("val", val))]
+    return unified(rows[0].unionByName(rows[1]).join(placed, [key, "split"]), config)
 
 
 def chat_table(df: DataFrame, system: str = "", tags: bool = True, nan_text: bool = False, source_index: str | None = None, stem: str = "row") -> DataFrame:

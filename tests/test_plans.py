@@ -24,6 +24,13 @@ def test_inference(spark):
     assert "p0" in infer.preview(found, rows)
 
 
+def test_existing_splits_are_numbered_apart(spark):
+    train = spark.createDataFrame([(k, f"q{k}", "1") for k in range(5)], "i int, question string, answer string")
+    config = infer.inferred("d", {"train": train, "test": train.where("i < 2")}, "i")
+    made = [r["extra_info"] for r in convert.converted({"train": train, "test": train.where("i < 2")}, config, "i").collect()]
+    assert sorted((r["split"], r["index"]) for r in made) == [("train", k) for k in range(5)] + [("val", 0), ("val", 1)]
+
+
 def test_inference_of_splits(spark):
     rows = spark.createDataFrame([("a", "b")], "x string, y string")
     found = infer.inferred("d", {"main": rows, "dev": rows})

@@ -29,6 +29,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where rows are whole texts.
+TEXTS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table itself; from now on its session hands at most TEXTS rows at a time to Python workers, which hold a batch and what they make of it."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= TEXTS:
+        df.sparkSession.conf.set(setting, TEXTS)
+    return df
+
+
 def columns(batch, *names):
     """The named columns of an Arrow batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

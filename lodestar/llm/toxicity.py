@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, iterator_udf, stored
+from .shared import columns, iterator_udf, small_batches, stored
 
 ORDERS = (3, 4)
 SPANS = {3: 6, 4: 7}
@@ -29,7 +29,7 @@ DECAY = 0.6
 STRETCH, STEP = 24, 16
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 SIZE = 32**3 + 32**4
 
 
@@ -269,7 +269,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents
     later ones are those that the machine finds strongest in them. Negative strings are common ones, others of clean
     documents, and those that the machine finds strongest there.
     """
-    labelled = labelled.select(F.col(text).alias("text"), (F.col(label) == 1).cast("int").alias("label")).where("text is not null and label is not null")
+    labelled = small_batches(labelled).select(F.col(text).alias("text"), (F.col(label) == 1).cast("int").alias("label")).where("text is not null and label is not null")
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     total = sum(sizes.values())
     constant = {"weights": np.zeros(SIZE, np.float32), "bias": 0.0, "slope": 0.0, "offset": -30.0 if not sizes.get(1) else 30.0}
@@ -343,4 +343,4 @@ def score(df: DataFrame, model: dict, text: str = "text", score: str = "score",
             value = np.array([max(map(known.__getitem__, words)) if words else model["bias"] for words in cut], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(model["slope"] * value + model["offset"], -700, 700))))
 
-    return df.withColumn(score, iterator_udf(scored, "double")(F.col(text))).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
+    return small_batches(df).withColumn(score, iterator_udf(scored, "double")(F.col(text))).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))

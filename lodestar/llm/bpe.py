@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 300_000
 
@@ -113,7 +115,7 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text"
         for texts in batches:
             yield pd.Series([encoder.encode(t) if t else b"" for t in texts], dtype=object)
 
-    return df.withColumn(ids, F.pandas_udf(_typed(packed), T.BinaryType())(F.col(text)))
+    return small_batches(df).withColumn(ids, F.pandas_udf(_typed(packed), T.BinaryType())(F.col(text)))
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

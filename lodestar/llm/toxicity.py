@@ -258,29 +258,57 @@ def _telling(toxic: DataFrame, odds: dict[str, float], most: int = 2) -> DataFra
     return toxic.mapInArrow(found, "word string").groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _sampled(labelled: DataFrame, sizes: dict[int, int], documents: int) -> tuple[DataFrame, dict[int, int]]:
+    """About `documents` rows by a hash of the text, and how many of each label; fit() says which."""
+    place = F.expr("pmod(xxhash64(text), 1048576)")
+    ends = [int(1048576 * min(1.0, max(documents / sum(sizes.values()), 0.1 * documents / sizes[k]))) for k in (0, 1)]
+
+    def drawn():
+        # The first condition needs no label, so texts are left out before a join.
+        found = stored(labelled.where(place < max(ends)).where(place < F.when(F.col("label") == 1, ends[1]).otherwise(ends[0])), "toxicity-sample")
+        return found, {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
+
+    sample, taken = drawn()
+    if len(taken) < 2:  # copies of few texts, none of which has been drawn
+        for k in {0, 1} - taken.keys():
+            ends[k] = labelled.where(F.col("label") == k).agg(F.min(place)).first()[0] + 1
+        sample, taken = drawn()
+    return sample, taken
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents: int = 15_000, landmarks: int = 256, rounds: int = 3) -> dict:
     """The machine and its calibration from labelled rows (label 1: toxic).
 
-    Rows with a null text or label teach nothing. About `documents` rows are used, chosen by a hash of the text; with the
+    Rows with a null text or label teach nothing. About `documents` rows are used, chosen by a hash of the text: the same share of
+    both labels, but of a rare label a tenth of `documents` where it has so many, and the text of the least hash at least; with the
     at most 9,000 strings and 4,000 pieces of strings that each round keeps, that is the documented bound of the training sample. Without
-    rows of both labels, the model gives every text the share of toxic rows (0.0 without any rows).
+    rows of both labels, or where no string tells them apart, the model gives every text the share of toxic rows (0.0 without any rows).
 
-    The first positive strings are those of each toxic document whose four-letter pieces are most peculiar to toxic documents;
-    later ones are those that the machine finds strongest in them. Negative strings are common ones, others of clean
+    The first positive strings are those of each toxic document whose four-letter pieces are most peculiar to toxic documents: pieces
+    of 1 % of the sample's toxic documents and of 5 at least, or of half as many until some are found; without such pieces, the strings
+    that lean most to toxic documents. Later ones are those that the machine finds strongest in them. Negative strings are common ones, others of clean
     documents, and those that the machine finds strongest there.
     """
     labelled = small_batches(labelled).select(F.col(text).alias("text"), (F.col(label) == 1).cast("int").alias("label")).where("text is not null and label is not null")
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     total = sum(sizes.values())
-    constant = {"weights": np.zeros(SIZE, np.float32), "bias": 0.0, "slope": 0.0, "offset": -30.0 if not sizes.get(1) else 30.0}
+    share = sizes.get(1, 0) / max(total, 1)
+    constant = {"weights": np.zeros(SIZE, np.float32), "bias": 0.0, "slope": 0.0, "offset": float(np.log(share / (1 - share))) if 0 < share < 1 else -30.0 if not share else 30.0}
     if len(sizes) < 2:
         return constant
-    sample = stored(labelled.where(F.expr(f"pmod(xxhash64(text), 1048576) < {1048576 * min(1.0, documents / total)}")), "toxicity-sample")
+    sample, taken = _sampled(labelled, sizes, documents)
+    stands_for = [sizes[k] / taken[k] for k in (0, 1)]  # rows of the table for each of the sample
     frequencies = stored(_frequencies(sample), "toxicity-strings")
-    odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * (sizes[0] / sizes[1]))
-    peculiar = stored(_gram_frequencies(sample), "toxicity-pieces").withColumn("odds", odds).where((F.col("toxic") >= max(5.0, 0.01 * sizes[1])) & (F.col("odds") > 1.8)).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "gram").limit(4000).toPandas()
-    telling = _telling(sample.where("label = 1"), dict(zip(peculiar["gram"], peculiar["odds"] * np.sqrt(peculiar["toxic"].astype(float)), strict=True))).join(frequencies.select("word", "clean"), "word").where("clean <= 0.05 * n")
+    odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * (taken[0] / taken[1]))
+    leaning = F.desc(F.col("odds") * F.log1p("toxic"))
+    rarely_clean = f"coalesce(clean, 0) * {stands_for[0] / stands_for[1]!r}D <= 0.05 * n"
+    pieces, least = stored(_gram_frequencies(sample), "toxicity-pieces").withColumn("odds", odds).where("odds > 1.8"), max(5.0, 0.01 * taken[1])
+    while (peculiar := pieces.where(F.col("toxic") >= least).orderBy(leaning, "gram").limit(4000).toPandas()).empty and least > 1:
+        least /= 2
+    telling = _telling(sample.where("label = 1"), dict(zip(peculiar["gram"], peculiar["odds"] * np.sqrt(peculiar["toxic"].astype(float)), strict=True))).join(frequencies.select("word", "clean"), "word").where(rarely_clean)
     seeds = telling.orderBy(F.desc("n"), "word").limit(2000).toPandas()
+    if seeds.empty:
+        seeds = frequencies.withColumn("odds", odds).where("toxic > 0 and odds > 0").orderBy(leaning, "word").limit(min(2000, 2 * taken[1])).withColumn("n", F.col("toxic")).toPandas()
     common = frequencies.where("clean > 0").orderBy(F.desc(F.col("clean") - 10 * F.col("toxic")), "word").limit(1500).toPandas()
     others = frequencies.where("clean > 0 and toxic = 0").orderBy(F.xxhash64("word"), "word").limit(2000).toPandas()
     first = dict(zip(seeds["word"], seeds["n"].astype(float), strict=True))
@@ -297,7 +325,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents
         weights, bias = Landmarks(marks).machine(words, labels, importance)
         best = stored(_strongest(sample, weights, bias), "toxicity-best")
         clean = frequencies.select("word", "clean")
-        tops = best.where("label = 1 and rank = 0 and value > 0").groupBy("word").agg(F.count("*").alias("n"), F.max("value").alias("value")).join(clean, "word", "left").where("coalesce(clean, 0) <= 0.05 * n").orderBy(F.desc("n"), F.desc("value"), "word").limit(3000).toPandas()
+        tops = best.where("label = 1 and rank = 0 and value > 0").groupBy("word").agg(F.count("*").alias("n"), F.max("value").alias("value")).join(clean, "word", "left").where(rarely_clean).orderBy(F.desc("n"), F.desc("value"), "word").limit(3000).toPandas()
         hard = best.where("label = 0").groupBy("word").agg(F.max("value").alias("value")).orderBy(F.desc("value"), "word").limit(3000).toPandas()
         positive = first | dict(zip(tops["word"], tops["n"].astype(float), strict=True))
         for w in hard["word"]:
@@ -305,19 +333,21 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents
         negative |= {w: 1.0 for w in reversed(list(hard["word"])) if w and w not in positive}
         negative = dict(list(negative.items())[-6000:])
     top = best.where("rank = 0").select("label", "value").limit(2 * documents).toPandas()
-    slope, offset = calibrate(top["value"].to_numpy(), top["label"].to_numpy())
+    slope, offset = calibrate(top["value"].to_numpy(), top["label"].to_numpy(), np.where(top["label"] == 1, stands_for[1], stands_for[0]))
     return {"weights": weights, "bias": bias, "slope": slope, "offset": offset}
 
 
-def calibrate(values, labels):
-    """Slope and offset of a logistic curve from decisions to probabilities, with smoothed targets."""
+def calibrate(values, labels, rows=1.0):
+    """Slope and offset of a logistic curve from decisions to probabilities, with smoothed targets; `rows` is how many each value stands for."""
+    rows = np.broadcast_to(np.asarray(rows, float), len(values))
+    rows = rows / rows.mean() if len(rows) else rows
     n1, n0 = max(labels.sum(), 1), max((1 - labels).sum(), 1)
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([values, np.ones(len(values))], 1)
     w = np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target) + 1e-6 * w)
+        step = np.linalg.solve((x * (rows * (p * (1 - p) + 1e-6))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (rows * (p - target)) + 1e-6 * w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break

@@ -300,6 +300,40 @@ def test_inserted_characters_are_found(spark):
     assert [found[k]["predicted"] for k in (1, 2, 3, 4)] == [0, 1, 1, 1] and sum(found[k]["predicted"] for k in range(10, 30)) == 0
 
 
+def test_toxicity_from_a_small_sample_of_many_rows(spark):
+    docs = [(k, prose(k, 12) + (f" {['moronzu', 'scumquax'][k // 10 % 2]} " if k % 10 == 0 else ""), None, None) for k in range(12_000)]
+    df = table(spark, docs).withColumn("toxic", (F.col("doc_id") % 10 == 0).cast("int"))
+    new = [(1, prose(50_001, 30) + " moronzu"), (2, prose(50_002, 30) + " scumquax"), *[(10 + k, prose(50_100 + k, 30)) for k in range(30)]]
+    found = sample(toxicity.score(table(spark, new), toxicity.fit(df, documents=110)))
+    assert [found[k]["predicted"] for k in (1, 2)] == [1, 1] and sum(found[k]["predicted"] for k in range(10, 40)) == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_toxicity_from_few_toxic_rows(spark, n):
+    docs = [(k, prose(k, 40), None, None) for k in range(300)] + [(1000 + k, prose(5000 + k, 10) + " moronzu " + prose(7000 + k, 10), None, None) for k in range(n)]
+    df = table(spark, docs).withColumn("toxic", (F.col("doc_id") >= 1000).cast("int"))
+    new = [(1, prose(9001, 20) + " moronzu"), *[(10 + k, prose(9100 + k, 20)) for k in range(20)]]
+    for documents in (15_000, 30):
+        found = sample(toxicity.score(table(spark, new), toxicity.fit(df, documents=documents)))
+        assert sum(found[k]["predicted"] for k in range(10, 30)) == 0
+        if n > 1:  # one document alone doesn't tell which of its words is the insult
+            assert found[1]["score"] > max(found[k]["score"] for k in range(10, 30))
+
+
+def test_toxicity_of_copies_of_one_text(spark):
+    docs = [(k, prose(k, 40), None, None) for k in range(300)] + [(1000 + k, prose(5000, 20) + " moronzu", None, None) for k in range(100)]
+    df = table(spark, docs).withColumn("toxic", (F.col("doc_id") >= 1000).cast("int"))
+    found = rows(toxicity.score(df, toxicity.fit(df, documents=20)))
+    assert all(x["predicted"] for x in found if x["doc_id"] >= 1000) and sum(x["predicted"] for x in found if x["doc_id"] < 1000) < 100
+
+
+def test_toxicity_without_a_sign_is_the_share(spark):
+    docs = [(k, "alpha beta", None, None) for k in range(40)]
+    df = table(spark, docs).withColumn("toxic", (F.col("doc_id") % 4 == 0).cast("int"))
+    found = rows(toxicity.score(df, toxicity.fit(df)))
+    assert all(x["score"] == pytest.approx(0.25) and x["predicted"] == 0 for x in found)
+
+
 def test_toxicity_of_edge_rows(spark):
     df = table(spark, EDGES)
     for label in (None, 0, 1):

@@ -34,10 +34,16 @@ def allocation(df: DataFrame, by: str, size: int = 500) -> DataFrame:
 
 
 def members(df: DataFrame, by: str, key: str) -> DataFrame:
-    """The keys of each category as a sorted array, for small tables; samples don't need it."""
+    """The keys of each category as a sorted array, for small tables; membership() has them as rows."""
     return df.groupBy(by).agg(F.sort_array(F.collect_list(key)).alias("members"))
 
 
+def membership(df: DataFrame, by: str, key: str, seed: int = 2025) -> DataFrame:
+    """(category, key, place): every row's key, numbered from 0 within its category in a seeded shuffle. No category meets in one task."""
+    keyed = df.select(by, key).withColumn("_hash", hash_key(seed, key))
+    return numbered(keyed, hash_bucket(F.col("_hash")), ["_hash", key], within=(by,), name="place").select(by, key, "place")
+
+
 def quota_table(df: DataFrame, quotas: dict[str, int], by: str = "category") -> DataFrame:
     return df.sparkSession.createDataFrame(sorted(quotas.items()), f"`{by}` string, quota long")
 

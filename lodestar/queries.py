@@ -178,6 +178,12 @@ def category_members(spark, folder):
     return sample.members(small, "lang", "doc_id").withColumn("members", F.to_json("members"))
 
 
+@query(f"SELECT lang, doc_id, place - 1 AS place FROM (SELECT lang, doc_id, {RANKED.format('lang', 'doc_id')} FROM documents)")
+def category_membership(spark, folder):
+    """All documents, of which category_members takes one source."""
+    return sample.membership(table(spark, folder, "documents"), "lang", "doc_id")
+
+
 QUOTAS = {"en": 40, "de": 20, "fr": 10, "xx": 5}
 QUOTA_SQL = "(VALUES ('en', 40), ('de', 20), ('fr', 10), ('xx', 5)) q(lang, quota)"
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar import queries
 from lodestar.functions import answers, chat, statistics, text
 from lodestar.operators import cluster, enrich, jsonkeys, judge, profile, sample, split, validate
 
@@ -173,3 +174,17 @@ def test_records_are_validated(spark):
 def test_numeric_share(spark):
     df = spark.createDataFrame([("1",), (" 2/3 ",), ("x",), (None,)], "v string")
     assert profile.numeric_share(df, F.col("v")).first()[0] == pytest.approx(2 / 3)
+
+
+def test_membership_keeps_every_row(spark):
+    df = spark.createDataFrame([(k, ["a", "b", None][k % 5 % 3]) for k in range(500)] + [(None, "a"), (7, None)], "id long, kind string")
+    found = sample.membership(df, "kind", "id").collect()
+    assert sorted((str(r["id"]), str(r["kind"])) for r in found) == sorted((str(r["id"]), str(r["kind"])) for r in df.collect())
+    for kind in ("a", "b", None):
+        own = sorted(r["place"] for r in found if r["kind"] == kind)
+        assert own == list(range(len(own))) and own
+
+
+def test_membership_query_covers_all_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    assert queries.QUERIES["category_membership"](spark, folder).count() == spark.read.parquet(f"{folder}/documents.parquet").count()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import iterator_udf, series_slices
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 300_000
@@ -59,7 +59,7 @@ def serialised_model(vocabulary: list[bytes]) -> bytes:
 
 
 def unicode_spaces(pattern: str) -> str:
-    """The pattern with \\s and \\S spelled out as Unicode's White_Space, which the regex module widens by four control characters."""
+    r"""The pattern with \s and \S spelled out as Unicode's White_Space, which the regex module widens by four control characters."""
     spaces = r"\t-\r \x85\xa0  -     　"
     # inside [^...] the class members stand without brackets
     return pattern.replace(r"[^\s", "[^" + spaces).replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
@@ -112,10 +112,10 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text"
 
         model, pieces = sent.value
         encoder = Encoder(model, pieces, pattern)
-        for texts in batches:
+        for texts in series_slices(batches):
             yield pd.Series([encoder.encode(t) if t else b"" for t in texts], dtype=object)
 
-    return small_batches(df).withColumn(ids, F.pandas_udf(_typed(packed), T.BinaryType())(F.col(text)))
+    return df.withColumn(ids, iterator_udf(packed, T.BinaryType())(F.col(text)))
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -127,17 +127,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", decoded: str =
         import pandas as pd
 
         pieces = sent.value
-        for packed in batches:
+        for packed in series_slices(batches):
             yield pd.Series([b"".join([pieces[i] for i in np.frombuffer(p, "<u4").tolist()]) if p else b"" for p in packed], dtype=object)
 
-    return df.withColumn(decoded, F.pandas_udf(_typed(joined), T.BinaryType())(F.col(ids)))
-
-
-def _typed(function):
-    """Names the iterator types of a scalar iterator UDF, which annotations postponed by __future__ can't carry."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    function.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return function
+    return df.withColumn(decoded, iterator_udf(joined, T.BinaryType())(F.col(ids)))

@@ -7,7 +7,7 @@ expectation maximisation, whose expected counts come from a forward and a backwa
 segmented by the tokenizer itself: only its list of pieces is used.
 
 A word is a maximal run of letters, lower-cased, with the vocabulary's word-start mark in front; longer
-ones than CHUNK characters are scored in stretches of that length. Workers score each distinct word once
+ones than CHUNK characters are learned and scored in stretches of that length. Pieces are lower-cased, too, and counted once. Workers score each distinct word once
 while they remember it. The model is pieces times languages, whatever the corpus.
 """
 
@@ -20,14 +20,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, stored
+from .shared import batch_slices, columns, iterator_udf, release, series_slices, stored, unused
 
 LETTERS = re.compile(r"[^\W\d_]+")
 CHUNK = 24
 #: Probability of a character that stands for itself, outside the vocabulary.
 UNKNOWN = 1e-7
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Words that are scored at once.
+BLOCK = 4000
 UNDETERMINED = "und"
 
 
@@ -43,14 +45,19 @@ class Lattice:
     """All pieces that match inside many words at once."""
 
     MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+    #: Longer pieces are few: they are looked up only behind the start, of so many characters, of one of them.
+    COMMON = 8
 
-    def __init__(self, pieces: list[str], longest: int = 10):
-        self.pieces = [p for p in dict.fromkeys(pieces) if 0 < len(p) <= longest]
-        self.longest = max(map(len, self.pieces))
+    def __init__(self, pieces: list[str]):
+        self.pieces = [p for p in dict.fromkeys(p.lower() for p in pieces) if 0 < len(p) <= CHUNK]
+        self.longest = max(map(len, self.pieces), default=1)
         self.hashes = np.zeros(len(self.pieces) + 1, np.uint64)  # row 0: no piece
+        self.begun = np.zeros(1 << 20, bool)
         for k, piece in enumerate(self.pieces, 1):
             h = 0
-            for c in piece:
+            for n, c in enumerate(piece):
+                if n == self.COMMON:
+                    self.begun[h >> 44] = True
                 h = ((h ^ ord(c)) * int(self.MULTIPLIER)) & (2**64 - 1)
                 h ^= h >> 29
             self.hashes[k] = h
@@ -77,16 +84,25 @@ class Lattice:
         return np.where(found, found, other)
 
     def matches(self, words: list[str]):
-        """For words of one length: the piece that starts at each position with each length, as {(start, length): numbers}."""
+        """For words of one length: the pieces that start at each position with each length, as {(start, length): (rows, numbers)}, rows being all or those with a piece."""
         n = len(words[0])
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
         found = {}
         for start in range(n):
-            h = np.zeros(len(words), np.uint64)
+            rows, h = np.arange(len(words)), np.zeros(len(words), np.uint64)
             for length in range(1, min(self.longest, n - start) + 1):
-                h = (h ^ points[:, start + length - 1]) * self.MULTIPLIER
+                if length == self.COMMON + 1:
+                    rows = np.flatnonzero(self.begun[(h >> np.uint64(44)).astype(np.int64)])
+                    h = h[rows]
+                if not len(rows):
+                    break
+                h = (h ^ points[rows, start + length - 1]) * self.MULTIPLIER
                 h ^= h >> np.uint64(29)
-                found[start, length] = self.find(h)
+                numbers = self.find(h)
+                if length == 1:
+                    found[start, length] = rows, numbers
+                elif (hit := np.flatnonzero(numbers)).size:
+                    found[start, length] = rows[hit], numbers[hit]
         return found
 
 
@@ -103,15 +119,14 @@ def forward(lattice: Lattice, table, words: list[str]):
     alpha[0] = 1
     for end in range(1, n + 1):
         for length in range(1, min(lattice.longest, end) + 1):
-            numbers = found[end - length, length]
-            if length == 1 or numbers.any():
-                alpha[end] += alpha[end - length] * _weights(table, numbers, length)
+            if (end - length, length) in found:
+                rows, numbers = found[end - length, length]
+                alpha[end][rows] += alpha[end - length][rows] * _weights(table, numbers, length)
     return alpha, found
 
 
-def log_probabilities(lattice: Lattice, table, words: list[str]):
-    """Rows of log-probabilities of any words; long ones are scored in stretches of CHUNK characters."""
-    out = np.zeros((len(words), table.shape[1]))
+def stretches(words):
+    """(number of the word, stretch) of words with their mark in blocks of one length."""
     by_length: dict[int, list[tuple[int, str]]] = {}
     for k, word in enumerate(words):
         marked = "▁" + word
@@ -119,35 +134,37 @@ def log_probabilities(lattice: Lattice, table, words: list[str]):
             part = marked[at : at + CHUNK]
             by_length.setdefault(len(part), []).append((k, part))
     for parts in by_length.values():
-        for at in range(0, len(parts), 20_000):
-            block = parts[at : at + 20_000]
-            alpha, _ = forward(lattice, table, [p for _, p in block])
-            np.add.at(out, [k for k, _ in block], np.log(alpha[-1]))
+        for at in range(0, len(parts), BLOCK):
+            block = parts[at : at + BLOCK]
+            yield [k for k, _ in block], [p for _, p in block]
+
+
+def log_probabilities(lattice: Lattice, table, words: list[str]):
+    """Rows of log-probabilities of any words; long ones are scored in stretches of CHUNK characters."""
+    out = np.zeros((len(words), table.shape[1]))
+    for numbers, parts in stretches(words):
+        alpha, _ = forward(lattice, table, parts)
+        np.add.at(out, numbers, np.log(alpha[-1]))
     return out
 
 
 def expected_counts(lattice: Lattice, probability, words: list[str], counts):
     """Expected numbers of each piece in the words of one language, by a forward and a backward pass."""
-    total = np.zeros(len(lattice.hashes))
-    by_length: dict[int, list[tuple[str, int]]] = {}
-    for word, count in zip(words, counts, strict=True):
-        marked = ("▁" + word)[:CHUNK]
-        by_length.setdefault(len(marked), []).append((marked, count))
+    total, counts = np.zeros(len(lattice.hashes)), np.asarray(counts, float)
     table = probability[:, None]
-    for n, parts in by_length.items():
-        for at in range(0, len(parts), 20_000):
-            block = parts[at : at + 20_000]
-            alpha, found = forward(lattice, table, [w for w, _ in block])
-            share = np.array([c for _, c in block], float)[:, None] / alpha[n]
-            beta = np.zeros_like(alpha)
-            beta[n] = 1
-            for start in range(n - 1, -1, -1):
-                for length in range(1, min(lattice.longest, n - start) + 1):
-                    numbers = found[start, length]
-                    if length == 1 or numbers.any():
-                        through = _weights(table, numbers, length) * beta[start + length]
-                        beta[start] += through
-                        total += np.bincount(numbers, (alpha[start] * through * share)[:, 0], len(total))
+    for own, parts in stretches(words):
+        n = len(parts[0])
+        alpha, found = forward(lattice, table, parts)
+        share = counts[own][:, None] / alpha[n]
+        beta = np.zeros_like(alpha)
+        beta[n] = 1
+        for start in range(n - 1, -1, -1):
+            for length in range(1, min(lattice.longest, n - start) + 1):
+                if (start, length) in found:
+                    rows, numbers = found[start, length]
+                    through = _weights(table, numbers, length) * beta[start + length][rows]
+                    beta[start][rows] += through
+                    total += np.bincount(numbers, (alpha[start][rows] * through * share[rows])[:, 0], len(total))
     total[0] = 0
     return total
 
@@ -170,7 +187,7 @@ def fit(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str =
         import pyarrow as pa
         from collections import Counter
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             seen: Counter = Counter()
             for t, name in zip(*columns(batch, "text", "lang"), strict=True):
                 seen.update((name, w) for w in LETTERS.findall(t.lower()))
@@ -202,6 +219,7 @@ def fit(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str =
         table[found["piece"], found["lang"]] += found["n"]
         table[0] = 0
         table /= table.sum(axis=0)
+    release(words)
     return {"names": names, "table": table.astype(np.float32), "pieces": lattice.pieces}
 
 
@@ -220,7 +238,7 @@ def predict(df: DataFrame, model: dict, text: str = "text", lang: str = "lang_pr
         lattice, table, names = sent.value
         known: dict[str, int] = {}
         rows = np.zeros((0, len(names)), np.float32)
-        for texts in batches:
+        for texts in series_slices(batches):
             if len(known) > REMEMBERED:
                 known, rows = {}, rows[:0]
             cut = [LETTERS.findall(t.lower()) if t else [] for t in texts]
@@ -240,7 +258,6 @@ def predict(df: DataFrame, model: dict, text: str = "text", lang: str = "lang_pr
                 post.append(1.0 / float(np.exp(np.maximum(total - total[k], -700)).sum()))
             yield pd.DataFrame({"lang": best, "score": post})
 
-    from .shared import iterator_udf
-
-    guess = iterator_udf(scored, "lang string, score double")(F.col(text))
-    return df.withColumn("_guess", guess).withColumns({lang: F.col("_guess.lang"), score: F.col("_guess.score")}).drop("_guess")
+    guess, = unused(df, "guess")
+    guessed = df.withColumn(guess, iterator_udf(scored, "lang string, score double")(F.col(text)))
+    return guessed.withColumns({lang: F.col(guess)["lang"], score: F.col(guess)["score"]}).drop(guess)

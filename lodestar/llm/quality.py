@@ -1,6 +1,7 @@
 """Quality rules: base counts of a text and zstandard compression bands.
 
-The whole text and its chunks of CHUNK bytes are compressed. The ratio of compressed to plain bytes must lie
+The whole text and its chunks of CHUNK bytes are compressed; where the length isn't a multiple of CHUNK, the last chunk is the
+text's last CHUNK bytes and overlaps the one before, so that every byte is judged at the same length. The ratio of compressed to plain bytes must lie
 in a band that depends on the plain length, since short texts compress less; a text that compresses too
 well repeats itself, one that hardly compresses is noise. A chunk fails if it leaves the band of its
 own length, and a text fails if over BAD_CHUNKS of its chunks do.
@@ -13,7 +14,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns
+from .shared import batch_slices, columns
 
 CHUNK = 4096
 LEVEL = 3
@@ -54,12 +55,11 @@ def in_band(plain: int, packed: int, bands=BANDS) -> bool:
 
 
 def compression(text: bytes, pack) -> tuple[float, int, int, bool]:
-    """Ratio of the whole, number of chunks and of bad ones, and whether all is within limits. A last chunk under a quarter of CHUNK isn't judged."""
+    """Ratio of the whole, number of chunks and of bad ones, and whether all is within limits. A text of at most CHUNK bytes has no chunks besides itself."""
     if not text:
         return 0.0, 0, 0, False
     packed = len(pack(text))
-    chunks = [text[k : k + CHUNK] for k in range(0, len(text), CHUNK)] if len(text) > CHUNK else []
-    chunks = [c for c in chunks if len(c) >= CHUNK // 4]
+    chunks = [text[(at := min(k, len(text) - CHUNK)) : at + CHUNK] for k in range(0, len(text), CHUNK)] if len(text) > CHUNK else []
     bad = sum(not in_band(len(c), len(pack(c))) for c in chunks)
     return packed / len(text), len(chunks), bad, in_band(len(text), packed) and bad <= BAD_CHUNKS * len(chunks)
 
@@ -76,7 +76,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=LEVEL).compress
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             keys, texts = batch.column(0), columns(batch, "text")[0]
             rows = []
             for t in texts:
@@ -89,5 +89,5 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([keys, *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], [key, *names])
 
-    source = df.select(F.col(key), F.col(text).alias("text") if text != key else F.col(text))
-    return source.mapInArrow(judged, f"`{key}` {source.schema[key].dataType.simpleString()}, {SCHEMA}")
+    source = df.select(F.col(key), F.col(text).alias("text"))
+    return source.mapInArrow(judged, f"`{key}` {source.schema[0].dataType.simpleString()}, {SCHEMA}")

@@ -2,10 +2,13 @@
 
 The kernel compares two strings by the letter subsequences of ORDERS letters that they share. Each occurrence
 weighs DECAY to the power of its span, so that gaps and inserted characters cost a little and do not break a match;
-spans end at SPANS. Strings are normalised by their occurrences' own weight. A sentence is a bag of
-strings: its whitespace tokens, with runs of single spelled-out letters joined. Its decision is that of its most
-toxic string, and a document's that of its most toxic sentence; the sentences of a toxic document share its label
-through their strongest one only, which is chosen anew in each round of training.
+spans end at SPANS. Strings are normalised by their occurrences' own weight.
+
+What is labelled are sentences, which take their document's label. The kernel is taken over windows of a sentence, since an insult is a
+small part of it: its whitespace tokens, with runs of single spelled-out letters joined, and longer tokens in overlapping stretches of STRETCH
+characters. A sentence's decision is that of its most toxic window, and a document's that of its most toxic sentence. Which window decides is latent:
+it is chosen anew in each round of training, for toxic sentences as for clean ones, by the machine so far; clean sentences whose strongest window
+comes near are the hard negatives. Of a toxic document, only its strongest sentences count as toxic ones.
 
 The machine is linear over the kernel values with the landmarks, times the inverse root of the landmarks' own kernel
 matrix. As every kernel value is a sum over subsequences, that decision is a sum of one weight for each subsequence
@@ -20,12 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, iterator_udf, small_batches, stored
+from .shared import batch_slices, columns, iterator_udf, release, series_slices, stored
 
 ORDERS = (3, 4)
 SPANS = {3: 6, 4: 7}
 DECAY = 0.6
-#: Longer strings are scored in overlapping stretches.
+#: Longer tokens are cut into overlapping stretches, in training as in scoring.
 STRETCH, STEP = 24, 16
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
@@ -74,44 +77,40 @@ def occurrences(words: list[str]):
         yield np.where(whole, code + (32**3 if order == 4 else 0), 0), weight
 
 
-def _stretches(words: list[str]):
-    """(word's number, stretch), by length."""
-    by_length: dict[int, list[tuple[int, str]]] = {}
+def by_length(words: list[str]):
+    """(places, words) of words of one length, in blocks."""
+    places: dict[int, list[int]] = {}
     for k, word in enumerate(words):
-        for at in range(0, max(1, len(word) - STRETCH + STEP), STEP):
-            part = word[at : at + STRETCH]
-            by_length.setdefault(len(part), []).append((k, part))
-    for parts in by_length.values():
-        for at in range(0, len(parts), 20_000):
-            yield parts[at : at + 20_000]
+        places.setdefault(len(word), []).append(k)
+    for own in places.values():
+        for at in range(0, len(own), 10_000):
+            block = own[at : at + 10_000]
+            yield block, [words[k] for k in block]
 
 
 def decisions(words: list[str], weights, bias: float):
     """The machine's decision for each string; a string without subsequences gets the bias."""
-    out = np.full(len(words), -np.inf)
-    for block in _stretches(words):
+    out = np.full(len(words), float(bias))
+    for own, block in by_length(words):
         total, norm = np.zeros(len(block)), np.zeros(len(block))
-        for code, weight in occurrences([p for _, p in block]):
+        for code, weight in occurrences(block):
             total += weight * weights[code].sum(axis=1)
             norm += weight * weight * (code > 0).sum(axis=1)
-        np.maximum.at(out, [k for k, _ in block], bias + total / np.sqrt(np.maximum(norm, 1e-12)))
-    return np.where(np.isfinite(out), out, bias)
+        out[own] += total / np.sqrt(np.maximum(norm, 1e-12))
+    return out
 
 
 class Landmarks:
     def __init__(self, words: list[str]):
         self.words = words
         cells: dict[tuple[int, int], float] = {}
-        for block in _stretches([w[:STRETCH] for w in words]):
-            for code, weight in occurrences([p for _, p in block]):
-                for row, place in zip(*code.nonzero(), strict=True):
-                    key = int(code[row, place]), block[row][0]
-                    cells[key] = cells.get(key, 0.0) + weight
         norm = np.zeros(len(words))
-        for block in _stretches([w[:STRETCH] for w in words]):
-            own = [k for k, _ in block]
-            for code, weight in occurrences([p for _, p in block]):
+        for own, block in by_length(words):
+            for code, weight in occurrences(block):
                 norm[own] += weight * weight * (code > 0).sum(axis=1)
+                for row, place in zip(*code.nonzero(), strict=True):
+                    key = int(code[row, place]), own[row]
+                    cells[key] = cells.get(key, 0.0) + weight
         self.codes = np.array(sorted({c for c, _ in cells}), np.int64)
         place = {int(c): i for i, c in enumerate(self.codes, 1)}
         self.table = np.zeros((len(self.codes) + 1, len(words)), np.float32)
@@ -125,12 +124,11 @@ class Landmarks:
         self.root = vectors[:, keep] / np.sqrt(values[keep])
 
     def kernel(self, words: list[str]):
-        """Kernel values of strings with the landmarks; of a long string, those of its first stretch."""
+        """Kernel values of strings with the landmarks."""
         out = np.zeros((len(words), len(self.words)))
-        for block in _stretches([w[:STRETCH] for w in words]):
-            own = [k for k, _ in block]
+        for own, block in by_length(words):
             total, norm = np.zeros((len(block), len(self.words))), np.zeros(len(block))
-            for code, weight in occurrences([p for _, p in block]):
+            for code, weight in occurrences(block):
                 rows = self.row[code]
                 for place in range(rows.shape[1]):
                     total += weight * self.table[rows[:, place]]
@@ -138,9 +136,13 @@ class Landmarks:
             out[own] = total / np.sqrt(np.maximum(norm, 1e-12))[:, None]
         return out
 
+    def mapped(self, words: list[str]):
+        """The Nyström map: rows whose products approximate the kernel of the strings, exactly so among landmarks."""
+        return self.kernel(words) @ self.root
+
     def machine(self, words: list[str], labels, importance, strength: float = 1.0):
         """Weights of subsequences and bias of a squared-hinge machine on the strings."""
-        x = np.hstack([self.kernel(words) @ self.root, np.ones((len(words), 1))])
+        x = np.hstack([self.mapped(words), np.ones((len(words), 1))])
         y, w = np.where(labels, 1.0, -1.0), np.zeros(self.root.shape[1] + 1)
         ridge = np.eye(len(w))
         ridge[-1, -1] = 1e-3
@@ -158,8 +160,9 @@ class Landmarks:
 
 
 def strings(text: str) -> list[str]:
-    """The lower-cased tokens of a text, spelled-out letters joined."""
-    return SPELLED.sub(lambda m: "".join(m[0].split()), text.lower()).split()
+    """The windows of a text: its lower-cased tokens, spelled-out letters joined, longer ones in overlapping stretches."""
+    tokens = SPELLED.sub(lambda m: "".join(m[0].split()), text.lower()).split()
+    return [w[at : at + STRETCH] for w in tokens for at in range(0, max(1, len(w) - STRETCH + STEP), STEP)]
 
 
 class Scorer:
@@ -184,7 +187,7 @@ def _strongest(sample: DataFrame, weights, bias: float, most: int = 3) -> DataFr
         import pyarrow as pa
 
         scorer = Scorer(*sent.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             rows = []
             texts, labels = columns(batch, "text", "label")
             cut = [[s for s in map(strings, SENTENCE.split(t)) if s] for t in texts]
@@ -203,7 +206,7 @@ def _frequencies(sample: DataFrame) -> DataFrame:
     def counted(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             seen: dict[str, list[int]] = {}
             for text, label in zip(*columns(batch, "text", "label"), strict=True):
                 for w in set(strings(text)):
@@ -215,7 +218,7 @@ def _frequencies(sample: DataFrame) -> DataFrame:
 
 def grams(word: str) -> set[str]:
     """The four-letter pieces of a string, with a mark for its start."""
-    marked = "^" + word[:STRETCH]
+    marked = "^" + word
     return {marked[k : k + 4] for k in range(len(marked) - 3)} or {marked}
 
 
@@ -225,7 +228,7 @@ def _gram_frequencies(sample: DataFrame) -> DataFrame:
     def counted(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             seen: dict[str, list[int]] = {}
             for text, label in zip(*columns(batch, "text", "label"), strict=True):
                 for g in set().union(*map(grams, set(strings(text)))):
@@ -244,7 +247,7 @@ def _telling(toxic: DataFrame, odds: dict[str, float], most: int = 2) -> DataFra
 
         known = sent.value
         score: dict[str, float] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             words: list[str] = []
             for text in columns(batch, "text")[0]:
                 own = set(strings(text))
@@ -289,7 +292,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents
     that lean most to toxic documents. Later ones are those that the machine finds strongest in them. Negative strings are common ones, others of clean
     documents, and those that the machine finds strongest there.
     """
-    labelled = small_batches(labelled).select(F.col(text).alias("text"), (F.col(label) == 1).cast("int").alias("label")).where("text is not null and label is not null")
+    labelled = labelled.select(F.col(text).alias("text"), (F.col(label) == 1).cast("int").alias("label")).where("text is not null and label is not null")
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     total = sum(sizes.values())
     share = sizes.get(1, 0) / max(total, 1)
@@ -332,16 +335,21 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents
             negative.pop(w, None)
         negative |= {w: 1.0 for w in reversed(list(hard["word"])) if w and w not in positive}
         negative = dict(list(negative.items())[-6000:])
-    top = best.where("rank = 0").select("label", "value").limit(2 * documents).toPandas()
-    slope, offset = calibrate(top["value"].to_numpy(), top["label"].to_numpy(), np.where(top["label"] == 1, stands_for[1], stands_for[0]))
+    # Strings that decide a document: no more than the sample has different texts, copies being counted.
+    top = best.where("rank = 0").groupBy("label", "value").agg(F.count("*").alias("n")).orderBy("label", "value").toPandas()
+    slope, offset = calibrate(top["value"].to_numpy(), top["label"].to_numpy(), top["n"].to_numpy(float), stands_for)
+    release(sample, frequencies)
     return {"weights": weights, "bias": bias, "slope": slope, "offset": offset}
 
 
-def calibrate(values, labels, rows=1.0):
-    """Slope and offset of a logistic curve from decisions to probabilities, with smoothed targets; `rows` is how many each value stands for."""
-    rows = np.broadcast_to(np.asarray(rows, float), len(values))
-    rows = rows / rows.mean() if len(rows) else rows
-    n1, n0 = max(labels.sum(), 1), max((1 - labels).sum(), 1)
+def calibrate(values, labels, counts, stands_for):
+    """Slope and offset of a logistic curve from decisions to probabilities, with smoothed targets.
+
+    Each value is that of `counts` sampled rows, each of which stands for `stands_for[label]` rows.
+    """
+    rows = counts * np.where(labels == 1, stands_for[1], stands_for[0])
+    rows = rows * counts.sum() / rows.sum()
+    n1, n0 = max(counts[labels == 1].sum(), 1), max(counts[labels != 1].sum(), 1)
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([values, np.ones(len(values))], 1)
     w = np.array([1.0, 0.0])
@@ -367,10 +375,10 @@ def score(df: DataFrame, model: dict, text: str = "text", score: str = "score",
 
         model = sent.value
         scorer = Scorer(model["weights"], model["bias"])
-        for texts in batches:
+        for texts in series_slices(batches):
             cut = [set(strings(t)) if t else set() for t in texts]
             known = scorer.learn(set().union(*cut)) if cut else {}
             value = np.array([max(map(known.__getitem__, words)) if words else model["bias"] for words in cut], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(model["slope"] * value + model["offset"], -700, 700))))
 
-    return small_batches(df).withColumn(score, iterator_udf(scored, "double")(F.col(text))).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
+    return df.withColumn(score, iterator_udf(scored, "double")(F.col(text))).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))

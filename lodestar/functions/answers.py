@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import WS, norm_spaces
 
+# How answers are marked.
 HASHES = rf"(?s)####{WS[4:]}*(.+)$"
 BOXED = r"\\boxed\{([^}]+)\}"
 NUMBER = r"[-+]?\d*\.?\d+"

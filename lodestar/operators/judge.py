@@ -8,20 +8,16 @@ from pyspark.sql import functions as F
 FIELDS = ("correct_answer", "correct", "confidence")
 
 
-def _flat(value: Column, response: str, title_case: bool) -> list[Column]:
-    out = []
-    for name in FIELDS:
-        text = F.coalesce(F.try_variant_get(value, f"{response}.{name}", "string"), F.lit(""))
-        if title_case:
-            text = F.when(text == "true", "True").when(text == "false", "False").otherwise(text)
-        out.append(text.alias(name))
-    return out
-
 
 def _is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")
 
 
+def _field(response: Column, name: str, title_case: bool) -> Column:
+    text = F.coalesce(F.try_variant_get(response, f"$.{name}", "string"), F.lit(""))
+    return F.when(text == "true", "True").when(text == "false", "False").otherwise(text) if title_case else text
+
+
 def flattened(df: DataFrame, json: str = "value", keep: tuple[str, ...] = (), title_case: bool = False) -> DataFrame:
     """(id, correct_answer, correct, confidence), all text, from documents with one JSON value each.
 
@@ -29,17 +25,15 @@ def flattened(df: DataFrame, json: str = "value", keep: tuple[str, ...] = (), ti
     Values that aren't objects give no row. A null response of the keyed shapes gives a row of empty texts, one of the third
     shape none. Missing and null fields are empty. Booleans read true and false, or with title_case True and False. Documents that aren't JSON give no
     rows. Columns in `keep` go along.
+
+    A document is parsed once: each shape becomes a list of items, an item a list of (id, value), which are taken apart together.
     """
+    doc, item = F.col("doc"), F.col("item")
     parsed = df.select(*keep, F.try_parse_json(F.col(json)).alias("doc")).where("doc is not null")
-    view = parsed.sparkSession
-    kept = "".join(f"t.`{c}`, " for c in keep)
-    from_object = view.sql(f"SELECT {kept} e.key AS id, e.value AS v FROM {{t}} t, LATERAL variant_explode(t.doc) e WHERE schema_of_variant(t.doc) LIKE 'OBJECT%'", t=parsed)
-    items = view.sql(f"SELECT {kept} e.value AS item FROM {{t}} t, LATERAL variant_explode(t.doc) e WHERE schema_of_variant(t.doc) LIKE 'ARRAY%'", t=parsed)
-    keys = F.json_object_keys(F.to_json(F.col("item")))
-    items = items.where(_is_object(F.col("item"))).withColumn("names", keys)
-    singles = view.sql(f"SELECT {kept} e.key AS id, e.value AS v FROM {{t}} t, LATERAL variant_explode(t.item) e WHERE size(t.names) = 1", t=items)
-    keyed = from_object.unionByName(singles).where(_is_object(F.col("v"))).select(*keep, "id", *_flat(F.col("v"), "$.judge_response", title_case))
-    response = F.try_variant_get(F.col("item"), "$.judge_response", "variant")
-    identity = F.try_variant_get(F.col("item"), "$.id", "string")
-    plain = items.where((F.size("names") != 1) & identity.isNotNull() & _is_object(response)).select(*keep, identity.alias("id"), *_flat(F.col("item"), "$.judge_response", title_case))
-    return keyed.unionByName(plain)
+    listed = F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.array(doc))
+    items = parsed.select(*keep, F.schema_of_variant(doc).startswith("OBJECT").alias("keyed"), F.explode(listed).alias("item")).where(_is_object(item))
+    members = F.map_entries(F.try_variant_get(item, "$", "map<string,variant>"))
+    plain = F.filter(F.array(F.struct(F.try_variant_get(item, "$.id", "string").alias("key"), item.alias("value"))), lambda e: e["key"].isNotNull() & _is_object(F.try_variant_get(e["value"], "$.judge_response", "variant")))
+    entries = items.select(*keep, F.explode(F.when(F.col("keyed") | (F.size(members) == 1), members).otherwise(plain)).alias("e")).where(_is_object(F.col("e.value")))
+    response = entries.select(*keep, F.col("e.key").alias("id"), F.try_variant_get("e.value", "$.judge_response", "variant").alias("response"))
+    return response.select(*keep, "id", *[_field(F.col("response"), name, title_case).alias(name) for name in FIELDS])

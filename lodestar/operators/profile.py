@@ -36,6 +36,10 @@ def mean_interval(df: DataFrame, by: str, *metrics: str, digits: int = 2) -> Dat
     return grouped.select(by, "metric", "n", *[F.round(c, digits).alias(n) for n, c in (("mean", F.col("mean")), ("low", F.col("mean") - F.col("half")), ("high", F.col("mean") + F.col("half")))])
 
 
+# Fixed value: a number or a fraction, and nothing else.
+NUMERIC = r"^\s*[-+]?(\d+(\.\d+)?|\d+/\d+)\s*$"
+
+
 def numeric_share(df: DataFrame, c: Column) -> DataFrame:
     """(share): how much of the values that aren't null look like a number or a fraction."""
-    return df.agg(F.avg(F.rlike(c.cast("string"), F.lit(r"^\s*[-+]?(\d+(\.\d+)?|\d+/\d+)\s*$")).cast("double")).alias("share"))
+    return df.agg(F.avg(F.rlike(c.cast("string"), F.lit(NUMERIC)).cast("double")).alias("share"))

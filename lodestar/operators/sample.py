@@ -33,9 +33,10 @@ def allocation(df: DataFrame, by: str, size: int = 500) -> DataFrame:
     return counts.where(F.col(by).isNotNull()).select(by, "n", share.alias("share"), F.bround(share * float(size)).cast("bigint").alias("quota"))
 
 
-def members(df: DataFrame, by: str, key: str) -> DataFrame:
-    """The keys of each category as a sorted array, for small tables; membership() has them as rows."""
-    return df.groupBy(by).agg(F.sort_array(F.collect_list(key)).alias("members"))
+def members(df: DataFrame, by: str, key: str, size: int = 1000, seed: int = 2025) -> DataFrame:
+    """(category, part, members): the keys of each category as sorted arrays of at most `size`, dealt to them by a seeded shuffle. No category meets in one task or row."""
+    parts = membership(df, by, key, seed).withColumn("part", F.floor(F.col("place") / size))
+    return parts.groupBy(by, "part").agg(F.sort_array(F.collect_list(key)).alias("members"))
 
 
 def membership(df: DataFrame, by: str, key: str, seed: int = 2025) -> DataFrame:
@@ -72,6 +73,11 @@ def quota_sample(df: DataFrame, quotas: DataFrame, by: str, key: str, seed: int
     return ranked.where("_place < _quota").drop("_place", "_quota", "_hash").select(*df.columns)
 
 
+def size_report(df: DataFrame, size: int) -> DataFrame:
+    """(n, expected, complete): whether a sample has as many rows as it should; a warning, not an error, as quotas needn't sum to the size."""
+    return df.agg(F.count("*").alias("n")).select("n", F.lit(size).cast("bigint").alias("expected"), (F.col("n") == size).alias("complete"))
+
+
 def full_rows(source: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     """The rows of the unfiltered source whose keys were chosen."""
     return source.join(chosen.select(key), key, "left_semi")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import hash_bucket, hash_key, index_bucket, numbered
+from .ranking import hash_bucket, hash_key, numbered, range_bucket
 
 SEED = 2025
 RATIO = 0.02
@@ -56,10 +56,10 @@ def split(train: DataFrame | None, val: DataFrame | None, key: str, strategy: St
 
 def indexed(df: DataFrame, source_index: str, name: str = "index") -> DataFrame:
     """Adds 0, 1, ... within each split, in source order."""
-    return numbered(df, index_bucket(F.col(source_index)), [source_index], within=("split",), name=name)
+    return numbered(df, range_bucket(df, source_index), [source_index], within=("split",), name=name)
 
 
 def generated_ids(df: DataFrame, source_index: str, stem: str, name: str = "id") -> DataFrame:
     """Adds `{stem}-000000`, ... in source order."""
-    placed = numbered(df, index_bucket(F.col(source_index)), [source_index], name="_place")
+    placed = numbered(df, range_bucket(df, source_index), [source_index], name="_place")
     return placed.withColumn(name, F.format_string(f"{stem.replace('%', '%%')}-%06d", F.col("_place"))).drop("_place")

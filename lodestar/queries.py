@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,7 +93,9 @@ def strip(spark, folder):
 @query("SELECT doc_id, TRY_CAST(CASE WHEN doc_id % 2 = 0 THEN n_chars || 'e1' ELSE lang END AS DOUBLE) AS difficulty, CASE WHEN doc_id % 2 = 0 THEN n_chars || 'e1' ELSE lang END AS difficulty_text FROM documents")
 def float_or_text(spark, folder):
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat("n_chars", F.lit("e1"))).otherwise(F.col("lang"))
-    return table(spark, folder, "documents").select("doc_id", raw.try_cast("double").alias("difficulty"), raw.alias("difficulty_text"))
+    rows = table(spark, folder, "documents").withColumns({"level": raw, "split": F.lit("train"), "index": F.col("doc_id")})
+    info = convert.extra_info(rows, infer.Config("d", "text", "text", difficulty="level"))
+    return rows.select("doc_id", info.alias("i")).select("doc_id", "i.difficulty", "i.difficulty_text")
 
 
 # Splits and records
@@ -150,9 +154,11 @@ def validate_rows(spark, folder):
 
 @query("SELECT rule, n AS violations FROM (SELECT 'prompt has a turn' AS rule, (SELECT count(*) FROM conversations WHERE turn = 0 AND conv_id % 7 = 0) AS n UNION ALL SELECT 'turns are whole', (SELECT count(*) FROM conversations WHERE turn = 0 AND conv_id % 5 = 0 AND conv_id % 7 <> 0))")
 def validate_violations(spark, folder):
-    first = table(spark, folder, "conversations").where("turn = 0")
-    turns = F.array(F.struct("role", F.when(F.col("conv_id") % 5 != 0, F.col("text")).alias("content")))
-    records = first.select(
+    """Whole conversations; in some the first turn has no content, and some have no turns."""
+    turn = F.struct("turn", "role", F.when((F.col("turn") != 0) | (F.col("conv_id") % 5 != 0), F.col("text")).alias("content"))
+    whole = table(spark, folder, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    records = whole.select(
         F.lit("c").alias("data_source"), F.when(F.col("conv_id") % 7 != 0, turns).otherwise(F.array().cast("array<struct<role:string,content:string>>")).alias("prompt"),
         F.lit("general").alias("ability"), F.struct(F.lit(None).cast("string").alias("ground_truth")).alias("reward_model"), F.struct(F.lit(0).alias("index")).alias("extra_info"),
     )
@@ -172,15 +178,15 @@ def category_frequencies(spark, folder):
     return sample.frequencies(table(spark, folder, "documents"), "lang")
 
 
-@query("SELECT lang, to_json(list(doc_id ORDER BY doc_id)) AS members FROM documents WHERE source = 'src1' GROUP BY lang")
+@query(f"SELECT lang, part, to_json(list(doc_id ORDER BY doc_id)) AS members FROM (SELECT lang, doc_id, ((place - 1) // 1000)::BIGINT AS part FROM (SELECT lang, doc_id, {RANKED.format('lang', 'doc_id')} FROM documents)) GROUP BY lang, part")
 def category_members(spark, folder):
-    small = table(spark, folder, "documents").where("source = 'src1'")
-    return sample.members(small, "lang", "doc_id").withColumn("members", F.to_json("members"))
+    """The keys of each category of all documents, in arrays of bounded size."""
+    return sample.members(table(spark, folder, "documents"), "lang", "doc_id").withColumn("members", F.to_json("members"))
 
 
 @query(f"SELECT lang, doc_id, place - 1 AS place FROM (SELECT lang, doc_id, {RANKED.format('lang', 'doc_id')} FROM documents)")
 def category_membership(spark, folder):
-    """All documents, of which category_members takes one source."""
+    """The keys of each category as rows."""
     return sample.membership(table(spark, folder, "documents"), "lang", "doc_id")
 
 
@@ -209,9 +215,9 @@ def missing_quota_category(spark, folder):
     return sample.missing_categories(sample.quota_table(docs, QUOTAS, "lang"), docs, "lang")
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def semi_join_selected(spark, folder):
-    return sample.full_rows(table(spark, folder, "documents").drop("text"), table(spark, folder, "labels"), "doc_id")
+    return sample.full_rows(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id")
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -454,8 +460,164 @@ def json_lines(spark, folder):
     return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
 
 
-@query("SELECT n_nationkey::VARCHAR AS n_nationkey, 'say \"' || n_name || '\", ' AS n_name FROM nation")
+@query("SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text, 'say \"' || lang || '\", ' AS lang FROM documents")
 def csv_round_trip(spark, folder):
-    """Rows with quotes, commas and blanks at the end written as CSV with a mark, and read back."""
-    rows = table(spark, folder, "nation").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), F.concat(F.lit('say "'), "n_name", F.lit('", ')).alias("n_name"))
+    """Whole texts, and cells with quotes, commas and blanks at the end, written as CSV with a mark, and read back."""
+    rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.concat(F.lit('say "'), "lang", F.lit('", ')).alias("lang"))
     return files.csv(spark, sinks.csv_with_mark(rows, scratch(spark, "csv")), "utf-8-sig")
+
+
+@query("SELECT n_name, n_nationkey::VARCHAR AS n_nationkey FROM nation")
+def csv_fields(spark, folder):
+    """Chosen fields in an order of their own, as CSV, read back as text."""
+    return files.csv(spark, sinks.csv(table(spark, folder, "nation"), scratch(spark, "csv-fields"), ["n_name", "n_nationkey"]))
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS n_name FROM nation")
+def csv_japanese(spark, folder):
+    """Rows in the Japanese charset of spreadsheets, of which some cells are marked as missing, read back."""
+    line = F.concat_ws(",", "n_nationkey", F.when(F.col("n_nationkey") % 5 != 0, F.col("n_name")).otherwise("N/A"))
+    path = scratch(spark, "csv-japanese")
+    rows = table(spark, folder, "nation").select(line.alias("line")).groupBy().agg(F.concat_ws("\n", F.array_sort(F.collect_list("line"))).alias("value"))
+    rows.select(F.concat(F.lit("n_nationkey,n_name\n"), "value").alias("value")).write.option("encoding", "windows-31j").text(path)
+    return files.csv(spark, path, "cp932", na=text.NA_TOKENS)
+
+
+@query("SELECT doc_id, text, lang FROM documents WHERE doc_id % 10 <> 0")
+def json_lines_skipped(spark, folder):
+    """Rows written as JSON lines without those whose text isn't UTF-8, and read back."""
+    broken = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("x"), F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("text"))
+    path = sinks.jsonl(table(spark, folder, "documents").select("doc_id", broken.alias("text"), "lang"), scratch(spark, "json-lines"), skipped=scratch(spark, "skipped"))
+    return spark.read.schema("doc_id long, text string, lang string").json(path)
+
+
+KEYS_SQL = "SELECT r_regionkey::VARCHAR AS filename, 'first' AS key1, CASE WHEN r_regionkey % 2 = 0 THEN 'also' ELSE '' END AS key2 FROM region"
+
+
+@query(KEYS_SQL)
+def file_keys(spark, folder):
+    """The keys of the first line of JSONL files, one for each region, written as a table of keys and read back, with cells that are empty."""
+    first = F.when(F.col("r_regionkey") % 2 == 0, '{"first": 1, "also": 2}').otherwise('{"first": 1}')
+    path = scratch(spark, "jsonl")
+    table(spark, folder, "region").select(F.concat(first, F.lit('\n{"rest": 0}')).alias("value"), "r_regionkey").write.partitionBy("r_regionkey").text(path)
+    found = files.first_line_keys(spark, f"{path}/*/*.txt", lambda p: F.regexp_extract(p, "r_regionkey=([0-9]+)/", 1))
+    return files.csv(spark, sinks.key_table(found, scratch(spark, "keys"))).fillna("")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name || chr(10) || n_nationkey AS value FROM nation")
+def whole_files(spark, folder):
+    """A file for each nation, read back as one text, line ends included."""
+    path = scratch(spark, "files")
+    lines = table(spark, folder, "nation").select(F.concat("n_name", F.lit("\n"), "n_nationkey").alias("value"), F.col("n_nationkey").alias("part"))
+    lines.write.partitionBy("part").text(path)
+    return files.documents(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", "part=([0-9]+)/", 1).cast("bigint").alias("n_nationkey"), F.rtrim(F.col("value"), F.lit("\n")).alias("value"))
+
+
+@query("SELECT doc_id, lang, split FROM (SELECT doc_id, lang, " + SPLIT + " AS split FROM (SELECT *, " + RANKED.format("lang", "doc_id") + " FROM documents))")
+def split_files(spark, folder):
+    """Train and validation rows written to Parquet of their own, loaded by the format of their files, and chosen as splits."""
+    made = split.stratified_split(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id", "lang")
+    train, val = sinks.split_parquet(made, scratch(spark, "splits"), "documents")
+    loaded = files.load(spark, {"train": f"{train}/*.parquet", "validation": f"{val}/*.parquet"})
+    chosen = files.chosen_splits(loaded, None, "validation")
+    return split.split(*chosen, "doc_id", split.Strategy("existing"))
+
+
+@query("SELECT 'j' || s_suppkey AS job, 'n' || (s_suppkey % 4) AS node, 'PD' AS state FROM supplier WHERE s_suppkey % 4 IN (1, 2) AND s_suppkey % 3 = 0 AND s_suppkey % 2 = 0")
+def job_table(spark, folder):
+    """A captured job table, read from text and filtered by nodes, user and state."""
+    line = F.format_string("%-10s j%d   n%d %s", F.when(F.col("s_suppkey") % 3 == 0, "me").otherwise("you"), "s_suppkey", F.col("s_suppkey") % 4, F.when(F.col("s_suppkey") % 2 == 0, "PD").otherwise("R"))
+    header = spark.range(1).select(F.lit("USER JOB NODE STATE").alias("value"))
+    path = sinks.report(header.unionByName(table(spark, folder, "supplier").select(line.alias("value"))), scratch(spark, "jobs"))
+    jobs = files.command_output(spark, path, "USER", "JOB", "NODE", "STATE").toDF("user", "job", "node", "state")
+    return files.jobs(jobs, nodes=["n1", "n2"], user="me", states=["PD"]).select("job", "node", "state")
+
+
+@query("SELECT s_suppkey, 'n' || s_suppkey AS node FROM supplier")
+def valid_nodes(spark, folder):
+    """Node names with their prefix, after a check against the allowed ones."""
+    names = cluster.valid_nodes(["n"], ["n", "m"])
+    return table(spark, folder, "supplier").select("s_suppkey", F.concat(F.lit(names[0]), "s_suppkey").alias("node"))
+
+
+@query("SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'und ') AS hit FROM documents")
+def contains_any(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", text.contains_any(F.col("text"), ["The", "UND "]).alias("hit"))
+
+
+BENCH_SQL = "(VALUES " + ", ".join(f"({k}, '{c}', {n})" for k, (c, n) in enumerate(sample.QUOTA.items())) + ") q(k, category, quota)"
+
+
+@query(
+    f"""WITH named AS (SELECT l_orderkey * 8 + l_linenumber AS key, category, quota FROM lineitem JOIN {BENCH_SQL} ON l_orderkey % 8 = k),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('2025:' || key), key) AS place FROM named)
+    SELECT category, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total, sum(count(*)) OVER () = 500 AS complete FROM ranked WHERE place <= quota GROUP BY category"""
+)
+def quota_500(spark, folder):
+    """The fixed quotas of eight categories, drawn exactly, and whether the sample has all of its 500 rows."""
+    names = F.from_json(F.lit(json.dumps(list(sample.QUOTA))), "array<string>")
+    lines = table(spark, folder, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), F.get(names, (F.col("l_orderkey") % 8).cast("int")).alias("category"))
+    drawn = sample.quota_sample(lines, sample.quota_table(lines, sample.QUOTA), "category", "key", strict=False)
+    report = sample.size_report(drawn, 500).select(F.col("n").alias("total"), "complete")
+    return drawn.groupBy("category").agg(F.count("*").alias("n")).crossJoin(F.broadcast(report))  # one row
+
+
+@query(r"SELECT avg(regexp_full_match(CASE WHEN page_id % 4 = 0 THEN ' 3/4 ' WHEN page_id % 4 = 1 THEN page_id || '.5' ELSE url END, '\s*[-+]?(\d+(\.\d+)?|\d+/\d+)\s*')::INT) AS share FROM pages WHERE page_id % 7 <> 0")
+def numeric_share(spark, folder):
+    cell = F.when(F.col("page_id") % 4 == 0, " 3/4 ").when(F.col("page_id") % 4 == 1, F.concat("page_id", F.lit(".5"))).otherwise(F.col("url"))
+    return profile.numeric_share(table(spark, folder, "pages"), F.when(F.col("page_id") % 7 != 0, cell))
+
+
+@query("SELECT 'prompt has a turn' AS rule, count(*) FILTER (WHERE conv_id % 7 = 0) AS violations FROM (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 50) UNION ALL SELECT 'turns are whole', 0")
+def validate_first(spark, folder):
+    """The rules on the first 50 records only."""
+    turn = F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content")))
+    records = table(spark, folder, "conversations").select("conv_id").distinct().orderBy("conv_id").select(
+        F.lit("c").alias("data_source"), F.when(F.col("conv_id") % 7 != 0, turn).otherwise(F.slice(turn, 1, 0)).alias("prompt"), F.lit("general").alias("ability"),
+        F.struct(F.lit(None).cast("string").alias("ground_truth")).alias("reward_model"), F.struct(F.lit(0).alias("index")).alias("extra_info"),
+    )
+    return validate.violations(records, sample=50)
+
+
+# Inference
+
+
+@query(r"""SELECT doc_id, CASE WHEN contains(a, '####') THEN 'after_hash4' WHEN regexp_matches(a, '\boxed\{[^}]+\}') THEN 'boxed' WHEN len(regexp_extract_all(a, '[-+]?\d*\.?\d+')) >= 5 THEN 'numeric' ELSE 'copy' END AS extractor
+    FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' #### 1' WHEN 1 THEN ' oxed{x' WHEN 2 THEN ' oxed{x}' WHEN 3 THEN ' 1 2 3 4 .5' ELSE '' END || E'
+' || lang AS a FROM documents)""")
+def guess_extractor(spark, folder):
+    """What the answers of each document would be taken for: its text with a mark, and its language, as a sample of two."""
+    marks = F.from_json(F.lit(json.dumps([" #### 1", " \\boxed{x", " \\boxed{x}", " 1 2 3 4 .5", ""])), "array<string>")
+    answers_ = F.array(F.concat("text", F.get(marks, (F.col("doc_id") % 5).cast("int"))), F.col("lang"))
+    return table(spark, folder, "documents").select("doc_id", infer.guessed_extractor(answers_).alias("extractor"))
+
+
+@query(
+    """WITH first AS (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 5)
+    SELECT unnest(['question', 'answer', 'topic', 'difficulty', 'passthrough', 'train', 'val', 'strategy', 'ability', 'extractor', 'prefix']) AS part,
+    unnest([(SELECT CASE WHEN count(text) FILTER (WHERE doc_id < 0) > 0 THEN 'question' ELSE 'problem' END FROM first), 'solution', 'category', NULL, 'source', 'main', NULL, 'stratified', 'math', 'after_hash4', 'some_set_1']) AS value"""
+)
+def infer_config(spark, folder):
+    """What is inferred from documents under other names: a question column without values is passed over, marks in the first answers are found."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.when(F.col("doc_id") < 0, F.col("text")).alias("question"), F.col("text").alias("problem"), F.concat("text", F.lit(" #### "), "n_chars").alias("solution"), F.col("lang").alias("category"), "source",
+    )
+    found = infer.inferred("some/Set-1", {"extra": docs, "main": docs}, "doc_id")
+    values = {n: getattr(found, n) for n in ("question", "answer", "topic", "difficulty", "train", "val", "ability", "extractor", "prefix")}
+    values |= {"passthrough": ",".join(found.passthrough), "strategy": found.strategy.kind}
+    return files.rows(spark, [{"part": k, "value": v} for k, v in values.items()], "part string, value string")
+
+
+@query(
+    f"""SELECT doc_id, regexp_replace(text, '\\s+$', '') || E'\\n\\n' || '{INSTRUCTION_SQL}' AS content, {AFTER} AS ground_truth, lang AS topic, {SPLIT} AS split
+    FROM (SELECT *, {RANKED.format('lang', 'doc_id')} FROM documents)"""
+)
+def inferred_records(spark, folder):
+    """Records of a table whose columns are inferred from their names and first rows."""
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("problem"), F.concat("text", F.lit(" #### "), "n_chars", F.lit(". ")).alias("solution"), F.col("lang").alias("topic"), F.col("doc_id").alias("level"))
+    hub = files.Registry()
+    hub.add("some/maths-set", {"train": docs}, "part")
+    splits = hub.load("some/maths-set", "part")
+    made = convert.converted(splits, infer.inferred("some/maths-set", splits, "doc_id"), "doc_id")
+    info = F.col("extra_info")
+    return made.select(info["difficulty"].cast("bigint").alias("doc_id"), chat.first_content(F.col("prompt")).alias("content"), "reward_model.ground_truth", info["topic"].alias("topic"), info["split"].alias("split"))

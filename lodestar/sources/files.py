@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import base_name, null_if_na
@@ -37,9 +37,17 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def first_line_keys(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(filename, keys): the top-level keys of the first line of each JSONL file."""
-    return documents(spark, path).select(base_name(F.col("path")).alias("filename"), keys(F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "")).alias("keys"))
+def first_line_keys(spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] = base_name) -> DataFrame:
+    """(filename, keys): the top-level keys of the first line of each JSONL file; none for a file without lines. `name` makes the file's name of its path.
+
+    Files are read as lines, in as many splits as Spark makes; only the first line of each file's first split is kept.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    first = rows.where("start = 0").groupBy("path").agg(F.min_by("value", "place").alias("line"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731 (the two sources write local paths differently)
+    joined = files.select(plain(F.col("path")).alias("path")).join(first.select(plain(F.col("path")).alias("path"), "line"), "path", "left")
+    return joined.select(name(F.col("path")).alias("filename"), keys(F.regexp_replace("line", "\r$", "")).alias("keys"))
 
 
 def formats(files) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.jsonkeys import padded
@@ -15,9 +15,16 @@ def parquet(df: DataFrame, path: str, codec: str = "snappy") -> str:
     return path
 
 
-def split_parquet(df: DataFrame, folder: str, prefix: str) -> list[str]:
-    """`{folder}/{prefix}_train` and `_val`, without the split column."""
-    return [parquet(df.where(F.col("split") == s).drop("split"), f"{folder}/{prefix}_{s}") for s in ("train", "val")]
+def split_parquet(df: DataFrame, folder: str, prefix: str, names: tuple[str, ...] = ("train", "val")) -> list[str]:
+    """Paths `{folder}/{prefix}/split=train` and `split=val`, written in one pass, without the split column; a split without rows is an empty table."""
+    top = f"{folder}/{prefix}"
+    df.where(F.col("split").isin(*names)).write.mode("overwrite").option("compression", "snappy").partitionBy("split").parquet(top)
+    paths = [f"{top}/split={s}" for s in names]
+    for path in paths:
+        system, target = _file_system(df, path)
+        if not system.exists(target):
+            parquet(df.drop("split").limit(0), path)
+    return paths
 
 
 def _csv(df: DataFrame, path: str) -> str:
@@ -32,9 +39,9 @@ def csv(df: DataFrame, path: str, fields: list[str] | None = None) -> str:
 
 
 def csv_with_mark(df: DataFrame, path: str) -> str:
-    """One CSV file that starts with a byte order mark, for spreadsheets: for small tables, as one task writes it."""
+    """CSV files that each start with a header and a byte order mark, for spreadsheets; a table of one partition is one file."""
     first = df.columns[0]
-    return _csv(df.withColumnRenamed(first, "\ufeff" + first).coalesce(1), path)
+    return _csv(df.withColumnRenamed(first, "\ufeff" + first), path)
 
 
 def key_table(df: DataFrame, path: str) -> str:
@@ -42,12 +49,26 @@ def key_table(df: DataFrame, path: str) -> str:
     return _csv(padded(df, "keys"), path)
 
 
-def jsonl(df: DataFrame, path: str, rows: int | None = None, order: str | None = None) -> str:
-    """One JSON object a line, nulls kept, other scripts as they are; with `rows`, the first so many in an order. Records that can't be written are left out."""
+def writable(df: DataFrame) -> Column:
+    """Whether a row can be written as text: none of its string columns holds bytes that aren't UTF-8."""
+    ok = F.lit(True)
+    for c, kind in df.dtypes:
+        if kind == "string":
+            ok = ok & F.coalesce(F.is_valid_utf8(F.col(f"`{c}`")), F.lit(True))
+    return ok
+
+
+def jsonl(df: DataFrame, path: str, rows: int | None = None, order: str | None = None, skipped: str | None = None) -> str:
+    """One JSON object a line, nulls kept, other scripts as they are; with `rows`, the first so many in an order.
+
+    Rows that can't be written as text are left out, and with `skipped` go to Parquet there, so that they can be counted and mended.
+    """
     if rows is not None:
         df = df.orderBy(order).limit(rows) if order else df.limit(rows)
-    written = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    written.where("value is not null").write.mode("overwrite").text(path)
+    ok = writable(df)
+    df.where(ok).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    if skipped:
+        parquet(df.where(~ok), skipped)
     return path
 
 
@@ -62,11 +83,15 @@ def pretty(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
 
 
+def _file_system(df: DataFrame, path: str):
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), target
+
+
 def size_mb(df: DataFrame, path: str) -> float:
     """Megabytes of the files under a path, on whatever file system it names."""
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(target).getLength() / 1e6
+    system, target = _file_system(df, path)
+    return system.getContentSummary(target).getLength() / 1e6
 
 
 def logger(name: str, file: str | None = None) -> logging.Logger:

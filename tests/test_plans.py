@@ -39,9 +39,10 @@ def test_inference_of_splits(spark):
         infer.inferred("d", {"test": rows})
 
 
-@pytest.mark.parametrize("answers, extractor", [(["a #### 1"], "after_hash4"), ([r"\boxed{1}"], "boxed"), (["1 2", "3 4 5"], "numeric"), (["x", None], "copy")])
-def test_guesses(answers, extractor):
-    assert infer.guessed_extractor(answers) == extractor
+@pytest.mark.parametrize("answers, extractor", [(["a #### 1"], "after_hash4"), ([r"\boxed{1}"], "boxed"), ([r"\boxed{1", "x"], "copy"), ([r"\boxed{1", "x}"], "boxed"), (["1 2", "3 4 5"], "numeric"), (["x", None], "copy"), ([], "copy")])
+def test_guesses(spark, answers, extractor):
+    made = spark.createDataFrame([(answers,)], "a array<string>").select(infer.guessed_extractor(F.col("a")))
+    assert made.first()[0] == extractor
 
 
 def test_formats():

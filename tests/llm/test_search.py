@@ -113,3 +113,31 @@ def test_graph_components(spark):
     assert found == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
     assert rows(components.components(spark.createDataFrame([], "a int, b int"))) == []
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def half_overlapping(n):
+    """n near copies each of two texts that share half of their words."""
+    r = random.Random(n)
+    shared, own = prose(1, 120, 200), [prose(2, 120, 200), prose(3, 120, 200)]
+    return [t for side in own for t in copies(r, f"{shared} {side}", n, 4)]
+
+
+def compared_pairs(spark, monkeypatch, texts):
+    """How many pairs of classes are compared on the way, and the components."""
+    seen, plain = [0], ngram.compared
+
+    def counting(pairs, sets):
+        kept = ngram.stored(pairs.select("a", "b"), "counted")
+        seen[0] += kept.count()
+        return plain(kept, sets)
+
+    monkeypatch.setattr(ngram, "compared", counting)
+    found = rows(ngram.near_duplicates(table(spark, list(enumerate(texts)))))
+    return seen[0], len({x["component_id"] for x in found})
+
+
+def test_pairs_grow_with_the_copies(spark, monkeypatch):
+    few, parts = compared_pairs(spark, monkeypatch, half_overlapping(150))
+    many, again = compared_pairs(spark, monkeypatch, half_overlapping(300))
+    assert parts == again == 2
+    assert few <= 6 * 300 and many <= 6 * 600

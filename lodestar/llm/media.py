@@ -1,11 +1,14 @@
 """Media columns: interleaved sequences of text and media, parsed from HTML, with payloads resolved by digest.
 
 A page becomes an ordered array of items: text blocks and references to media, with captions from figcaption or else alt. A
-reference names a digest (`sha256:...`). Payloads live in a media table, keyed by digest; a join brings what is known of a
+reference names a digest (`sha256:...`), or else an address (`src`). Payloads live in a media table, keyed by digest; a join brings what is known of a
 payload to each reference, and the items of a page are gathered again by position, so that positions and captions stay aligned.
 
 Payloads are stored as binary greyscale images (PGM) WIDTH samples wide, one byte a sample: lossless. Properties of a payload
 are computed from the stored form, once read back, and only they are joined; the bytes themselves aren't shuffled.
+
+A text becomes a page of all its lines, in sections of SECTION lines. Each section ends with a figure that shows the text's image, with a
+caption that says which lines stand above it, so that text and references alternate over the whole page.
 """
 
 from __future__ import annotations
@@ -18,93 +21,123 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, iterator_udf, stored
+from .shared import batch_slices, columns, iterator_udf, series_slices, stored, unused
 
 WIDTH = 192
-#: Output rows are handed on whenever they hold so many bytes.
-FLUSH_BYTES = 16 << 20
+#: Lines of a section of a text's page.
+SECTION = 8
 
 BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul br body html".split())
 SILENT = frozenset("script style template noscript title".split())
 MEDIA = frozenset("img video audio source embed".split())
 
-MEDIA_SCHEMA = "doc_id long, n_bytes long, html string, digest string, media binary"
+#: Fields of an item besides its position: text of a block; of a reference its caption, address and digest.
+FIELDS = ("kind", "text", "caption", "src", "digest")
+MEDIA_SCHEMA = "n_bytes long, html string, digest string, media binary"
 PROPERTIES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 class Sequence(HTMLParser):
-    """Collects items: [kind, text, caption, digest] in reading order."""
+    """Collects items in reading order.
+
+    A figcaption captions all media of its figure, wherever it stands there. It ends with its own end tag, with the figure, with the page, or with the
+    next block once it has text. Outside a figure it is a text block. Of several captions in a figure, the first counts and the others are text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items: list[list] = []
+        self.items: list[dict] = []
         self.words: list[str] = []
         self.silent = 0
-        self.figures: list[list[list]] = []  # the media items of open figures
+        self.figures: list[dict] = []  # open figures: their media and caption
         self.caption: list[str] | None = None
 
+    def add(self, kind: str, **values) -> dict:
+        self.items.append(dict.fromkeys(FIELDS) | {"position": len(self.items), "kind": kind} | values)
+        return self.items[-1]
+
     def end_block(self) -> None:
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            self.items.append(["text", text, None, None])
+            self.add("text", text=text)
+
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        if text and self.figures and self.figures[-1]["caption"] is None:
+            self.figures[-1]["caption"] = text
+        elif text:
+            self.add("text", text=text)
+
+    def end_figure(self) -> None:
+        figure = self.figures.pop()
+        for item in figure["media"]:
+            item["caption"] = figure["caption"] or item["caption"]
+
+    def block(self) -> None:
+        self.end_block()
+        if self.caption is not None and "".join(self.caption).strip():
+            self.end_caption()
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
             self.silent += 1
         if tag in BLOCKS:
-            self.end_block()
+            self.block()
         if tag == "figure":
-            self.figures.append([])
+            self.figures.append({"media": [], "caption": None})
         elif tag == "figcaption":
             self.end_block()
+            self.end_caption()
             self.caption = []
         elif tag in MEDIA:
             values = dict(attrs)
             source = values.get("src") or ""
             if source:
-                self.end_block()
-                item = ["media", None, values.get("alt") or None, source.removeprefix("sha256:") if source.startswith("sha256:") else None]
-                self.items.append(item)
+                self.block()
+                item = self.add("media", caption=values.get("alt") or None, src=source, digest=source.removeprefix("sha256:") if source.startswith("sha256:") else None)
                 if self.figures:
-                    self.figures[-1].append(item)
+                    self.figures[-1]["media"].append(item)
 
     def handle_endtag(self, tag):
         if tag in SILENT and self.silent:
             self.silent -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.figures[-1] if self.figures else ():
-                item[2] = text or item[2]
-            self.caption = None
-        if tag == "figure" and self.figures:
-            self.figures.pop()
+        if tag in ("figcaption", "figure"):
+            self.end_caption()
         if tag in BLOCKS:
-            self.end_block()
+            self.block()
+        if tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data):
-        if self.silent:
-            return
-        (self.words if self.caption is None else self.caption).append(data)
+        if not self.silent:
+            (self.words if self.caption is None else self.caption).append(data)
+
+    def close(self):
+        super().close()
+        self.end_caption()
+        self.end_block()
+        while self.figures:
+            self.end_figure()
 
 
 def items_of(page: str | None) -> list[dict]:
     """The items of a page, with positions from 0; none if it is null or empty."""
-    if not page:
-        return []
     parser = Sequence()
-    parser.feed(page)
+    parser.feed(page or "")
     parser.close()
-    parser.end_block()
-    return [{"position": k, "kind": kind, "text": text, "caption": caption, "digest": digest} for k, (kind, text, caption, digest) in enumerate(parser.items)]
+    return parser.items
 
 
 def sequences(df: DataFrame, html: str = "html", items: str = "items") -> DataFrame:
     """Adds `items`, the interleaved sequence of each page (empty for a null page); a column of that name is replaced."""
+
     def parsed(batches):
         import pandas as pd
 
-        for pages in batches:
+        for pages in series_slices(batches):
             yield pd.Series([items_of(p) for p in pages], dtype=object)
 
     return df.withColumn(items, iterator_udf(parsed, _items_type())(F.col(html)))
@@ -113,8 +146,7 @@ def sequences(df: DataFrame, html: str = "html", items: str = "items") -> DataFr
 def _items_type():
     from pyspark.sql import types as T
 
-    text = T.StringType()
-    return T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, text) for n in ("kind", "text", "caption", "digest")]]))
+    return T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in FIELDS]]))
 
 
 def to_pgm(payload: bytes) -> bytes:
@@ -136,31 +168,34 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (-len(data) % WIDTH if data else WIDTH), len(data)
 
 
+def page_of(text: str, digest: str) -> str:
+    """A page of all lines of a text, in sections that each end with a figure of the text's image."""
+    lines, parts = text.split("\n"), []
+    for at in range(0, len(lines), SECTION):
+        own = lines[at : at + SECTION]
+        parts += [f"<p>{entities.escape(line, quote=False)}</p>" for line in own]
+        parts.append(f'<figure><img src="sha256:{digest}"><figcaption>lines {at + 1} to {at + len(own)} of {len(lines)}</figcaption></figure>')
+    return "<body>" + "".join(parts) + "</body>"
+
+
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: its payload as a stored image, its digest, and a page that shows the image between first and last line, captioned."""
+    """(key, n_bytes, html, digest, media) of each row: its payload as a stored image, its digest, and the page of the text, in which the image is shown."""
 
     def encoded(batches):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        names = [x.split()[0] for x in MEDIA_SCHEMA.split(", ")]
-        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
-        rows, held = [], 0
-        for batch in batches:
-            for number, t in zip(*columns(batch, "key", "text"), strict=True):
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
+        for batch in (part for whole in batches for part in batch_slices(whole, "text")):
+            rows = []
+            for t in columns(batch, "text")[0]:
                 payload, plain = padded(t)
                 digest = hashlib.sha256(payload).hexdigest()
-                lines = (t or "").split("\n")
-                page = f'<h1>{entities.escape(lines[0])}</h1><figure><img src="sha256:{digest}"><figcaption>{plain} bytes</figcaption></figure><p>{entities.escape(lines[-1])}</p>'
-                rows.append((number, plain, page, digest, to_pgm(payload)))
-                held += len(payload) + len(page)
-                if held > FLUSH_BYTES:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-        if rows:
-            yield batch_of(rows)
+                rows.append((plain, page_of(t or "", digest), digest, to_pgm(payload)))
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["key", *[x.split()[0] for x in MEDIA_SCHEMA.split(", ")]])
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(encoded, MEDIA_SCHEMA)
+    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return source.mapInArrow(encoded, f"key {source.schema[0].dataType.simpleString()}, {MEDIA_SCHEMA}")
 
 
 def feature(samples: bytes) -> str:
@@ -183,7 +218,7 @@ def properties(media: DataFrame) -> DataFrame:
 
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = [x.split()[0] for x in PROPERTIES.split(", ")]
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, "media")):
             rows, seen = [], set()
             for digest, stored_form in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if digest in seen:
@@ -204,20 +239,29 @@ def properties(media: DataFrame) -> DataFrame:
 def resolve(df: DataFrame, payloads: DataFrame, row: str, items: str = "items") -> DataFrame:
     """`items` with a further field `payload`: what `payloads` (digest, payload) says of the digest; null for text and unknown digests.
 
-    `row` must name each row uniquely. Items stay in order of position; rows without items keep an empty array.
+    `row` must name each row uniquely. Items stay in order of position; rows without items keep an empty array. A row's references are
+    gathered by digest first, so that a digest that is referred to often in one row is joined once for it.
     """
-    references = df.select(row, F.explode(F.filter(items, lambda i: i["digest"].isNotNull())).alias("i")).select(row, "i.position", "i.digest")
-    found = references.join(payloads, "digest").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("position", "payload"))).alias("_found"))
-    aligned = F.transform(items, lambda i: i.withField("payload", F.col("_found")[i["position"]]))
-    return df.join(found, row, "left").withColumn(items, aligned).drop("_found")
+    of_row, found = unused(df, "row", "found")
+    digests = F.array_distinct(F.transform(F.filter(items, lambda i: i["digest"].isNotNull()), lambda i: i["digest"]))
+    references = df.select(F.col(row).alias(of_row), F.explode(digests).alias("digest"))
+    known = references.join(payloads.select("digest", "payload"), "digest").groupBy(of_row).agg(F.map_from_entries(F.collect_list(F.struct("digest", "payload"))).alias(found))
+    aligned = F.transform(items, lambda i: i.withField("payload", F.when(i["digest"].isNotNull(), F.try_element_at(found, i["digest"]))))
+    return df.join(known, F.col(row) == F.col(of_row), "left").withColumn(items, aligned).drop(of_row, found)
 
 
-def columns_of_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores every text as media behind a page, and returns key, size, and the resolved interleaved sequence of each row.
+def columns_of_texts(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Stores every text as media and parses its page, and returns (key, n_bytes, items): the resolved interleaved sequence of each row.
 
     Null counts as empty; an empty payload is padded to WIDTH spaces. Equal texts share one digest and so all properties. Rows
-    with equal keys stay apart. Only the two columns named are read. An empty table gives no rows.
+    with equal or null keys stay apart. Only the two columns named are read. An empty table gives no rows. Pages are parsed as they are made and not
+    stored; without keep_text, items have the number of characters of a block, `n_chars`, in the place of its text, which then isn't stored or shuffled.
     """
-    table = stored(encode(df, key, text).withColumn("row", F.monotonically_increasing_id()), "media-table")
-    pages = sequences(table.select("row", F.col("doc_id").alias(key), "n_bytes", "html")).drop("html")
-    return resolve(pages, properties(table), "row").drop("row")
+    made = sequences(encode(df, key, text)).drop("html")
+    if not keep_text:
+        fields = ("position", "kind", "caption", "digest")
+        made = made.withColumn("items", F.transform("items", lambda i: F.struct(*[i[f].alias(f) for f in fields], F.length(i["text"]).alias("n_chars"))))
+    table = stored(made.withColumn("row", F.monotonically_increasing_id()), "media-table")
+    payloads = stored(properties(table), "media-properties")  # stored, so that the join on digests stands alone in its stage, where Spark can split a frequent digest
+    resolved = resolve(table.select("row", "key", "n_bytes", "items"), payloads, "row")
+    return resolved.select(F.col("key").alias(key), "n_bytes", "items")

@@ -59,13 +59,29 @@ def op7_linededup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedup(documents(spark, folder).select("doc_id", "text"))
 
 
+def _counted(items) -> list:
+    """What a sequence holds: numbers of blocks and references, characters of the blocks, and a letter for each item in order (t, m)."""
+    kinds = F.transform(items, lambda i: F.substring(i["kind"], 1, 1))
+    blocks = F.filter(items, lambda i: i["kind"] == "text")
+    chars = F.aggregate(blocks, F.lit(0).cast("long"), lambda n, i: n + i["n_chars"])
+    return [F.size(blocks).alias("n_blocks"), (F.size(items) - F.size(blocks)).alias("n_references"), chars.alias("block_chars"), F.array_join(kinds, "").alias("sequence")]
+
+
 def op8_media(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text as the image in a page: properties of the stored image, and the page's items in order."""
-    found = media.columns_of_texts(documents(spark, folder))
-    image = F.filter("items", lambda i: i["kind"] == "media")[0]
-    sequence = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["position"].cast("string"), i["kind"])), ",")
+    """Every text as an image in the page of its lines: properties of the stored image, and the page's items in order."""
+    found = media.columns_of_texts(documents(spark, folder), keep_text=False)
+    references = F.filter("items", lambda i: i["kind"] == "media")
     fields = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return found.select("doc_id", "n_bytes", *[image["payload"][f].alias(f) for f in fields], image["caption"].alias("caption"), sequence.alias("sequence"))
+    payload = [F.get(references, F.lit(0))["payload"][f].alias(f) for f in fields]
+    return found.select("doc_id", "n_bytes", *payload, F.element_at(references, -1)["caption"].alias("last_caption"), *_counted(F.col("items")))
+
+
+def media_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The items of every web page: how many there are, in what order, and the digest of their texts."""
+    pages = media.sequences(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html"))
+    items = F.transform("items", lambda i: i.withField("n_chars", F.length(i["text"])))
+    words = F.array_join(F.transform("items", lambda i: F.coalesce(i["text"], F.lit(""))), "\n")
+    return pages.select("page_id", *_counted(items), F.sha2(words, 256).alias("text_sha256"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -116,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "media_pages": media_pages,
 }
 SQL: dict[str, str] = {
     "op7_linededup": r"""

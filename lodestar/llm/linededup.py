@@ -5,14 +5,19 @@ doubling: the rank of a suffix by its first 2k lines is the rank of the pair (it
 Ranks come from a range-partitioned sort of the distinct pairs, so that a frequent line is one row there, not many. A suffix leaves
 as soon as no other shares its prefix; ranks of what is left keep the order of the suffix array.
 
-Suffixes that share their first m lines are an interval of the suffix array whose longest common prefix is at least m. It is named by
-the ranks of the two blocks of 2^k <= m lines that cover those m lines from both ends. The earliest suffix of
-an interval stays; the same lines of the others are later copies. A run counts if it has `min_words` words, so the intervals asked for
-are those of the shortest runs that reach it, from each line on and back from each line: together they cover
-every line of every longer run, up to the maximal ones. Doubling ends once blocks are as long as the longest of these. Overlapping
-copies unite to maximal repeated runs, which are cut out of the texts.
-
-DataFrame functions only. Rows are lines that repeat; nothing but the number of rounds comes to the driver.
+The suffixes whose longest common prefix with each other is m lines or more are an interval of the suffix array: neighbours in it, since
+they sort by those m lines first. Two suffixes lie in one interval of at least m exactly if they have equal blocks of k lines at their start
+and at their line m - k, for the k = 2^j with k <= m < 2k: the two blocks overlap and cover the m lines. So (m, rank of the first
+block, rank of the last) names each interval by ranks of one doubling level, without a pass over neighbours that one task would make.
+The earliest suffix of an interval stays; the same lines of the others are later copies.
+
+A run counts if it has `min_words` words, so the intervals asked for are those of the shortest runs that reach it, from each line on
+and back from each line: their length depends on the run's own lines only, so equal runs ask for the same interval, and together they
+cover every line of every longer run, up to the maximal ones. Doubling ends once blocks are as long as the longest of these.
+Overlapping copies unite to maximal repeated runs, which are cut out of the texts.
+
+DataFrame functions only. Rows are lines that repeat; nothing but the lengths that occur comes to the driver. Each level is a plan of its own, whose
+result is stored, so that plans stay small however many levels there are.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import release, stored, unused
 
 #: What tells documents apart: key and digest of the text. Rows equal in both are one document.
 DOCUMENT = ("key", "digest")
@@ -91,23 +96,32 @@ def doubled(blocks: DataFrame, k: int) -> DataFrame:
     return stored(pairs.join(_ranked(shared, "first", "second"), ["first", "second"]).select(*DOCUMENT, "pos", "rank"), "lines-blocks")
 
 
-def later_copies(runs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Of runs of k to 2k - 1 lines, those whose interval of the suffix array has an earlier member: (key, digest, start, length)."""
-    runs = runs.where(F.col("length").between(k, 2 * k - 1))
-    here = blocks.select(*DOCUMENT, F.col("pos").alias("start"), F.col("rank").alias("head"))
-    there = blocks.select(*DOCUMENT, (F.col("pos") + k).alias("stop"), F.col("rank").alias("tail"))
-    named = _same(runs, here, "start").withColumn("stop", F.col("start") + F.col("length"))
-    named = _same(named, there, "stop").select(*DOCUMENT, "start", "length", "head", "tail")
-    place = F.struct(*DOCUMENT, "start")
-    interval = ["length", "head", "tail"]
-    earliest = named.groupBy(*interval).agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return named.join(earliest, interval).where(place > F.col("earliest")).select(*DOCUMENT, "start", "length")
+def intervals(runs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Runs of k to 2k - 1 lines with the ranks `head` and `tail` of the blocks that cover them: equal ones are one interval of the suffix array.
+
+    A run without a repeated block at either end occurs once and is left out.
+    """
+    ends = F.array(F.struct("start", F.lit(True).alias("first")), F.struct((F.col("start") + F.col("length") - k).alias("start"), F.lit(False).alias("first")))
+    asked = runs.where(F.col("length").between(k, 2 * k - 1)).select(*DOCUMENT, "start", "length", F.explode(ends).alias("end"))
+    asked = asked.select(*DOCUMENT, F.col("start").alias("from"), "length", F.col("end.start").alias("pos"), F.col("end.first").alias("first"))
+    placed = blocks.select(*[F.col(c).alias(f"_{c}") for c in DOCUMENT], F.col("pos").alias("_pos"), "rank")
+    here = F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")) & (F.col("pos") == F.col("_pos"))
+    rank_of = lambda first: F.max(F.when(F.col("first") == first, F.col("rank")))
+    named = asked.join(placed, here).groupBy(*DOCUMENT, F.col("from").alias("start"), "length").agg(rank_of(True).alias("head"), rank_of(False).alias("tail"))
+    return named.where("head is not null and tail is not null")
 
 
-def _same(left: DataFrame, right: DataFrame, place: str) -> DataFrame:
-    """Join on document and place, where keys may be null."""
-    renamed = right.withColumnsRenamed({c: f"_{c}" for c in (*DOCUMENT, place)})
-    return left.join(renamed, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")) & (F.col(place) == F.col(f"_{place}"))).drop("_key", "_digest", f"_{place}")
+def later_copies(named: DataFrame) -> DataFrame:
+    """(key, digest, start, length) of the members of each interval but the earliest, from intervals().
+
+    The earliest members, one of each interval, are taken away by their places: members never meet by interval, but for partial minima.
+    """
+    earliest = named.groupBy("length", "head", "tail").agg(F.min(F.struct(*DOCUMENT, "start")).alias("e"))
+    earliest = earliest.select(F.col("length").alias("_length"), *[F.col(f"e.{c}").alias(f"_{c}") for c in (*DOCUMENT, "start")])
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    for c in ("digest", "start", "length"):
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return named.join(earliest, same, "left_anti").select(*DOCUMENT, "start", "length")
 
 
 def maximal_runs(copies: DataFrame) -> DataFrame:
@@ -128,15 +142,20 @@ def find_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     docs = df.select(F.col(key).alias("key"), _digest(F.col(text)).alias("digest"), F.col(text).alias("text")).where("text is not null")
     lines = stored(stretches(repeated_lines(docs), min_words), "lines-repeated")
     runs = stored(shortest_runs(lines, min_words), "lines-shortest")
-    longest = runs.agg(F.max("length")).first()[0] or 0
-    blocks, k, copies = lines.select(*DOCUMENT, "pos", "rank"), 1, None
-    while True:
-        found = later_copies(runs, blocks, k)
-        copies = found if copies is None else copies.unionByName(found)
-        if 2 * k > longest:
-            return maximal_runs(copies.distinct())
-        blocks = doubled(blocks, k)
-        k *= 2
+    levels = {r[0] for r in runs.select(F.length(F.bin("length")) - 1).distinct().collect()}  # a few small numbers
+    blocks, copies = lines.select(*DOCUMENT, "pos", "rank"), runs.limit(0)
+    for level in range(max(levels, default=-1) + 1):
+        if level:
+            longer = doubled(blocks, 1 << level - 1)
+            if level > 1:
+                release(blocks)
+            blocks = longer
+        if level in levels:
+            named = stored(intervals(runs, blocks, 1 << level), "lines-intervals")
+            copies = copies.unionByName(stored(later_copies(named), "lines-copies"))
+            release(named)
+    release(lines, runs)
+    return stored(maximal_runs(copies.distinct()), "lines-runs")
 
 
 def _kept(text: Column, runs: Column) -> Column:
@@ -162,8 +181,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     empty, with 0 deleted lines; a text that loses all its lines becomes empty. All rows and columns are kept; a column called like
     `deleted` is replaced.
     """
-    found = find_runs(df, key, text, min_words).withColumnsRenamed({"key": "_key", "digest": "_digest", "runs": "_runs"})
-    joined = df.drop(deleted).join(found, F.col(key).eqNullSafe(F.col("_key")) & (_digest(F.col(text)) == F.col("_digest")), "left")
-    count = F.coalesce(F.aggregate("_runs", F.lit(0), lambda n, r: n + r["stop"] - r["start"]), F.lit(0))
-    cut = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(_kept(F.col(text), F.col("_runs")))
-    return joined.withColumns({text: cut, deleted: count}).drop("_key", "_digest", "_runs")
+    own_key, own_digest, runs = unused(df, "_key", "_digest", "_runs")
+    found = find_runs(df, key, text, min_words).toDF(own_key, own_digest, runs)
+    joined = df.drop(deleted).join(found, F.col(key).eqNullSafe(F.col(own_key)) & (_digest(F.col(text)) == F.col(own_digest)), "left")
+    count = F.coalesce(F.aggregate(runs, F.lit(0), lambda n, r: n + r["stop"] - r["start"]), F.lit(0))
+    cut = F.when(F.col(runs).isNull(), F.col(text)).otherwise(_kept(F.col(text), F.col(runs)))
+    return joined.withColumns({text: cut, deleted: count}).drop(own_key, own_digest, runs)

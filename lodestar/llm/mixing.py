@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, unused
 
 #: A Poisson variable of a larger mean is summed from several of equal means, as e^-mean would vanish.
 PIECE = 200.0
@@ -68,18 +68,19 @@ def replicate(df: DataFrame, rates: DataFrame, key: str = "doc_id", source: str
     Rows of a source that `rates` doesn't name are not taken. Rows with equal keys get equal counts. An empty table gives an empty one.
     Columns called like the two new ones are replaced.
     """
-    pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
-    table = rates.where("rate > 0").select(F.col("source").alias("_source"), pieces.alias("_pieces"), _distribution(F.col("rate") / pieces).alias("_cdf"))
+    of_source, pieces, cdf, count = unused(df, "of_source", "pieces", "cdf", "count")
+    parts = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
+    table = rates.where("rate > 0").select(F.col("source").alias(of_source), parts.alias(pieces), _distribution(F.col("rate") / parts).alias(cdf))
     table = stored(table, "mixing-rates")
-    joined = df.drop(copy, order).join(table, F.col(source).eqNullSafe(F.col("_source")))
+    joined = df.drop(copy, order).join(table, F.col(source).eqNullSafe(F.col(of_source)))
     seeded = F.lit(seed)
 
     def drawn(piece):
         u = (hashed(seeded, F.col(key), piece) + 0.5) / float(1 << 52)
-        return F.get(F.transform(F.array(u), lambda v: F.size(F.filter(F.col("_cdf"), lambda c: c <= v))), F.lit(0))
+        return F.get(F.transform(F.array(u), lambda v: F.size(F.filter(F.col(cdf), lambda c: c <= v))), F.lit(0))
 
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_pieces")), F.lit(0), lambda total, piece: total + drawn(piece))
-    counted = joined.withColumn("_count", count).where("_count > 0").drop("_source", "_pieces", "_cdf")
-    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count")
+    times = F.aggregate(F.sequence(F.lit(1), F.col(pieces)), F.lit(0), lambda total, piece: total + drawn(piece))
+    counted = joined.withColumn(count, times).where(F.col(count) > 0).drop(of_source, pieces, cdf)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(count) - 1))).drop(count)
     keyed = copies.withColumn(order, hashed(F.concat(seeded, F.lit("-order")), F.col(key), F.col(copy)))
     return keyed.repartition(order).sortWithinPartitions(order, key, copy)

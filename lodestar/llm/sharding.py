@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 #: Rows that share a numbering task, about.
 SLOT_ROWS = 50_000
 
@@ -71,27 +73,27 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return F.get(F.transform(F.array(region), in_region), F.lit(0)).cast("int")
 
 
-def numbered(df: DataFrame, group: str, key: str, slot: str = "slot") -> DataFrame:
-    """Adds `slot`: 0, 1, ... without gaps within each value of `group`, in the order of hash buckets of the key, then keys.
+def numbered(df: DataFrame, group: str, key: str, spread: str, slot: str = "slot") -> DataFrame:
+    """Adds `slot`: 0, 1, ... without gaps within each value of `group`, in the order of hash buckets, then keys, then the values of `spread`.
 
-    Rows with equal keys take neighbouring slots in any order. A bucket holds about SLOT_ROWS rows; equal keys share one.
+    A bucket holds about SLOT_ROWS rows of different key or `spread`; rows alike in both are interchangeable and share one.
     """
+    bucket, rows, of, at, start, rank = unused(df, "bucket", "rows", "of", "at", "start", "rank")
     buckets = max(1, df.count() // SLOT_ROWS)
-    placed = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(buckets)))
-    sizes = placed.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(group).alias("_group"), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(group, "_bucket").orderBy(key)
-    ranked = placed.withColumn("_rank", F.row_number().over(within))
-    joined = ranked.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_of")))
-    return joined.withColumn(slot, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_rank", "_group", "_of", "_start")
+    placed = df.withColumn(bucket, F.pmod(F.xxhash64(F.col(key), F.col(spread), F.lit("slot")), F.lit(buckets)))
+    sizes = placed.groupBy(F.col(group).alias(of), F.col(bucket).alias(at)).agg(F.count("*").alias(rows))
+    before = Window.partitionBy(of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(of, at, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(start))
+    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy(group, bucket).orderBy(key, spread)))
+    joined = ranked.join(starts, F.col(group).eqNullSafe(F.col(of)) & (F.col(bucket) == F.col(at)))
+    return joined.withColumn(slot, (F.col(start) + F.col(rank) - 1).cast("long")).drop(bucket, of, at, start, rank)
 
 
 def assign(df: DataFrame, tree: Tree, grown: Tree, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each input row: the key, its size and checksum, and its shard, slot and shard in the grown tree.
 
     The size is the text's UTF-8 bytes (null: none) plus 1. Only key and text are read, so other columns can't clash. An empty table gives no rows;
-    rows with equal keys, null ones too, go to the same shard with slots of their own.
+    rows with equal keys, null ones too, go to the same shard with slots of their own, which are dealt by key and text.
     """
     encoded = F.coalesce(F.encode(F.col(text), "utf-8"), F.lit(b""))
     rows = df.select(
@@ -102,4 +104,4 @@ def assign(df: DataFrame, tree: Tree, grown: Tree, key: str = "doc_id", text: st
         shard_of(F.col(key), tree).alias("shard"),
         shard_of(F.col(key), grown).alias("grown_shard"),
     )
-    return numbered(rows, "shard", key).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return numbered(rows, "shard", key, "text_crc32").select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

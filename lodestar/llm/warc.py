@@ -2,25 +2,27 @@
 
 An ARC file starts with a version block that names the fields of the record header lines: five in version 1, ten in version 2. Each
 record is such a line, as many bytes as it declares, and a line feed. The converter parses the lines by the declared fields (from the
-right, as URLs may hold spaces), and synthesises what WARC asks for: record ids from page and digest, ISO dates from
+right, as URLs may hold spaces), and synthesises what WARC asks for: record ids from archive and place in it, ISO dates from
 the 14-digit ones, types, and SHA-1 digests of payload and block. Of equal payloads the first page's record is a response and the others
 are revisits without a body, which refer to it.
 
 Archives are rows (name, content), as Spark's binaryFile source also gives them, of about ARCHIVE_BYTES each, so that a task holds one
-at a time. Which record comes first is found by an aggregation over (digest, page); payloads are never shuffled by digest.
+at a time. Which record comes first is found by an aggregation over (digest, page); payloads never meet by digest. Archives are shuffled once, whole and by
+name, to meet the list of their revisits.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import urllib.parse
 import uuid
 import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, stored
+from .shared import columns, release, stored
 
 ARCHIVE_BYTES = 1 << 20
 ARCHIVE_RECORDS = 500
@@ -61,7 +63,7 @@ class ArcWriter:
     def add(self, page, url: str | None, date: str, payload: bytes) -> None:
         """A record whose body is an HTTP response; the page's number travels as an HTTP header. White space in URLs is percent-encoded."""
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        url = "".join(f"%{ord(c):02X}" if c.isspace() and ord(c) < 256 else "" if c.isspace() else c for c in url or "") or "unknown:"
+        url = "".join(urllib.parse.quote(c) if c.isspace() else c for c in url or "") or "unknown:"
         line = arc_header(self.version, url, date, "text/html", 200, hashlib.md5(payload).hexdigest(), self.size, self.name, len(head) + len(payload))
         self._put(line.encode() + head + payload + b"\n")
         self.records += 1
@@ -108,19 +110,18 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(page, digest: str) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page}:{digest}'.encode()).digest()[:16], version=4)}>"
+def record_id(archive: str, place: int) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{archive}:{place}'.encode()).digest()[:16], version=4)}>"
 
 
-def warc_record(fields: dict[str, str], body: bytes, refers_to: int | None) -> bytes:
-    """One gzip member: the WARC record equivalent to an ARC record."""
+def warc_record(fields: dict[str, str], body: bytes, identity: str, refers: tuple[int, str] | None = None) -> bytes:
+    """One gzip member: the WARC record equivalent to an ARC record; a revisit if `refers` has the page and the record id of a response."""
     headers, head, payload = http_parts(body)
-    page, digest = page_number(headers), sha1(payload)
-    block = body if refers_to is None else head
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {iso_date(fields['Archive-date'])}", f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}"]
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1(block)}"]
-    if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
+    block = body if refers is None else head
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {identity}", f"WARC-Date: {iso_date(fields['Archive-date'])}", f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}"]
+    lines += [f"WARC-Payload-Digest: sha1:{sha1(payload)}", f"WARC-Block-Digest: sha1:{sha1(block)}"]
+    if refers is not None:
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {refers[1]}", f"X-Refers-To-Page-Id: {refers[0]}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(3, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
@@ -155,7 +156,7 @@ def _batch(schema: str, rows: list):
 def write_arc(pages: DataFrame, page: str = "page_id", url: str = "url", date: str = "date", payload: str = "html") -> DataFrame:
     """Archives (name, content) with a record for each row; versions 1 and 2 alternate.
 
-    A null payload is empty; a null URL becomes `unknown:`, a null date 1 January 2000. Other columns are not read. An empty table gives no archives.
+    `page` is a whole number; text that is none raises. A null payload is empty; a null URL becomes `unknown:`, a null date 1 January 2000. Other columns are not read. An empty table gives no archives.
     """
 
     def archives(batches):
@@ -193,22 +194,26 @@ def list_arc(archives: DataFrame) -> DataFrame:
 def convert(archives: DataFrame) -> DataFrame:
     """WARC archives (name, content) from ARC archives with unique names; both are stored on the way.
 
-    Of records with equal payloads, those of the smallest page number are responses (repeated rows of that page, too) and the others revisit it; records
-    without a number come last and are responses if none has one.
+    Of records with equal payloads, one of the smallest page number is the response and all others revisit it, repeated rows of its page, too. Records
+    without a number come last; where none of equal ones has a number, all are responses. An empty table gives no archives.
     """
     listed = stored(list_arc(archives), "warc-records")
-    first = listed.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    later = listed.join(first, "payload_digest").where("page_id is null or page_id > first")
-    later = later.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("place", "first"))).alias("refers"))
+    place = F.struct("page_id", "name", "place")
+    first = listed.groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), place)).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    first = stored(first, "warc-first")  # stored, so that the join stands alone in its stage, where Spark can split a frequent digest
+    later = listed.join(first, "payload_digest").where((F.col("name") != F.col("first.name")) | (F.col("place") != F.col("first.place")))
+    later = later.groupBy("name").agg(F.collect_list(F.struct("place", "first")).alias("refers"))
 
     def converted(batches):
         for batch in batches:
             for name, content, refers in zip(*columns(batch, "name", "content", "refers"), strict=True):
-                known = dict(refers or ())
-                members = [warc_record(fields, body, known.get(place)) for place, (fields, body) in enumerate(arc_records(content))]
+                known = {r["place"]: (r["first"]["page_id"], record_id(r["first"]["name"], r["first"]["place"])) for r in refers or ()}
+                members = [warc_record(fields, body, record_id(name, k), known.get(k)) for k, (fields, body) in enumerate(arc_records(content))]
                 yield _batch(ARC_SCHEMA, [(name.removesuffix(".arc") + ".warc.gz", b"".join(members))])
 
-    return stored(archives.join(later, "name", "left").select("name", "content", "refers").mapInArrow(converted, ARC_SCHEMA), "warc-archives")
+    made = stored(archives.join(later, "name", "left").select("name", "content", "refers").mapInArrow(converted, ARC_SCHEMA), "warc-archives")
+    release(listed, first)
+    return made
 
 
 def read_warc(archives: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from cases import EDGES, rows, table
 from test_rows import brute_poisson
 from test_search import brute_components, brute_lines
@@ -34,10 +35,14 @@ def test_columns(stages):
 
 
 def test_toxic_documents_go(spark, stages):
+    """The rows that stay are those that the operator scores under one half, unchanged."""
+    from lodestar.llm import queries, toxicity
+
+    scored = toxicity.score(spark.read.parquet(f"{FOLDER}/documents.parquet"), queries.toxicity_model(spark, FOLDER))
+    clean = {x["doc_id"] for x in rows(scored) if x["score"] < 0.5}
+    assert by_id(stages[1]) == {d: x for d, x in by_id(stages[0]).items() if d in clean} and len(stages[1]) == len(clean)
     labels = {x["doc_id"]: x["toxic"] for x in rows(spark.read.parquet(f"{FOLDER}/labels.parquet"))}
-    kept = by_id(stages[1])
-    clean = [d for d, t in labels.items() if not t]
-    assert sum(d in kept for d in clean) >= 0.97 * len(clean) and all(kept[d] == x for d, x in by_id(stages[0]).items() if d in kept)
+    assert sum(d in clean for d, t in labels.items() if not t) >= 0.97 * sum(not t for t in labels.values())
 
 
 def test_lines_go(stages):
@@ -85,12 +90,38 @@ def test_ids(stages):
         assert x["decoded_sha256"] == hashlib.sha256(text_of[x["doc_id"]].encode()).hexdigest() and x["n_tokens"] == len(x["ids"]) // 4
 
 
-def test_edge_rows_pass_through(spark):
-    docs = table(spark, EDGES).select(*pipeline.COLUMNS)
-    for name, stage in pipeline.STAGES:
-        docs = pipeline.stored(stage(spark, docs, FOLDER), name.replace(" ", "_"))
-    assert docs.columns[0] == "doc_id"
-    empty = table(spark, EDGES).select(*pipeline.COLUMNS).limit(0)
+def edge_rows(spark):
+    return table(spark, EDGES).select(*pipeline.COLUMNS)
+
+
+def keys(found):
+    return sorted((str(x["doc_id"]), x["text"]) for x in found if x["text"] is not None) + [str(x["doc_id"]) for x in found if x["text"] is None]
+
+
+def test_edge_rows_stage_by_stage(spark):
+    toxic = rows(pipeline.drop_toxic(spark, edge_rows(spark), FOLDER))
+    assert keys(toxic) == keys(rows(edge_rows(spark)))
+    cut = rows(pipeline.drop_repeated_lines(spark, edge_rows(spark), FOLDER))
+    assert sorted(str(x["doc_id"]) for x in cut) == sorted(str(d) for d, _ in EDGES if d != 6)  # 6 repeats 5
+    near = rows(pipeline.drop_near_duplicates(spark, edge_rows(spark), FOLDER))
+    # one of the two rows of 4 stays, 6 is a copy of 5, and 9 has the words of 8
+    assert sorted(str(x["doc_id"]) for x in near) == sorted(str(d) for d in [1, 2, 3, 4, 5, None, None, 7, 8])
+    ids = rows(pipeline.encode(spark, edge_rows(spark), FOLDER))
+    assert sorted((str(x["doc_id"]), x["decoded_sha256"]) for x in ids) == sorted((str(d), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in EDGES)
+    mixed = rows(pipeline.mix_sources(spark, edge_rows(spark), FOLDER))
+    counts = lambda d: brute_poisson(1.0, (int(hashlib.md5(f"mix:{'null' if d is None else d}:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
+    assert sorted(str(x["doc_id"]) for x in mixed) == sorted(str(d) for d, _ in EDGES for _ in range(counts(d)))
+
+
+def test_near_duplicates_row_by_row(spark):
+    a, u, b = (" ".join(f"{w}{k}" for k in range(30)) for w in "aub")
+    docs = table(spark, [(1, a), (2, a), (2, u), (3, b), (3, b, "fr", "t"), (None, a), (None, u + " more"), (4, ""), (4, "")]).select(*pipeline.COLUMNS)
+    found = rows(pipeline.drop_near_duplicates(spark, docs, FOLDER))
+    assert sorted((x["doc_id"], x["text"], x["lang"]) for x in found) == sorted([(1, a, "en"), (2, u, "en"), (3, b, "en"), (4, "", "en"), (4, "", "en")])
+
+
+def test_clashing_names_and_empty_tables(spark):
+    extra = edge_rows(spark).withColumns({n: F.lit(n) for n in ("_score", "_toxic", "_deleted", "_key", "_source", "row", "ids", "component_id")})
     for _, stage in pipeline.STAGES:
-        found = stage(spark, empty, FOLDER)
-        assert found.count() == 0
+        assert set(stage(spark, extra, FOLDER).columns) >= {"doc_id"}
+        assert stage(spark, edge_rows(spark).limit(0), FOLDER).count() == 0

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 from cases import EDGES, LONG, prose, rows, table, words
 from pyspark.sql import functions as F
@@ -67,6 +68,41 @@ def test_language_of_edge_rows(spark):
     assert rows(langid.predict(empty, langid.fit(empty, ["a"]))) == []
 
 
+def test_fit_is_expectation_maximisation(spark):
+    """Two rounds over all segmentations of three words, listed one by one."""
+    pieces = ["a", "b", "ab", "ba", "▁a", "▁ab"]
+    df = table(spark, [(1, "ab ab"), (2, "aba"), (3, "bb")])
+    model = langid.fit(df, pieces, rounds=2)
+
+    def ways(word):
+        if not word:
+            return [[]]
+        return [[word[:k], *rest] for k in range(1, len(word) + 1) if word[:k] in pieces or k == 1 for rest in ways(word[k:])]
+
+    prob = dict.fromkeys(pieces, 1 / (len(pieces) + 1))
+    for _ in range(2):
+        counts = Counter()
+        for word, n in (("▁ab", 2), ("▁aba", 1), ("▁bb", 1)):
+            weights = [math.prod(prob.get(p, langid.UNKNOWN) for p in way) for way in ways(word)]
+            for way, weight in zip(ways(word), weights, strict=True):
+                for p in way:
+                    counts[p] += n * weight / sum(weights)
+        prob = {p: counts[p] + 0.02 for p in pieces}
+        prob = {p: v / sum(prob.values()) for p, v in prob.items()}
+    assert dict(zip(model["pieces"], model["table"][1:, 0].tolist(), strict=True)) == pytest.approx(prob, rel=1e-5)
+
+
+def test_long_pieces_and_words():
+    long = "abcdefghijklmnop"
+    lattice = langid.Lattice([long, "a", "B", long[:9] + "x"])
+    assert lattice.longest == 16 and "b" in lattice.pieces
+    (rows_, numbers) = lattice.matches(["z" + long, "z" * 17])[1, 16]
+    assert rows_.tolist() == [0] and lattice.pieces[numbers[0] - 1] == long
+    table_ = np.full((len(lattice.hashes), 1), 0.1)
+    counts = langid.expected_counts(lattice, table_[:, 0], ["z" * 30 + "a"], [1])
+    assert counts[1 + lattice.pieces.index("a")] == pytest.approx(1)  # beyond the first stretch
+
+
 # WARC
 
 
@@ -84,10 +120,16 @@ def test_pages_through_archives(spark):
         data = (html or "").encode()
         numbers = [p for p, _, _, h in pages if (h or "").encode() == data and p is not None]
         first = min(numbers, default=None)
-        again = first is not None and number != first
+        again = first is not None and (number != first or any(e[0] == number and e[2] == base64.b32encode(hashlib.sha1(data).digest()).decode() for e in expected))
         expected.append((number, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", first if again else None))
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
     assert warc.write_arc(arc.limit(0)).count() == 0
+    archives = warc.convert(warc.stored(warc.write_arc(arc), "arc"))
+    ids = [h["warc-record-id"] for x in archives.collect() for h, _ in warc.warc_records(bytes(x["content"]))]
+    refers = [h["warc-refers-to"] for x in archives.collect() for h, _ in warc.warc_records(bytes(x["content"])) if "warc-refers-to" in h]
+    assert len(set(ids)) == len(ids) == len(pages) and set(refers) <= set(ids)
+    none = warc.convert(warc.stored(warc.write_arc(arc.limit(0)), "arc"))
+    assert rows(none) == [] and rows(warc.read_warc(none)) == []
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -96,10 +138,10 @@ def test_arc_versions(version):
     writer.add(7, "http://a b\tc", "19990102030405", b"pay\nload")
     (fields, body), = warc.arc_records(writer.content())
     assert fields["URL"] == "http://a%20b%09c" and fields["Archive-date"] == "19990102030405" and len(fields) == (5, 10)[version - 1]
-    headers, block = next(warc.warc_records(warc.warc_record(fields, body, None)))
+    headers, block = next(warc.warc_records(warc.warc_record(fields, body, "<a>")))
     assert headers["warc-date"] == "1999-01-02T03:04:05Z" and headers["warc-type"] == "response" and warc.http_parts(block)[2] == b"pay\nload"
-    headers, block = next(warc.warc_records(warc.warc_record(fields, body, 3)))
-    assert headers["warc-refers-to"] == warc.record_id(3, warc.sha1(b"pay\nload")) and warc.http_parts(block)[2] == b""
+    headers, block = next(warc.warc_records(warc.warc_record(fields, body, "<a>", (3, "<b>"))))
+    assert headers["warc-refers-to"] == "<b>" and headers["x-refers-to-page-id"] == "3" and headers["warc-record-id"] == "<a>" and warc.http_parts(block)[2] == b""
     with pytest.raises(ValueError):
         list(warc.arc_records(writer.content()[:-1] + b"x"))
 
@@ -127,6 +169,31 @@ def test_ids_are_tiktokens(spark):
 # Sharding
 
 
+def brute_shard(key, tree):
+    """The descent of the tree, with Spark's chained hashes from the xxhash library."""
+
+    def draw(level, name, weight):
+        h = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(level.encode(), h)
+        h = xxhash.xxh64_intdigest(name.encode() if isinstance(name, str) else name.to_bytes(4, "little"), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    def best(level, names, weights):
+        return min((draw(level, n, w), k) for k, (n, w) in enumerate(zip(names, weights, strict=True)) if w > 0)[1]
+
+    r = best("region", range(len(tree.regions)), [sum(w for rack in region for _, w in rack) for region in tree.regions])
+    region = tree.regions[r]
+    rack = region[best("rack", [f"{r}/{k}" for k in range(len(region))], [sum(w for _, w in rack) for rack in region])]
+    return rack[best("shard", [s for s, _ in rack], [w for _, w in rack])][0]
+
+
+def test_draws_as_by_brute_force(spark):
+    tree = sharding.Tree((((((0, 1.0), (1, 3.0)), ((2, 4.0),)), (((3, 8.0), (4, 0.0)),))))
+    keys = [*range(300), -5, 2**62, None]
+    found = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.shard_of(F.col("k"), tree).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in found} == {k: brute_shard(k, tree) for k in keys}
+
+
 def test_shards_keep_their_law(spark):
     tree = sharding.Tree.balanced(8)
     df = table(spark, [*EDGES, *[(k, "x" * (k % 50)) for k in range(100, 3100)]])
@@ -182,6 +249,8 @@ def test_quality(spark):
         if t:
             assert x["ratio"] == len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(t.encode())) / len(t.encode())
     by = {x["doc_id"]: x for x in found}
+    for k, t in ((5, LONG), (22, noise)):
+        assert by[k]["n_chunks"] == -(-len(t.encode()) // quality.CHUNK)
     assert by[5]["kept"] and not by[20]["kept"] and not by[22]["kept"] and by[5]["n_chunks"] > 10
     assert rows(quality.judge(df.limit(0))) == []
 
@@ -189,11 +258,29 @@ def test_quality(spark):
 # Media
 
 
+def plain_items(page):
+    return [(i["position"], i["kind"], i["text"], i["caption"], i["digest"]) for i in media.items_of(page)]
+
+
 def test_items_keep_positions_and_captions():
     page = '<p>one <b>two</b></p><script>no</script><figure><img src="sha256:aa" alt="z"><figcaption>cap &amp; x</figcaption></figure>mid<img src="sha256:bb" alt="alone"><img src="http://x/y.png"><p>end'
-    found = [(i["position"], i["kind"], i["text"], i["caption"], i["digest"]) for i in media.items_of(page)]
-    assert found == [(0, "text", "one two", None, None), (1, "media", None, "cap & x", "aa"), (2, "text", "mid", None, None), (3, "media", None, "alone", "bb"), (4, "media", None, None, None), (5, "text", "end", None, None)]
-    assert media.items_of(None) == media.items_of("") == []
+    assert plain_items(page) == [(0, "text", "one two", None, None), (1, "media", None, "cap & x", "aa"), (2, "text", "mid", None, None), (3, "media", None, "alone", "bb"), (4, "media", None, None, None), (5, "text", "end", None, None)]
+    assert media.items_of(page)[4]["src"] == "http://x/y.png" and media.items_of(None) == media.items_of("") == []
+
+
+@pytest.mark.parametrize(
+    "page, items",
+    [
+        ("<figure><img src=a><figcaption>cap<p>rest</p></figure><p>more</p>", [("media", "cap"), ("text", "rest"), ("text", "more")]),
+        ("<figure><figcaption><p>cap</p></figcaption><img src=a><img src=b></figure>x", [("media", "cap"), ("media", "cap"), ("text", "x")]),
+        ("<figcaption>alone</figcaption>y", [("text", "alone"), ("text", "y")]),
+        ("<figure><img src=a alt=other><figcaption>open", [("media", "open")]),
+        ("<figure><img src=a><figcaption>one</figcaption><figcaption>two</figcaption></figure>", [("media", "one"), ("text", "two")]),
+        ("<figure><img src=a></figure></figure><p>x", [("media", None), ("text", "x")]),
+    ],
+)
+def test_captions_end(page, items):
+    assert [(kind, caption if kind == "media" else text) for _, kind, text, caption, _ in plain_items(page)] == items
 
 
 def test_media_of_texts(spark):
@@ -201,15 +288,20 @@ def test_media_of_texts(spark):
     assert len(found) == len(EDGES)
     text_of = dict(EDGES)
     for x in found:
-        image = next(i for i in x["items"] if i["kind"] == "media")
-        assert [i["position"] for i in x["items"]] == list(range(len(x["items"]))) and image["caption"] == f"{x['n_bytes']} bytes"
+        references = [i for i in x["items"] if i["kind"] == "media"]
+        assert [i["position"] for i in x["items"]] == list(range(len(x["items"]))) and references
         if x["doc_id"] is not None:
+            text = text_of[x["doc_id"]] or ""
             data, n = media.padded(text_of[x["doc_id"]])
-            p = image["payload"]
-            assert len(data) % 192 == 0 and data and x["n_bytes"] == n == len((text_of[x["doc_id"]] or "").encode())
-            assert (p["payload_bytes"], p["payload_sha256"], p["tail_crc32"]) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
-            assert (p["media_bytes"], p["media_sha256"]) == (len(media.to_pgm(data)), hashlib.sha256(media.to_pgm(data)).hexdigest())
+            assert len(data) % 192 == 0 and data and x["n_bytes"] == n == len(text.encode())
+            assert [i["text"] for i in x["items"] if i["kind"] == "text"] == [y for y in (" ".join(z.split()) for z in text.split("\n")) if y]
+            assert references[-1]["caption"].endswith(f" of {len(text.split(chr(10)))}") and len(references) == -(-len(text.split("\n")) // media.SECTION)
+            for p in (i["payload"] for i in references):
+                assert (p["payload_bytes"], p["payload_sha256"], p["tail_crc32"]) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+                assert (p["media_bytes"], p["media_sha256"]) == (len(media.to_pgm(data)), hashlib.sha256(media.to_pgm(data)).hexdigest())
     assert rows(media.columns_of_texts(table(spark, EDGES).limit(0))) == []
+    named = table(spark, [(1, "a\nb")]).withColumn("name", F.lit("k1"))
+    assert [x["name"] for x in rows(media.columns_of_texts(named, key="name", keep_text=False))] == ["k1"]
 
 
 def test_unknown_references(spark):
@@ -290,6 +382,36 @@ def test_kernel_as_by_brute_force():
             assert found[j, k] == pytest.approx(brute_kernel(a, b), rel=1e-5)
 
 
+SENTENCES = [f"{a} {b} {c}" for a, b, c in zip(words(1, 50), words(2, 50), words(3, 50), strict=True)]
+WINDOWS = [max(toxicity.strings(s), key=len) for s in SENTENCES]
+
+
+def test_the_map_gives_the_kernel():
+    """With the windows of all 50 sentences as landmarks, products of mapped windows are their kernel."""
+    marks = toxicity.Landmarks(sorted({w for w in WINDOWS if len(w) > 2}))
+    exact = np.array([[brute_kernel(a, b) for b in marks.words] for a in marks.words])
+    z = marks.mapped(marks.words)
+    assert np.abs(z @ z.T - exact).max() < 0.02
+
+
+def test_the_machine_solves_its_problem():
+    """The bound of the squared hinge, minimised by plain gradient descent over the exact kernel's dual weights, is reached."""
+    marks = toxicity.Landmarks(sorted({w for w in WINDOWS if len(w) > 2}))
+    labels = np.array(["a" in w for w in marks.words])
+    weights, bias = marks.machine(marks.words, labels, np.ones(len(labels)))
+    z = np.hstack([marks.mapped(marks.words), np.ones((len(labels), 1))])
+    y, w, ridge = np.where(labels, 1.0, -1.0), np.zeros(z.shape[1]), np.append(np.ones(z.shape[1] - 1), 1e-3)
+    for _ in range(60_000):
+        w -= 0.008 * (ridge * w - z.T @ (y * np.maximum(0, 1 - y * (z @ w))))
+    assert toxicity.decisions(marks.words, weights, bias) == pytest.approx(z @ w, abs=2e-3)
+
+
+def test_long_strings_are_learned_whole():
+    long = "x" * 40 + "moronzu"
+    assert all(len(w) <= toxicity.STRETCH for w in toxicity.strings(long)) and any("moronzu" in w for w in toxicity.strings(long))
+    assert toxicity.strings("s c u m q u a x") == ["scumquax"]
+
+
 def test_inserted_characters_are_found(spark):
     clean = [(k, prose(k, 80), None, None) for k in range(400)]
     toxic = [(1000 + k, prose(5000 + k, 40) + f" {['moronzu', 'scumquax'][k % 2]} " + prose(7000 + k, 40), None, None) for k in range(80)]
@@ -343,5 +465,17 @@ def test_toxicity_of_edge_rows(spark):
     assert rows(toxicity.score(df.limit(0), toxicity.fit(df.limit(0).withColumn("toxic", F.lit(1))))) == []
 
 
+def test_names_with_underscores_may_clash(spark):
+    from lodestar.llm import linededup
+
+    names = ("_key", "_digest", "_runs", "_source", "_pieces", "_cdf", "_count", "_guess", "guess", "_bucket")
+    df = spark.createDataFrame([(k, prose(k % 3, 80), "en", "s", *names) for k in range(6)], ", ".join(["doc_id long", "text string", "lang string", "source string", *[f"{n} string" for n in names]]))
+    rates = spark.createDataFrame([("s", 2.0)], "source string, rate double")
+    model = langid.fit(df, ["a", "b"])
+    for made in (linededup.dedup(df), mixing.replicate(df, rates), langid.predict(df, model), toxicity.score(df, toxicity.fit(df.limit(0).withColumn("toxic", F.lit(1))))):
+        found = rows(made)
+        assert found and all(x[n] == n for x in found for n in names)
+
+
 def test_words_helper():
     assert words(1, 3) == words(1, 3)

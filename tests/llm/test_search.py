@@ -40,6 +40,38 @@ def test_lines_as_by_brute_force(spark, seed):
     assert {x["doc_id"]: x["deleted_lines"] for x in found} == {d: len(gone.get(k, ())) for k, (d, _) in enumerate(docs)}
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_intervals_are_those_of_a_suffix_array(spark, seed):
+    """Runs named alike by two blocks are the members of one interval of the sorted suffixes with a common prefix of the run's length."""
+    r = random.Random(seed)
+    docs = [(k, "\n".join(r.choice(["a b", "c", "d e f", ""]) for _ in range(r.randint(3, 20)))) for k in range(10)]
+    seqs = {d: t.split("\n") for d, t in docs}
+    suffixes = sorted(((seqs[d][i:], d, i) for d in seqs for i in range(len(seqs[d]))), key=lambda x: x[0])
+
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    lcp = [common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+    frame = table(spark, docs).select(F.col("doc_id").alias("key"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
+    lines = linededup.stretches(linededup.repeated_lines(frame), 5)
+    lines = linededup.stored(lines, "test-lines")
+    runs = linededup.stored(linededup.shortest_runs(lines, 5), "test-runs")
+    blocks, seen = lines.select(*linededup.DOCUMENT, "pos", "rank"), {}
+    for level in range(5):
+        blocks = linededup.doubled(blocks, 1 << level - 1) if level else blocks
+        for x in rows(linededup.intervals(runs, blocks, 1 << level)):
+            seen.setdefault((x["length"], x["head"], x["tail"]), set()).add((x["key"], x["start"]))
+    groups = {}
+    for x in rows(runs):
+        m, at = x["length"], next(k for k, s in enumerate(suffixes) if s[1:] == (x["key"], x["start"]))
+        low = at
+        while low and lcp[low - 1] >= m:
+            low -= 1
+        groups.setdefault((m, low), set()).add((x["key"], x["start"]))
+    assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == sorted(sorted(g) for g in seen.values() if len(g) > 1)
+    assert sum(map(len, groups.values())) >= sum(map(len, seen.values()))
+
+
 def test_lines_of_edge_rows(spark):
     found = rows(linededup.dedup(table(spark, EDGES)))
     assert len(found) == len(EDGES)

@@ -60,7 +60,7 @@ def serialised_model(vocabulary: list[bytes]) -> bytes:
 
 def unicode_spaces(pattern: str) -> str:
     r"""The pattern with \s and \S spelled out as Unicode's White_Space, which the regex module widens by four control characters."""
-    spaces = r"\t-\r \x85\xa0  -     　"
+    spaces = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     # inside [^...] the class members stand without brackets
     return pattern.replace(r"[^\s", "[^" + spaces).replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
 

@@ -87,13 +87,23 @@ def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     return runs.where("length > 0").distinct()
 
 
+def reached(lines: DataFrame, runs: DataFrame) -> DataFrame:
+    """(key, digest, reach, pos, rank) of the lines, with the length of the longest run that their document asks for."""
+    of = [f"_{c}" for c in DOCUMENT]
+    reach = runs.groupBy(*[F.col(c).alias(o) for c, o in zip(DOCUMENT, of, strict=True)]).agg(F.max("length").alias("reach"))
+    return lines.join(reach, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))).select(*DOCUMENT, "reach", "pos", "rank")
+
+
 def doubled(blocks: DataFrame, k: int) -> DataFrame:
-    """Ranks by 2k lines from ranks by k lines; suffixes whose 2k lines occur once leave."""
+    """Ranks by 2k lines from ranks by k lines; suffixes whose 2k lines occur once leave, and documents that ask for no run of 2k lines (`reach`).
+
+    Equal runs are asked for by all documents that have them, so none of a run's copies leaves before the others.
+    """
     order = Window.partitionBy(*DOCUMENT).orderBy("pos")
-    pairs = blocks.withColumn("second", F.lead("rank", k).over(order)).withColumn("at", F.lead("pos", k).over(order)).where(F.col("at") == F.col("pos") + k)
-    pairs = pairs.select(*DOCUMENT, "pos", F.col("rank").alias("first"), "second")
+    pairs = blocks.where(F.col("reach") >= 2 * k).withColumn("second", F.lead("rank", k).over(order)).withColumn("at", F.lead("pos", k).over(order)).where(F.col("at") == F.col("pos") + k)
+    pairs = pairs.select(*DOCUMENT, "reach", "pos", F.col("rank").alias("first"), "second")
     shared = pairs.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1").select("first", "second")
-    return stored(pairs.join(_ranked(shared, "first", "second"), ["first", "second"]).select(*DOCUMENT, "pos", "rank"), "lines-blocks")
+    return stored(pairs.join(_ranked(shared, "first", "second"), ["first", "second"]).select(*DOCUMENT, "reach", "pos", "rank"), "lines-blocks")
 
 
 def intervals(runs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
@@ -143,18 +153,16 @@ def find_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     lines = stored(stretches(repeated_lines(docs), min_words), "lines-repeated")
     runs = stored(shortest_runs(lines, min_words), "lines-shortest")
     levels = {r[0] for r in runs.select(F.length(F.bin("length")) - 1).distinct().collect()}  # a few small numbers
-    blocks, copies = lines.select(*DOCUMENT, "pos", "rank"), runs.limit(0)
+    blocks, copies = stored(reached(lines, runs), "lines-blocks"), runs.limit(0)
     for level in range(max(levels, default=-1) + 1):
         if level:
-            longer = doubled(blocks, 1 << level - 1)
-            if level > 1:
-                release(blocks)
-            blocks = longer
+            shorter, blocks = blocks, doubled(blocks, 1 << level - 1)
+            release(shorter)
         if level in levels:
             named = stored(intervals(runs, blocks, 1 << level), "lines-intervals")
             copies = copies.unionByName(stored(later_copies(named), "lines-copies"))
             release(named)
-    release(lines, runs)
+    release(lines, runs, blocks)
     return stored(maximal_runs(copies.distinct()), "lines-runs")
 
 

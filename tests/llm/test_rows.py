@@ -156,6 +156,7 @@ def test_ids_are_tiktokens(spark):
     ranks = {p: k for k, p in enumerate(bpe.read_ranks(path))}
     reference = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     odd = ["don't  stop\n\n\tnow 12345", "x" * 5000, "▁▁ lower▁bar", "\x1c\x1d a\x85b c", "日本語のテキスト", "<|endoftext|>", "Ünḯ ​ ﻿", "🙂" * 50, " " * 300]
+    odd.append("".join(f"a{chr(c)}b {chr(c)}{chr(c)}c" for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF]))
     df = table(spark, [*EDGES, *enumerate(odd, 100)])
     found = rows(bpe.decode(bpe.encode(df, path, tokenizers.PATTERN), path))
     assert len(found) == len(EDGES) + len(odd)

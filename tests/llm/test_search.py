@@ -56,7 +56,7 @@ def test_intervals_are_those_of_a_suffix_array(spark, seed):
     lines = linededup.stretches(linededup.repeated_lines(frame), 5)
     lines = linededup.stored(lines, "test-lines")
     runs = linededup.stored(linededup.shortest_runs(lines, 5), "test-runs")
-    blocks, seen = lines.select(*linededup.DOCUMENT, "pos", "rank"), {}
+    blocks, seen = linededup.reached(lines, runs), {}
     for level in range(5):
         blocks = linededup.doubled(blocks, 1 << level - 1) if level else blocks
         for x in rows(linededup.intervals(runs, blocks, 1 << level)):

@@ -147,7 +147,7 @@ def unified_records(spark, folder):
     )
 
 
-@query("SELECT * FROM (VALUES ('prompt has a turn', 0::BIGINT), ('turns are whole', 0::BIGINT)) v(rule, violations)")
+@query("SELECT 'prompt has a turn' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'turns are whole', count(*) FROM documents WHERE text IS NULL")
 def validate_rows(spark, folder):
     return validate.violations(flagship(spark, folder))
 
@@ -260,43 +260,44 @@ def messages_json(spark, folder):
 
 
 def answered(spark: SparkSession, folder: str) -> DataFrame:
-    """Question, Answer, Think and ID out of documents and labels."""
-    return labelled(spark, folder).select(F.col("doc_id").alias("ID"), F.col("lang").alias("Question"), F.col("source").alias("Answer"), F.when(F.col("quality").isNotNull(), F.concat(F.lit(" q"), "quality")).alias("Think"))
+    """Question (the whole text), Answer, Think and ID out of documents and labels."""
+    return labelled(spark, folder).select(F.col("doc_id").alias("ID"), F.col("text").alias("Question"), F.col("source").alias("Answer"), F.when(F.col("quality").isNotNull(), F.concat(F.lit(" q"), "quality")).alias("Think"))
 
 
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 WRAPPED = "'<think>' || coalesce('q' || quality, '') || '</think><answer>' || source || '</answer>'"
 
 
-@query(f"SELECT doc_id AS id, to_json([{{role: 'system', content: 'Be exact.'}}, {{role: 'user', content: lang}}, {{role: 'assistant', content: {WRAPPED}}}]) AS messages FROM documents LEFT JOIN labels USING (doc_id)")
+@query(f"SELECT doc_id AS id, to_json([{{role: 'system', content: 'Be exact.'}}, {{role: 'user', content: {STRIPPED}}}, {{role: 'assistant', content: {WRAPPED}}}]) AS messages FROM documents LEFT JOIN labels USING (doc_id)")
 def think_answer_wrap(spark, folder):
     made = convert.chat_table(answered(spark, folder), "Be exact.")
     return made.withColumn("messages", F.to_json("messages"))
 
 
-@query("SELECT doc_id AS id, to_json([{role: 'user', content: lang}, {role: 'assistant', content: source}]) AS messages FROM documents")
+@query(f"SELECT doc_id AS id, to_json([{{role: 'user', content: {STRIPPED}}}, {{role: 'assistant', content: source}}]) AS messages FROM documents")
 def plain_messages(spark, folder):
     return convert.chat_table(answered(spark, folder), tags=False).withColumn("messages", F.to_json("messages"))
 
 
-@query("SELECT doc_id AS id, to_json([{role: 'user', content: lang}, {role: 'assistant', content: '<think>' || coalesce('q' || quality, 'nan') || '</think><answer>' || source || '</answer>'}]) AS messages FROM documents LEFT JOIN labels USING (doc_id)")
+@query(f"SELECT doc_id AS id, to_json([{{role: 'user', content: {STRIPPED}}}, {{role: 'assistant', content: '<think>' || coalesce('q' || quality, 'nan') || '</think><answer>' || source || '</answer>'}}]) AS messages FROM documents LEFT JOIN labels USING (doc_id)")
 def nan_messages(spark, folder):
     return convert.chat_table(answered(spark, folder), nan_text=True).withColumn("messages", F.to_json("messages"))
 
 
-@query(f"SELECT doc_id AS id, to_json({{question: lang, answer: {WRAPPED}}}) AS extra_info FROM documents LEFT JOIN labels USING (doc_id)")
+@query(f"SELECT doc_id AS id, to_json({{question: {STRIPPED}, answer: {WRAPPED}}}) AS extra_info FROM documents LEFT JOIN labels USING (doc_id)")
 def extra_info(spark, folder):
     return convert.question_table(answered(spark, folder)).withColumn("extra_info", F.to_json("extra_info"))
 
 
-@query(f"SELECT doc_id AS id, lang AS question, {WRAPPED} AS answer FROM documents LEFT JOIN labels USING (doc_id)")
+@query(f"SELECT doc_id AS id, {STRIPPED} AS question, {WRAPPED} AS answer FROM documents LEFT JOIN labels USING (doc_id)")
 def flatten_extra(spark, folder):
     flat = chat.flattened(convert.question_table(answered(spark, folder)), "extra_info")
     return flat.toDF("id", "question", "answer")
 
 
-@query("SELECT doc_id, to_json([{role: 'user', content: 'Q: ' || source || E'\\n{' || lang || '}'}]) AS prompt FROM documents")
+@query("SELECT doc_id, to_json([{role: 'user', content: 'Q: ' || source || E'\\n{' || text || '}'}]) AS prompt FROM documents")
 def prompt_template(spark, folder):
-    prompt = F.array(chat.turn("user", chat.filled("Q: {source}\n{{{lang}}}", source=F.col("source"), lang=F.col("lang"))))
+    prompt = F.array(chat.turn("user", chat.filled("Q: {source}\n{{{question}}}", source=F.col("source"), question=F.col("text"))))
     return table(spark, folder, "documents").select("doc_id", F.to_json(prompt).alias("prompt"))
 
 
@@ -371,6 +372,17 @@ def mean_ci95(spark, folder):
     return profile.mean_interval(table(spark, folder, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
 
 
+@query(
+    """WITH g AS (SELECT floor(sqrt(n_nationkey))::BIGINT AS squares, count(*) AS n, avg(n_nationkey) AS m, stddev_samp(n_nationkey) AS s FROM nation GROUP BY 1)
+    SELECT squares, 'n_nationkey' AS metric, n, round(m, 2) AS mean, round(m - t * s / sqrt(n), 2) AS low, round(m + t * s / sqrt(n), 2) AS high
+    FROM g JOIN (VALUES (1, NULL), (3, 4.302652729911275), (5, 2.7764451051977987), (7, 2.4469118511449692), (9, 2.306004135204166)) q(size, t) ON n = size"""
+)
+def mean_ci95_small(spark, folder):
+    """Groups of one to nine rows, where the t quantile is far from the normal one."""
+    nations = table(spark, folder, "nation").withColumn("squares", F.floor(F.sqrt("n_nationkey")))
+    return profile.mean_interval(nations, "squares", "n_nationkey")
+
+
 @query("SELECT quality, count(*) AS n, printf('%.2f%% +/- %.2f%%', 100 * avg(toxic), 100 * 1.96 * sqrt(avg(toxic) * (1 - avg(toxic)) / count(*))) AS accuracy FROM labels GROUP BY quality")
 def wald_interval(spark, folder):
     half = statistics.wald_half(F.avg("toxic"), F.count("*"))
@@ -417,13 +429,13 @@ def line_prefix(spark, folder):
 # Cluster text
 
 
-@query("SELECT s_name AS NODE, 8 AS TOTAL, s_suppkey % 9 AS USED, 8 - s_suppkey % 9 AS FREE, CASE WHEN s_suppkey % 9 = 0 THEN 'idle' WHEN s_suppkey % 9 < 8 THEN 'mix' ELSE 'alloc' END AS STATE FROM supplier")
+@query("SELECT s_name AS NODE, 8 AS TOTAL, s_suppkey % 9 AS USED, 8 - s_suppkey % 9 AS FREE, CASE WHEN s_suppkey % 9 = 0 AND s_suppkey % 4 <> 0 THEN 'idle' WHEN s_suppkey % 9 < 8 THEN 'mix' ELSE 'alloc' END AS STATE FROM supplier")
 def gpu_inventory(spark, folder):
-    nodes = table(spark, folder, "supplier").select(F.col("s_name").alias("NODE"), F.lit("gpu:X:8").alias("GRES"), F.format_string("gpu:X:%d(IDX:0-7)", F.col("s_suppkey") % 9).alias("GRES_USED"))
+    nodes = table(spark, folder, "supplier").select(F.col("s_name").alias("NODE"), F.when(F.col("s_suppkey") % 4 == 0, "gpu:X:8(S:0-1)").otherwise("gpu:X:8").alias("GRES"), F.format_string("gpu:X:%d(IDX:0-7)", F.col("s_suppkey") % 9).alias("GRES_USED"))
     return cluster.accelerators(nodes).withColumns({c: F.col(c).cast("bigint") for c in ("TOTAL", "USED", "FREE")})
 
 
-@query("SELECT printf('%-20s %-10d %-10d %-10d %s', s_name, 8, s_suppkey % 9, 8 - s_suppkey % 9, CASE WHEN s_suppkey % 9 = 0 THEN 'idle' WHEN s_suppkey % 9 < 8 THEN 'mix' ELSE 'alloc' END) AS value FROM supplier")
+@query("SELECT printf('%-20s %-10d %-10d %-10d %s', s_name, 8, s_suppkey % 9, 8 - s_suppkey % 9, CASE WHEN s_suppkey % 9 = 0 AND s_suppkey % 4 <> 0 THEN 'idle' WHEN s_suppkey % 9 < 8 THEN 'mix' ELSE 'alloc' END) AS value FROM supplier")
 def gpu_report(spark, folder):
     return cluster.report_lines(gpu_inventory(spark, folder))
 

@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
     Rows are judged one by one: of two rows of one doc_id, only that goes whose text is near another's. Of rows equal in doc_id and text, one stays, with
     the smallest lang, source and n_chars. Texts without words (null, empty) are near nothing: all their rows stay.
     """
-    keyed = docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).alias("row"))
+    keyed = docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")).alias("row"))
     found = stored(ngram.near_duplicates(keyed, key="row").where("n_shingles > 0"), "near-duplicates")
     later = found.where("component_id <> row").select("row").distinct()
     repeated = found.where("component_id = row").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row")

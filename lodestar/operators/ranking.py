@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import unused
+
 
 def hash_key(seed: int | str, *columns: str) -> Column:
     """The order of a seeded shuffle: MD5 of seed and key, equal in any engine."""
@@ -40,16 +42,19 @@ def numbered(df: DataFrame, bucket: Column, order: list[str | Column], within: t
     Buckets must rise with the order. A group's rows spread over its buckets, so a large group is many tasks' work; what
     meets in one task are the counts of a group's buckets.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*within)
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(c).alias(f"_{c}") for c in within], F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(group).alias("_total"))
-    same = F.col("_bucket").eqNullSafe(F.col("_of"))
-    for c in within:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(*order)))
-    out = ranked.join(starts, same).withColumn(name, (F.col("_start") + F.col("_rank") - 1).cast("bigint"))
+    taken = [*df.columns, name, total or name]
+    own, of, start, rows, rank, count = unused(taken, "bucket", "of", "start", "rows", "place", "count")
+    keys = unused([*taken, of], *[f"{c}_of" for c in within])
+    keyed = df.withColumn(own, bucket)
+    sizes = keyed.groupBy(*[F.col(c).alias(k) for c, k in zip(within, keys, strict=True)], F.col(own).alias(of)).agg(F.count("*").alias(count))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, of, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start), F.sum(count).over(group).alias(rows))
+    same = F.col(own).eqNullSafe(F.col(of))
+    for c, k in zip(within, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(*within, own).orderBy(*order)))
+    out = ranked.join(starts, same).withColumn(name, (F.col(start) + F.col(rank) - 1).cast("bigint"))
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_bucket", "_of", "_start", "_total", "_rank", *[f"_{c}" for c in within])
+        out = out.withColumn(total, F.col(rows))
+    return out.drop(own, of, start, rows, rank, *keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import unused
 from .ranking import hash_bucket, hash_key, numbered
 
 # Rows of each category in the benchmark's sample of 500.
@@ -41,8 +42,10 @@ def members(df: DataFrame, by: str, key: str, size: int = 1000, seed: int = 2025
 
 def membership(df: DataFrame, by: str, key: str, seed: int = 2025) -> DataFrame:
     """(category, key, place): every row's key, numbered from 0 within its category in a seeded shuffle. No category meets in one task."""
-    keyed = df.select(by, key).withColumn("_hash", hash_key(seed, key))
-    return numbered(keyed, hash_bucket(F.col("_hash")), ["_hash", key], within=(by,), name="place").select(by, key, "place")
+    slim = df.select(by, key)
+    digest, = unused(slim.columns, "digest")
+    keyed = slim.withColumn(digest, hash_key(seed, key))
+    return numbered(keyed, hash_bucket(F.col(digest)), [digest, key], within=(by,), name="place").select(by, key, "place")
 
 
 def quota_table(df: DataFrame, quotas: dict[str, int], by: str = "category") -> DataFrame:
@@ -68,9 +71,10 @@ def quota_sample(df: DataFrame, quotas: DataFrame, by: str, key: str, seed: int
         short = short_categories(quotas, df, by).limit(5).collect()
         if short:
             raise ValueError(f"quotas above the number of rows: {[tuple(r) for r in short]}")
-    wanted = df.join(quotas.select(by, F.col("quota").alias("_quota")), by).withColumn("_hash", hash_key(seed, key))
-    ranked = numbered(wanted, hash_bucket(F.col("_hash")), ["_hash", key], within=(by,), name="_place")
-    return ranked.where("_place < _quota").drop("_place", "_quota", "_hash").select(*df.columns)
+    quota, digest, place = unused(df.columns, "quota", "digest", "drawn")
+    wanted = df.join(quotas.select(by, F.col("quota").alias(quota)), by).withColumn(digest, hash_key(seed, key))
+    ranked = numbered(wanted, hash_bucket(F.col(digest)), [digest, key], within=(by,), name=place)
+    return ranked.where(F.col(place) < F.col(quota)).select(*df.columns)
 
 
 def size_report(df: DataFrame, size: int) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import unused
 from .ranking import hash_bucket, hash_key, numbered, range_bucket
 
 SEED = 2025
@@ -23,24 +24,25 @@ class Strategy:
     ratio: float = RATIO
 
 
-def _flagged(ranked: DataFrame, ratio: float) -> DataFrame:
-    """The first max(1, floor(n * ratio)) ranks are val; ratios are doubles."""
-    size = F.greatest(F.lit(1), F.floor(F.col("_all") * F.lit(float(ratio))))
-    return ranked.withColumn("split", F.when(F.col("_place") < size, "val").otherwise("train")).drop("_place", "_all")
+def _drawn(df: DataFrame, key: str, ratio: float, seed: int, stratum: Column | None = None) -> DataFrame:
+    """Adds `split`: the first max(1, floor(n * ratio)) rows of each stratum in a seeded shuffle are val; ratios are doubles."""
+    digest, part, place, rows = unused(df.columns, "digest", "stratum", "drawn", "all")
+    shuffled = df.withColumn(digest, hash_key(seed, key))
+    if stratum is not None:
+        shuffled = shuffled.withColumn(part, stratum)
+    ranked = numbered(shuffled, hash_bucket(F.col(digest)), [digest, key], within=() if stratum is None else (part,), name=place, total=rows)
+    size = F.greatest(F.lit(1), F.floor(F.col(rows) * F.lit(float(ratio))))
+    return ranked.withColumn("split", F.when(F.col(place) < size, "val").otherwise("train")).drop(place, rows, digest, part)
 
 
 def random_split(df: DataFrame, key: str, ratio: float = RATIO, seed: int = SEED) -> DataFrame:
     """Adds `split`. A table of one row is all val."""
-    shuffled = df.withColumn("_hash", hash_key(seed, key))
-    ranked = numbered(shuffled, hash_bucket(F.col("_hash")), ["_hash", key], name="_place", total="_all")
-    return _flagged(ranked, ratio).drop("_hash")
+    return _drawn(df, key, ratio, seed)
 
 
 def stratified_split(df: DataFrame, key: str, by: str, ratio: float = RATIO, seed: int = SEED) -> DataFrame:
     """Adds `split`, drawn in each stratum; strata are values as text, nulls one stratum. A stratum of one row is all val."""
-    shuffled = df.withColumns({"_hash": hash_key(seed, key), "_stratum": F.coalesce(F.col(by).cast("string"), F.lit(NO_STRATUM))})
-    ranked = numbered(shuffled, hash_bucket(F.col("_hash")), ["_hash", key], within=("_stratum",), name="_place", total="_all")
-    return _flagged(ranked, ratio).drop("_hash", "_stratum")
+    return _drawn(df, key, ratio, seed, F.coalesce(F.col(by).cast("string"), F.lit(NO_STRATUM)))
 
 
 def split(train: DataFrame | None, val: DataFrame | None, key: str, strategy: Strategy, seed: int = SEED) -> DataFrame:
@@ -61,5 +63,6 @@ def indexed(df: DataFrame, source_index: str, name: str = "index") -> DataFrame:
 
 def generated_ids(df: DataFrame, source_index: str, stem: str, name: str = "id") -> DataFrame:
     """Adds `{stem}-000000`, ... in source order."""
-    placed = numbered(df, range_bucket(df, source_index), [source_index], name="_place")
-    return placed.withColumn(name, F.format_string(f"{stem.replace('%', '%%')}-%06d", F.col("_place"))).drop("_place")
+    place, = unused(df.columns, "drawn")
+    placed = numbered(df, range_bucket(df, source_index), [source_index], name=place)
+    return placed.withColumn(name, F.format_string(f"{stem.replace('%', '%%')}-%06d", F.col(place))).drop(place)

@@ -188,3 +188,13 @@ def test_membership_keeps_every_row(spark):
 def test_membership_query_covers_all_documents(spark):
     folder = "/root/testdata/sf0.001"
     assert queries.QUERIES["category_membership"](spark, folder).count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_names_that_operators_use_may_clash(spark):
+    names = ("bucket", "of", "start", "rows", "place", "count", "digest", "stratum", "drawn", "all", "quota", "_key", "kind_of")
+    df = spark.createDataFrame([(k, "ab"[k % 2], *names) for k in range(40)], "id long, kind string, " + ", ".join(f"`{n}` string" for n in names))
+    quotas = sample.quota_table(df, {"a": 3, "b": 4}, "kind")
+    for made, rows in ((split.stratified_split(df, "id", "kind"), 40), (split.random_split(df, "id"), 40), (split.generated_ids(df, "id", "x", "made"), 40), (sample.quota_sample(df, quotas, "kind", "id"), 7)):
+        found = made.collect()
+        assert len(found) == rows and all(r[n] == n for r in found for n in names)
+    assert len(enrich.enriched(df, df.select("id", "_key", "of"), "id").columns) == len(df.columns) + 2

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, media, mixing, ngram, quality, sharding, toxicity, warc
+from . import alignment, bpe, langid, linededup, media, mixing, ngram, quality, search, secrets, sharding, toxicity, warc
 from .shared import stored
 
 
@@ -121,6 +121,24 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tokens of a byte-level BPE and of a sentencepiece model lie over each other in every text."""
+    import public_tokenizers
+
+    return alignment.aligned(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents that answer each benchmark item best, out of all."""
+    docs = documents(spark, folder)
+    return search.ranked(search.index(docs), spark.read.parquet(f"{folder}/benchmark.parquet"), query_key="item_id")
+
+
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """The secrets in every document: named ones, access keys, hexadecimal ones, and strings that look random."""
+    return secrets.scanned(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_warc": op2_warc,
@@ -132,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
+    "op12_search": op12_search,
+    "op13_secrets": op13_secrets,
     "media_pages": media_pages,
 }
 SQL: dict[str, str] = {
@@ -166,6 +187,53 @@ later AS (SELECT doc_id, start, stop FROM (SELECT *, row_number() OVER (PARTITIO
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(start, stop)) AS pos FROM later),
 kept AS (SELECT lines.doc_id, string_agg(line, chr(10) ORDER BY lines.pos) FILTER (WHERE gone.pos IS NULL) AS rest, count(gone.pos) AS n FROM lines LEFT JOIN gone ON lines.doc_id = gone.doc_id AND lines.pos = gone.pos GROUP BY lines.doc_id)
 SELECT documents.doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(rest, '') END AS text, coalesce(n, 0)::INT AS deleted_lines FROM documents LEFT JOIN kept USING (doc_id)
+""",
+    "op12_search": r"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+whole AS (SELECT count(*) AS big_n, sum(n)::HUGEINT AS big_l FROM lengths),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+held AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM held, whole),
+parts AS (SELECT item_id, doc_id, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75::HUGEINT * n * big_n) // big_l)::BIGINT))) AS part
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id), whole),
+scores AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM parts GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+""",
+    "op13_secrets": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f0 AS (SELECT r, 0 AS kind, 6 AS least, regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS s, regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v, string_split_regex(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS p, text FROM d),
+f1 AS (SELECT r, 1 AS kind, 0 AS least, regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}') AS s, s AS v, string_split_regex(text, 'AKIA[A-Z0-9]{16,}') AS p FROM d),
+f2 AS (SELECT r, 2 AS kind, 0 AS least, regexp_extract_all(text, '[0-9a-f]{24,}') AS s, s AS v, string_split_regex(text, '[0-9a-f]{24,}') AS p FROM d),
+m AS (SELECT r, kind, least, unnest(s) AS s, unnest(v) AS v, unnest(p[1:len(s)]) AS p, generate_subscripts(s, 1) AS i FROM (SELECT r, kind, least, s, v, p FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2) WHERE len(s) > 0),
+base AS (SELECT r, kind, stop - length(s) AS start, stop FROM (SELECT *, sum(length(p) + length(s)) OVER (PARTITION BY r, kind ORDER BY i)::BIGINT AS stop FROM m) WHERE length(v) >= least),
+t0 AS (SELECT r, list_reduce(list_prepend('', list_transform(range(1, len(s) + 1), lambda i: p[i] || CASE WHEN length(v[i]) >= 6 THEN repeat(' ', length(s[i])) ELSE s[i] END)), lambda x, y: x || y) || p[-1] AS text FROM f0),
+t1 AS (SELECT r, list_reduce(list_prepend('', list_transform(range(1, len(s) + 1), lambda i: p[i] || repeat(' ', length(s[i])))), lambda x, y: x || y) || p[-1] AS text FROM (SELECT r, regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}') AS s, string_split_regex(text, 'AKIA[A-Z0-9]{16,}') AS p FROM t0)),
+t2 AS (SELECT r, list_reduce(list_prepend('', list_transform(range(1, len(s) + 1), lambda i: p[i] || repeat(' ', length(s[i])))), lambda x, y: x || y) || p[-1] AS text FROM (SELECT r, regexp_extract_all(text, '[0-9a-f]{24,}') AS s, string_split_regex(text, '[0-9a-f]{24,}') AS p FROM t1)),
+c AS (SELECT r, unnest(s) AS s, unnest(p[1:len(s)]) AS p, generate_subscripts(s, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}') AS s, string_split_regex(text, '[A-Za-z0-9+/_-]{20,}') AS p FROM t2) WHERE len(s) > 0),
+placed AS (SELECT r, s, sum(length(p) + length(s)) OVER (PARTITION BY r ORDER BY i)::BIGINT AS stop FROM c),
+coded AS (SELECT *, CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '0123456789' WHEN regexp_matches(s, '^[0-9a-f]+$') THEN '0123456789abcdef' WHEN regexp_matches(s, '^[0-9A-F]+$') THEN '0123456789ABCDEF'
+  WHEN regexp_matches(s, '^[a-z]+$') THEN 'abcdefghijklmnopqrstuvwxyz' WHEN regexp_matches(s, '^[A-Z]+$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' WHEN regexp_matches(s, '^[A-Z2-7]+$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
+  WHEN regexp_matches(s, '^[a-z0-9]+$') THEN 'abcdefghijklmnopqrstuvwxyz0123456789' WHEN regexp_matches(s, '^[A-Z0-9]+$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789' WHEN regexp_matches(s, '^[A-Za-z]+$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'
+  WHEN regexp_matches(s, '^[A-Za-z0-9]+$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789' WHEN regexp_matches(s, '^[A-Za-z0-9+/]+$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/'
+  WHEN regexp_matches(s, '^[A-Za-z0-9_-]+$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_' END AS alphabet FROM placed),
+read AS (SELECT *, length(s)::DOUBLE AS n, length(alphabet)::DOUBLE AS k, list_transform(range(1, length(s) + 1), lambda i: strpos(alphabet, s[i])::DOUBLE) AS v FROM coded WHERE alphabet IS NOT NULL),
+summed AS (SELECT *, list_sum(list_transform(range(1, k::BIGINT + 1), lambda a: len(list_filter(v, lambda x: x = a))::DOUBLE ** 2)) AS squares, len(list_filter(v, lambda x: x > floor(k / 2)))::DOUBLE AS ones,
+  1 + list_sum(list_transform(range(1, n::BIGINT), lambda i: ((v[i] > floor(k / 2)) <> (v[i + 1] > floor(k / 2)))::INT))::DOUBLE AS runs,
+  list_sum(v) AS s1, list_sum(list_transform(v, lambda x: x * x)) AS s2, list_sum(list_transform(range(1, n::BIGINT + 1), lambda i: v[i] * v[i % n::BIGINT + 1])) AS sx FROM read),
+tested AS (SELECT *, (k * squares / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS chi, 2 * ones * (n - ones) / n + 1 AS mu,
+  ((n * sx - s1 * s1) / nullif(n * s2 - s1 * s1, 0) + 1 / (n - 1)) * (n - 1) * sqrt(n - 2) / n AS serial, greatest(2 / k, 0.06::DOUBLE) AS usual FROM summed),
+judged AS (SELECT r, s, stop, CASE WHEN n >= 128 THEN 3 WHEN n >= 64 THEN 2 WHEN n >= 32 THEN 1 ELSE 0 END AS size,
+  greatest(-1000, least(0, ceil((squares - n - n * (n - 1) * usual) / sqrt(2 * n * (n - 1) * usual * (1 - usual)) * 50)))::BIGINT AS step,
+  coalesce(chi * chi + (runs - mu) ** 2 / nullif((mu - 1) * (mu - 2) / (n - 1), 0) + serial * serial <= 16.266::DOUBLE, false) AS uniform FROM tested),
+steps AS (SELECT size, step, count(DISTINCT s) AS n FROM judged GROUP BY ALL),
+upto AS (SELECT size, step, sum(n) OVER (PARTITION BY size ORDER BY step) AS upto, sum(n) OVER (PARTITION BY size) AS whole, step / 50.0::DOUBLE AS z, 1 / (1 - 0.2316419::DOUBLE * step / 50.0::DOUBLE) AS t FROM steps),
+limits AS (SELECT size, max(step) AS most FROM upto WHERE exp(-z * z / 2) / 2.5066282746310002::DOUBLE * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) <= 0.01::DOUBLE * upto / whole GROUP BY size),
+spans AS (SELECT r, kind, start, stop FROM base UNION ALL SELECT r, 3, stop - length(s), stop FROM judged JOIN limits USING (size) WHERE uniform AND step <= most),
+told AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)
 """,
     "op9_mixing": """
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .names import unused
-from .ranking import hash_bucket, hash_key, numbered
+from .ranking import first_rows, hash_bucket, hash_key, numbered
 
 # Rows of each category in the benchmark's sample of 500.
 QUOTA = {
@@ -71,10 +71,10 @@ def quota_sample(df: DataFrame, quotas: DataFrame, by: str, key: str, seed: int
         short = short_categories(quotas, df, by).limit(5).collect()
         if short:
             raise ValueError(f"quotas above the number of rows: {[tuple(r) for r in short]}")
-    quota, digest, place = unused(df.columns, "quota", "digest", "drawn")
-    wanted = df.join(quotas.select(by, F.col("quota").alias(quota)), by).withColumn(digest, hash_key(seed, key))
-    ranked = numbered(wanted, hash_bucket(F.col(digest)), [digest, key], within=(by,), name=place)
-    return ranked.where(F.col(place) < F.col(quota)).select(*df.columns)
+    digest, first = unused(df.columns, "digest", "drawn")
+    sizes = quotas.select(by, F.col("quota").alias("size"))
+    drawn = first_rows(df.withColumn(digest, hash_key(seed, key)), digest, key, sizes, within=(by,), name=first)
+    return drawn.where(first).select(*df.columns)
 
 
 def size_report(df: DataFrame, size: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .names import unused
-from .ranking import hash_bucket, hash_key, numbered, range_bucket
+from .ranking import first_rows, hash_key, numbered, range_bucket
 
 SEED = 2025
 RATIO = 0.02
@@ -26,13 +26,13 @@ class Strategy:
 
 def _drawn(df: DataFrame, key: str, ratio: float, seed: int, stratum: Column | None = None) -> DataFrame:
     """Adds `split`: the first max(1, floor(n * ratio)) rows of each stratum in a seeded shuffle are val; ratios are doubles."""
-    digest, part, place, rows = unused(df.columns, "digest", "stratum", "drawn", "all")
-    shuffled = df.withColumn(digest, hash_key(seed, key))
+    digest, part, first = unused(df.columns, "digest", "stratum", "drawn")
+    shuffled = df.drop("split").withColumn(digest, hash_key(seed, key))
     if stratum is not None:
         shuffled = shuffled.withColumn(part, stratum)
-    ranked = numbered(shuffled, hash_bucket(F.col(digest)), [digest, key], within=() if stratum is None else (part,), name=place, total=rows)
-    size = F.greatest(F.lit(1), F.floor(F.col(rows) * F.lit(float(ratio))))
-    return ranked.withColumn("split", F.when(F.col(place) < size, "val").otherwise("train")).drop(place, rows, digest, part)
+    size = lambda rows: F.greatest(F.lit(1), F.floor(rows * F.lit(float(ratio))))
+    marked = first_rows(shuffled, digest, key, size, within=() if stratum is None else (part,), name=first)
+    return marked.withColumn("split", F.when(F.col(first), "val").otherwise("train")).drop(first, digest, part)
 
 
 def random_split(df: DataFrame, key: str, ratio: float = RATIO, seed: int = SEED) -> DataFrame:
@@ -56,13 +56,13 @@ def split(train: DataFrame | None, val: DataFrame | None, key: str, strategy: St
     return random_split(train, key, strategy.ratio, seed)
 
 
-def indexed(df: DataFrame, source_index: str, name: str = "index") -> DataFrame:
-    """Adds 0, 1, ... within each split, in source order."""
-    return numbered(df, range_bucket(df, source_index), [source_index], within=("split",), name=name)
+def indexed(df: DataFrame, source_index: str, name: str = "index", source: DataFrame | None = None) -> DataFrame:
+    """Adds 0, 1, ... within each split, in source order: that of a number, a text, or the place that in_order adds. `source` is a table with the same keys that is cheaper to read."""
+    return numbered(df, range_bucket(df, source_index, source=source), [source_index], within=("split",), name=name)
 
 
 def generated_ids(df: DataFrame, source_index: str, stem: str, name: str = "id") -> DataFrame:
-    """Adds `{stem}-000000`, ... in source order."""
+    """Adds `{stem}-000000`, ... in source order: that of a number, a text, or the place that in_order adds."""
     place, = unused(df.columns, "drawn")
     placed = numbered(df, range_bucket(df, source_index), [source_index], name=place)
     return placed.withColumn(name, F.format_string(f"{stem.replace('%', '%%')}-%06d", F.col(place))).drop(place)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestar.functions.answers import extracted
 from lodestar.functions.chat import messages, question_answer, user_prompt
 from lodestar.operators import sample
+from lodestar.operators.names import unused
+from lodestar.operators.ranking import fixed_order
 from lodestar.operators.split import generated_ids, indexed, split
 from lodestar.operators.validate import complete, id_first, renamed_id, require_columns
 
@@ -37,15 +39,20 @@ def unified(df: DataFrame, config: Config, strict_nulls: bool = True) -> DataFra
     )
 
 
-def converted(splits: dict[str, DataFrame], config: Config, key: str) -> DataFrame:
-    """Splits, row numbers and records. `key` is the rows' source order, unique in each table and never null.
+def converted(splits: dict[str, DataFrame], config: Config, key: str | None = None) -> DataFrame:
+    """Splits, row numbers and records. `key` is the rows' source order, unique in each table and never null: a number or a text. Without one, the order of the files' rows is taken.
 
     Rows are split and numbered by key and stratum alone, and joined with the rest once, so that long columns are shuffled once at most.
     """
     train, val = splits.get(config.train), splits.get(config.val) if config.val else None
+    if key is None:
+        key, = unused([c for t in (train, val) if t is not None for c in t.columns], "source_order")
+        train, val = (None if t is None else fixed_order(t, key) for t in (train, val))
     slim = [key] + [c for c in {config.strategy.by} - {None, key} if val is None]
-    placed = split(None if train is None else train.select(*slim), None if val is None else val.select(*slim), key, config.strategy, config.seed)
-    placed = indexed(placed, key).select(key, "split", "index")
+    bare = [None if t is None else t.select(*slim) for t in (train, val)]
+    placed = split(*bare, key, config.strategy, config.seed)
+    source = bare[0].select(key) if val is None else bare[0].select(key).unionByName(bare[1].select(key))
+    placed = indexed(placed, key, source=source).select(key, "split", "index")
     if val is None:
         return unified(train.drop("split", "index").join(placed, key), config)
     rows = [t.drop("split", "index").withColumn("split", F.lit(name)) for name, t in (("train", train), ("val", val))]

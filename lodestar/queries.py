@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import answers, chat, prompts, statistics, text
-from lodestar.operators import annotate, cluster, enrich, jsonkeys, judge, profile, sample, split, validate
+from lodestar.operators import annotate, cluster, enrich, jsonkeys, judge, profile, ranking, sample, split, validate
 from lodestar.operators.scratch import scratch
 from lodestar.plans import convert, infer
 from lodestar.session import table
@@ -116,7 +116,9 @@ def split_random(spark, folder):
 
 @query(f"SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS index FROM (SELECT doc_id, {SPLIT} AS split FROM (SELECT *, {RANKED.format('lang', 'doc_id')} FROM documents))")
 def split_index(spark, folder):
-    return split.indexed(split.stratified_split(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id", "lang"), "doc_id").select("doc_id", "split", "index")
+    """Rows numbered within their split in the order of the files they come from, without a key for it."""
+    docs = ranking.in_order(table(spark, folder, "documents").select("doc_id", "lang"))
+    return split.indexed(split.stratified_split(docs, "doc_id", "lang"), "source_order").select("doc_id", "split", "index")
 
 
 @query("SELECT doc_id, split FROM (SELECT doc_id, 'train' AS split FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, 'val' FROM documents WHERE doc_id % 10 = 0)")
@@ -303,8 +305,16 @@ def prompt_template(spark, folder):
 
 @query("SELECT printf('doc-%06d', row_number() OVER (ORDER BY doc_id) - 1) AS id, doc_id FROM documents WHERE lang = 'en'")
 def gen_id(spark, folder):
-    kept = table(spark, folder, "documents").where("lang = 'en'").select("doc_id")
-    return split.generated_ids(kept, "doc_id", "doc").select("id", "doc_id")
+    """Ids in the order of the files' rows."""
+    kept = ranking.in_order(table(spark, folder, "documents")).where("lang = 'en'").select("doc_id", "source_order")
+    return split.generated_ids(kept, "source_order", "doc").select("id", "doc_id")
+
+
+@query("SELECT printf('page-%06d', row_number() OVER (ORDER BY page_id::VARCHAR || ':' || url) - 1) AS id, page_id FROM pages")
+def gen_id_text_key(spark, folder):
+    """Ids in the order of a key of text."""
+    keyed = table(spark, folder, "pages").select("page_id", F.concat_ws(":", "page_id", "url").alias("key"))
+    return split.generated_ids(keyed, "key", "page").select("id", "page_id")
 
 
 @query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND lang <> 'es'")
@@ -329,7 +339,9 @@ def jsonl_keys(spark, folder):
 
 
 def verdict():
-    return F.concat(F.lit('{"correct_answer": "a'), "user_id", F.lit('", "correct": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(', "confidence": '), (F.col("event_id") % 100).cast("string"), F.lit("}"))
+    """A response; in some a key is there twice, of which the last counts."""
+    twice = F.when(F.col("event_id") % 5 == 0, '{"correct_answer": "first", "correct_answer": "a').otherwise('{"correct_answer": "a')
+    return F.concat(twice, "user_id", F.lit('", "correct": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(', "confidence": '), (F.col("event_id") % 100).cast("string"), F.lit("}"))
 
 
 @query("SELECT event_id, 'e' || event_id AS id, 'a' || user_id AS correct_answer, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS correct, (event_id % 100)::VARCHAR AS confidence FROM events WHERE event_id % 4 <> 3")
@@ -485,13 +497,17 @@ def csv_fields(spark, folder):
     return files.csv(spark, sinks.csv(table(spark, folder, "nation"), scratch(spark, "csv-fields"), ["n_name", "n_nationkey"]))
 
 
-@query("SELECT n_nationkey::VARCHAR AS n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS n_name FROM nation")
+ASCII_SQL = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
+KANJI, KANA = "〇一二三四五六七八九", "ｱﾂﾎﾞソ能表ー～ヂア"  # half-width kana, characters with the byte of a backslash
+
+
+@query(f"""SELECT doc_id::VARCHAR AS "番号", translate(n_chars::VARCHAR, '0123456789', '{KANJI}') AS "漢数字", CASE WHEN doc_id % 5 <> 0 THEN source || '"{KANA}",' || chr(10) || lang END AS "かな", nullif({ASCII_SQL}, '') AS text FROM documents""")
 def csv_japanese(spark, folder):
-    """Rows in the Japanese charset of spreadsheets, of which some cells are marked as missing, read back."""
-    line = F.concat_ws(",", "n_nationkey", F.when(F.col("n_nationkey") % 5 != 0, F.col("n_name")).otherwise("N/A"))
-    path = scratch(spark, "csv-japanese")
-    rows = table(spark, folder, "nation").select(line.alias("line")).groupBy().agg(F.concat_ws("\n", F.array_sort(F.collect_list("line"))).alias("value"))
-    rows.select(F.concat(F.lit("n_nationkey,n_name\n"), "value").alias("value")).write.option("encoding", "windows-31j").text(path)
+    """Whole documents in the Japanese charset of spreadsheets, with numbers in kanji, and kana, quotes and line ends in cells, of which some are marked as missing; read back."""
+    docs = table(spark, folder, "documents")
+    kana = F.when(F.col("doc_id") % 5 != 0, F.concat("source", F.lit(f'"{KANA}",\n'), "lang")).otherwise("N/A")
+    cells = docs.select(F.col("doc_id").alias("番号"), F.translate(F.col("n_chars").cast("string"), "0123456789", KANJI).alias("漢数字"), kana.alias("かな"), F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
+    path = sinks.csv(cells, scratch(spark, "csv-japanese"), encoding="cp932")
     return files.csv(spark, path, "cp932", na=text.NA_TOKENS)
 
 

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings that the operators rely on: adaptive plans, UTC times, last duplicate JSON key wins, Java charsets for CSV.
+#: Settings for speed and plain times; no result of an operator depends on them but times as text.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.variant.allowDuplicateKeys": "true",
-    "spark.sql.legacy.javaCharsets": "true",
 }
 
 

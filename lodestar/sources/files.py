@@ -6,22 +6,41 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.text import base_name, null_if_na
 from lodestar.operators.jsonkeys import keys
 
-# Charsets by the names that CSV exports use, as Java calls them.
-CHARSETS = {"cp932": "windows-31j", "shift_jis": "Shift_JIS", "utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf8": "UTF-8"}
+from . import charsets
 
+def _header(reader, path: str | list[str], name: str) -> list[str]:
+    """The decoded column names in the first record; names that are there already, in either case, or empty ones get their place as Spark gives it."""
+    first = reader.option("header", False).csv(path).first()
+    out: list[str] = []
+    for k, cell in enumerate(first or ()):
+        text = charsets.decoded_name(cell or "", name)
+        text = text or f"_c{k}"
+        out.append(f"{text}{k}" if text.lower() in {c.lower() for c in out} else text)
+    return out
 
-def csv(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", na: Iterable[str] | None = None) -> DataFrame:
+
+def csv(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", na: Iterable[str] | None = None, errors: str = "strict") -> DataFrame:
     """A CSV table with a header, all columns text: what is written stays as written.
 
     Fields and headers may hold line ends; quotes are doubled; a byte order mark is skipped. `na` names texts that count as null, besides
-    the empty field. Charsets other than Unicode's need the session setting spark.sql.legacy.javaCharsets, which session() makes.
+    the empty field. Charsets besides Unicode's, such as cp932, are decoded in the plan, in any session; a cell that isn't of the charset ends the
+    job, or with `errors` "replace" gets replacement characters. All files have the columns of the first.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False)
-    table = reader.option("encoding", CHARSETS.get(encoding.lower(), encoding)).csv(path)
+    reader = lambda: spark.read.option("multiLine", True).option("escape", '"').option("inferSchema", False)
+    name = charsets.codec(encoding)
+    if name is None:
+        table = reader().option("header", True).option("encoding", charsets.NATIVE[encoding.lower()]).csv(path)
+    else:
+        names = _header(reader().option("encoding", charsets.BYTES), path, name)
+        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
+        # with a schema of its own, the reader passes over the header: as bytes, different names may look alike but for case
+        raw = reader().option("header", True).option("encoding", charsets.BYTES).schema(schema).csv(path)
+        table = raw.select(*[charsets.decoded(F.col(f"c{k}"), name, errors).alias(c) for k, c in enumerate(names)])
     if na is not None:
         table = table.select(*[null_if_na(F.col(f"`{c}`"), na).alias(c) for c in table.columns])
     return table

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.jsonkeys import padded
 
+from . import charsets
+
 
 def parquet(df: DataFrame, path: str, codec: str = "snappy") -> str:
     df.write.mode("overwrite").option("compression", codec).parquet(path)
@@ -16,9 +18,14 @@ def parquet(df: DataFrame, path: str, codec: str = "snappy") -> str:
 
 
 def split_parquet(df: DataFrame, folder: str, prefix: str, names: tuple[str, ...] = ("train", "val")) -> list[str]:
-    """Paths `{folder}/{prefix}/split=train` and `split=val`, written in one pass, without the split column; a split without rows is an empty table."""
+    """Paths `{folder}/{prefix}/split=train` and `split=val`, written in one pass, without the split column; a split without rows is an empty table.
+
+    A row of any other split, null included, ends the job: nothing is left out.
+    """
     top = f"{folder}/{prefix}"
-    df.where(F.col("split").isin(*names)).write.mode("overwrite").option("compression", "snappy").partitionBy("split").parquet(top)
+    known = F.coalesce(F.col("split").isin(*names), F.lit(False))
+    other = F.raise_error(F.concat(F.lit("no such split: "), F.coalesce(F.col("split").cast("string"), F.lit("null")))).cast("string")
+    df.withColumn("split", F.when(known, F.col("split")).otherwise(other)).write.mode("overwrite").option("compression", "snappy").partitionBy("split").parquet(top)
     paths = [f"{top}/split={s}" for s in names]
     for path in paths:
         system, target = _file_system(df, path)
@@ -27,15 +34,24 @@ def split_parquet(df: DataFrame, folder: str, prefix: str, names: tuple[str, ...
     return paths
 
 
-def _csv(df: DataFrame, path: str) -> str:
-    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
+def _csv(df: DataFrame, path: str, encoding: str = "utf-8") -> str:
+    name = charsets.codec(encoding)
+    if name is None:
+        charset = charsets.NATIVE[encoding.lower()]
+    else:
+        charset = charsets.BYTES
+        df = df.select(*[charsets.encoded(F.col(f"`{c}`").cast("string"), name).alias(charsets.encoded_name(c, name)) for c in df.columns])
+    writer = df.write.mode("overwrite").option("encoding", charset).option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
-def csv(df: DataFrame, path: str, fields: list[str] | None = None) -> str:
-    """CSV with a header; quotes are doubled, spaces kept, nulls empty; `fields` choose and order the columns. Every part file has the header."""
-    return _csv(df.select(*fields) if fields else df, path)
+def csv(df: DataFrame, path: str, fields: list[str] | None = None, encoding: str = "utf-8") -> str:
+    """CSV with a header; quotes are doubled, spaces kept, nulls empty; `fields` choose and order the columns. Every part file has the header.
+
+    A text that the charset can't express ends the job.
+    """
+    return _csv(df.select(*fields) if fields else df, path, encoding)
 
 
 def csv_with_mark(df: DataFrame, path: str) -> str:

@@ -13,9 +13,13 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import unused
+from .scratch import scratch
+
 
 class Client(Protocol):
     def __call__(self, prompt: str, system: str) -> str: ...
@@ -62,3 +66,37 @@ def annotate(df: DataFrame, prompt: Column, name: str, client: Callable[[], Clie
     replies.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     spread = df if partitions is None else df.repartition(partitions)
     return spread.withColumn(name, F.pandas_udf(replies, "string")(prompt))
+
+
+REPLIES = "prompt_digest string, reply string"
+
+
+def stored_replies(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt_digest, reply) of all prompts asked so far; no rows where nothing was stored yet."""
+    try:
+        return spark.read.schema(REPLIES).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], REPLIES)
+
+
+def annotate_once(df: DataFrame, prompt: Column, name: str, path: str, client: Callable[[], Client] = Stub, system: str = "", at_once: int = 4, partitions: int | None = None, block: int = 10_000) -> DataFrame:
+    """Adds the reply to each row's prompt, of which every distinct one is asked once, also over many runs; a null prompt has no reply.
+
+    Replies are kept in Parquet at `path`, by the digest of system and prompt. Prompts that aren't there yet are asked in blocks of about `block`, each stored
+    when it is answered: after a failure, a new run asks only what is left, at most a block twice. Prompts of equal rows, and of rows that come later, cost nothing.
+    """
+    spark = df.sparkSession
+    digest, asked = unused([*df.columns, name], "prompt_digest", "prompt")
+    keyed = df.withColumn(asked, prompt).withColumn(digest, F.when(F.col(asked).isNotNull(), F.sha2(F.concat_ws("\0", F.lit(system), F.col(asked)), 256)))
+    known = stored_replies(spark, path).select(F.col("prompt_digest").alias(digest))
+    distinct = keyed.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.first(asked).alias(asked)).join(known, digest, "left_anti")
+    left = scratch(spark, "prompts")
+    distinct.write.parquet(left)
+    waiting = spark.read.schema(distinct.schema).parquet(left)
+    blocks = -(-waiting.count() // block)
+    for k in range(blocks):
+        part = waiting.where(F.pmod(F.xxhash64(digest), F.lit(blocks)) == k)
+        replies = annotate(part, F.col(asked), "reply", client, system, at_once, partitions)
+        replies.select(F.col(digest).alias("prompt_digest"), "reply").write.mode("append").parquet(path)
+    told = stored_replies(spark, path).select(F.col("prompt_digest").alias(digest), F.col("reply").alias(name)).dropDuplicates([digest])
+    return keyed.drop(asked, name).join(told, digest, "left").drop(digest)

@@ -69,3 +69,13 @@ def flattened(df: DataFrame, json: str = "value", keep: tuple[str, ...] = (), ti
     entries = items.select("kept", F.explode(F.when(F.col("keyed") | (F.size(members) == 1), members).otherwise(plain)).alias("e")).where(_is_object(F.col("e.value")))
     response = entries.select("kept", F.col("e.key").alias("id"), F.try_variant_get("e.value", "$.judge_response", "variant").alias("response"))
     return response.select(*[F.col(f"kept.`{k}`") for k in keep], "id", *[_field(F.col("response"), name, title_case).alias(name) for name in FIELDS])
+
+
+def flattened_items(items: DataFrame, title_case: bool = False) -> DataFrame:
+    """(path, id, correct_answer, correct, confidence) of the items of large documents: (path, keyed, place, value), as sources.json_items gives them.
+
+    The rows are those of `flattened` for the whole documents: of an id that is there twice among the members of an object, the last counts.
+    """
+    rows = flattened(items, "value", ("path", "keyed", "place"), title_case)
+    last = rows.where("keyed").groupBy("path", "id").agg(F.max_by(F.struct(*FIELDS), "place").alias("last"))
+    return rows.where("not keyed").select("path", "id", *FIELDS).unionByName(last.select("path", "id", "last.*"))

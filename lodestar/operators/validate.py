@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import unused
+
 REQUIRED = ("data_source", "prompt", "ability", "reward_model", "extra_info")
 
 
@@ -32,18 +34,45 @@ def complete(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-def violations(df: DataFrame, sample: int | None = None) -> DataFrame:
-    """(rule, violations) of unified records: over all rows, or the first `sample`. A null ground truth is allowed."""
+def rules(df: DataFrame, extra: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    """What unified records must keep, by name: true where a row does. A null ground truth is allowed; `extra` adds rules, for which null counts as broken.
+
+    A table without the columns and fields that records have is an error.
+    """
     require_columns(df, REQUIRED)
     fields = {f.name: f.dataType for f in df.schema.fields}
     if "ground_truth" not in fields["reward_model"].fieldNames():
         raise ValueError("reward_model has no ground_truth")
     if not {"role", "content"} <= set(fields["prompt"].elementType.fieldNames()):
         raise ValueError("prompt turns need role and content")
-    rules = {
-        "prompt has a turn": F.coalesce(F.size("prompt") >= 1, F.lit(False)),
+    known = {
+        "prompt has a turn": F.size("prompt") >= 1,
         "turns are whole": F.coalesce(~F.exists("prompt", lambda t: t["role"].isNull() | t["content"].isNull()), F.lit(True)),
     }
-    counts = (df if sample is None else df.limit(sample)).agg(*[F.coalesce(F.sum((~ok).cast("bigint")), F.lit(0)).alias(name) for name, ok in rules.items()])
-    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("violations")) for name in rules])
+    return {name: F.coalesce(ok, F.lit(False)) for name, ok in (known | dict(extra or {})).items()}
+
+
+def violations(df: DataFrame, sample: int | None = None, extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """(rule, violations) of unified records: over all rows, or the first `sample`."""
+    checks = rules(df, extra)
+    counts = (df if sample is None else df.limit(sample)).agg(*[F.coalesce(F.sum((~ok).cast("bigint")), F.lit(0)).alias(name) for name, ok in checks.items()])
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("violations")) for name in checks])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def judged(df: DataFrame, extra: Mapping[str, Column] | None = None, name: str = "broken") -> DataFrame:
+    """Adds the names of the rules that each record breaks, in the order of the rules; none for a good record."""
+    told = F.array(*[F.when(~ok, rule) for rule, ok in rules(df, extra).items()])
+    return df.withColumn(name, F.filter(told, lambda r: r.isNotNull()))
+
+
+def quarantined(df: DataFrame, path: str, extra: Mapping[str, Column] | None = None, name: str = "broken") -> tuple[DataFrame, DataFrame]:
+    """(good, bad) records, parted in one pass over the table: written to Parquet below path, as good and bad ones, and read back. Bad ones carry the rules they break.
+
+    Every row is in one of the two. Writing again replaces both.
+    """
+    part, = unused([*df.columns, name], "part")
+    marked = judged(df, extra, name)
+    marked.withColumn(part, F.when(F.size(name) == 0, "good").otherwise("bad")).write.mode("overwrite").partitionBy(part).parquet(path)
+    back = df.sparkSession.read.schema(marked.schema.add(part, "string")).parquet(path)
+    return back.where(F.col(part) == "good").drop(part, name), back.where(F.col(part) == "bad").drop(part)

@@ -14,7 +14,8 @@ from lodestar.operators import annotate, cluster, enrich, jsonkeys, judge, profi
 from lodestar.operators.scratch import scratch
 from lodestar.plans import convert, infer
 from lodestar.session import table
-from lodestar.sources import files, sinks
+from lodestar.sources import files, hub, json_items, sinks
+from lodestar.streaming import records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,14 +158,19 @@ def validate_rows(spark, folder):
 @query("SELECT rule, n AS violations FROM (SELECT 'prompt has a turn' AS rule, (SELECT count(*) FROM conversations WHERE turn = 0 AND conv_id % 7 = 0) AS n UNION ALL SELECT 'turns are whole', (SELECT count(*) FROM conversations WHERE turn = 0 AND conv_id % 5 = 0 AND conv_id % 7 <> 0))")
 def validate_violations(spark, folder):
     """Whole conversations; in some the first turn has no content, and some have no turns."""
+    return validate.violations(conversation_records(spark, folder))
+
+
+def conversation_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as records, by conv_id."""
     turn = F.struct("turn", "role", F.when((F.col("turn") != 0) | (F.col("conv_id") % 5 != 0), F.col("text")).alias("content"))
     whole = table(spark, folder, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     turns = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
     records = whole.select(
-        F.lit("c").alias("data_source"), F.when(F.col("conv_id") % 7 != 0, turns).otherwise(F.array().cast("array<struct<role:string,content:string>>")).alias("prompt"),
+        "conv_id", F.lit("c").alias("data_source"), F.when(F.col("conv_id") % 7 != 0, turns).otherwise(F.array().cast("array<struct<role:string,content:string>>")).alias("prompt"),
         F.lit("general").alias("ability"), F.struct(F.lit(None).cast("string").alias("ground_truth")).alias("reward_model"), F.struct(F.lit(0).alias("index")).alias("extra_info"),
     )
-    return validate.violations(records)
+    return records
 
 
 # Samples and joins
@@ -354,6 +360,21 @@ def judge_flatten(spark, folder):
     return judge.flattened(table(spark, folder, "events").withColumn("doc", shape), "doc", ("event_id",))
 
 
+@query("SELECT 'e' || event_id AS id, 'a' || user_id AS correct_answer, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS correct, (event_id % 100)::VARCHAR AS confidence FROM events")
+def judge_large_files(spark, folder):
+    """The verdicts of all events in a few large JSON files, lists and objects, cut into items while they are read."""
+    name = F.concat(F.lit("e"), "event_id")
+    member = F.concat(F.lit('"'), name, F.lit('": {"note": "} \\\\ \\" {", "judge_response": '), verdict(), F.lit("}"))
+    listed = F.col("event_id") % 4 < 2
+    row = F.when(listed, F.concat(F.lit("{"), member, F.lit("}"))).otherwise(member)
+    events = table(spark, folder, "events").select((F.col("event_id") % 4).alias("file"), row.alias("row"))
+    path = scratch(spark, "verdicts")
+    events.groupBy("file").agg(F.array_join(F.collect_list("row"), ", \n").alias("rows")).select(
+        F.when(F.col("file") < 2, F.concat(F.lit("["), "rows", F.lit("\n]"))).otherwise(F.concat(F.lit("{"), "rows", F.lit("}"))).alias("value"), "file"
+    ).write.partitionBy("file").text(path)
+    return judge.flattened_items(json_items.items(spark, f"{path}/*/*.txt")).drop("path")
+
+
 @query("SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100")
 def limit_first_100(spark, folder):
     return table(spark, folder, "documents").select("doc_id", "lang", "n_chars").orderBy("doc_id").limit(100)
@@ -477,11 +498,20 @@ def annotate_stub(spark, folder):
     return annotate.annotate(docs, chat.filled(SOLVE, problem=F.col("text")), "answer").select("doc_id", "answer")
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query(f"SELECT doc_id, 'reply:' || substr(md5({SOLVE_SQL}), 1, 8) AS answer FROM documents")
+def annotate_resumed(spark, folder):
+    """Replies to every distinct text, of which a first run has asked for those of half of the documents; the second asks for what is left."""
+    docs, replies = table(spark, folder, "documents"), scratch(spark, "replies")
+    prompt = chat.filled(SOLVE, problem=F.col("text"))
+    annotate.annotate_once(docs.where("doc_id % 2 = 0"), prompt, "answer", replies)
+    return annotate.annotate_once(docs, prompt, "answer", replies).select("doc_id", "answer")
+
+
+@query("SELECT doc_id, text, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang, n_chars FROM documents")
 def json_lines(spark, folder):
-    """Rows written as JSON lines and read back."""
-    path = sinks.jsonl(table(spark, folder, "nation"), scratch(spark, "json-lines"))
-    return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
+    """Whole documents, with nulls, written as JSON lines and read back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), "n_chars")
+    return spark.read.schema(docs.schema).json(sinks.jsonl(docs, scratch(spark, "json-lines")))
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text, 'say \"' || lang || '\", ' AS lang FROM documents")
@@ -491,10 +521,36 @@ def csv_round_trip(spark, folder):
     return files.csv(spark, sinks.csv_with_mark(rows, scratch(spark, "csv")), "utf-8-sig")
 
 
-@query("SELECT n_name, n_nationkey::VARCHAR AS n_nationkey FROM nation")
+@query("SELECT source, nullif(text, '') AS text, doc_id::VARCHAR AS doc_id FROM documents")
 def csv_fields(spark, folder):
     """Chosen fields in an order of their own, as CSV, read back as text."""
-    return files.csv(spark, sinks.csv(table(spark, folder, "nation"), scratch(spark, "csv-fields"), ["n_name", "n_nationkey"]))
+    return files.csv(spark, sinks.csv(table(spark, folder, "documents"), scratch(spark, "csv-fields"), ["source", "text", "doc_id"]))
+
+
+@query(f"""SELECT doc_id, role, content, split FROM (SELECT doc_id, 'user' AS role, regexp_replace(text, '\\s+$', '') || E'\\n\\n' || '{INSTRUCTION_SQL}' AS content, {SPLIT} AS split FROM (SELECT *, {RANKED.format('lang', 'doc_id')} FROM documents))""")
+def parquet_records(spark, folder):
+    """Unified records written to Parquet with their nested columns, and read back."""
+    back = spark.read.parquet(sinks.parquet(flagship(spark, folder), scratch(spark, "records")))
+    turn, info = F.get("prompt", F.lit(0)), F.col("extra_info")
+    keys = split.indexed(split.stratified_split(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id", "lang"), "doc_id").select("doc_id", "split", "index")
+    made = back.select(turn["role"].alias("role"), turn["content"].alias("content"), info["split"].alias("split"), info["index"].alias("index"))
+    return made.join(keys, ["split", "index"]).select("doc_id", "role", "content", "split")
+
+
+@query("""SELECT '{' || chr(10) || '  "doc_id" : ' || doc_id || ',' || chr(10) || '  "lang" : ' || coalesce('"' || lang || '"', 'null') || ',' || chr(10) || '  "turn" : {' || chr(10) || '    "role" : "' || source || '"' || chr(10) || '  }' || chr(10) || '}' AS value FROM documents""")
+def pretty_rows(spark, folder):
+    """Each row as indented JSON, nulls and nested fields included."""
+    docs = table(spark, folder, "documents")
+    return sinks.pretty(docs.select("doc_id", "lang", F.struct(F.col("source").alias("role")).alias("turn")))
+
+
+@query("SELECT sum(strlen(lang || ' ' || source) + 1) / 1e6::DOUBLE AS mb FROM documents")
+def report_size(spark, folder):
+    """Megabytes of the files of a report, logged as it is written."""
+    lines = table(spark, folder, "documents").select(F.concat_ws(" ", "lang", "source").alias("value"))
+    size = sinks.size_mb(lines, sinks.report(lines, scratch(spark, "report")))
+    sinks.logger("lodestar").debug("report of %s MB", size)
+    return files.rows(spark, [{"mb": size}], "mb double")
 
 
 ASCII_SQL = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
@@ -607,12 +663,69 @@ def validate_first(spark, folder):
     return validate.violations(records, sample=50)
 
 
+@query("SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN 'prompt has a turn,ground truth is there' WHEN conv_id % 5 = 0 THEN 'turns are whole' || CASE WHEN conv_id % 2 = 0 THEN ',ground truth is there' ELSE '' END WHEN conv_id % 2 = 0 THEN 'ground truth is there' ELSE '' END AS broken, CASE WHEN conv_id % 7 = 0 THEN 0 ELSE n END AS turns FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+def validate_quarantine(spark, folder):
+    """Whole conversations as records, parted into good ones and those kept apart with the rules they break."""
+    whole = conversation_records(spark, folder)
+    truth = F.when((F.col("conv_id") % 7 != 0) & (F.col("conv_id") % 2 != 0), "yes")
+    records_ = whole.withColumn("reward_model", F.struct(truth.alias("ground_truth")))
+    good, bad = validate.quarantined(records_, scratch(spark, "quarantine"), {"ground truth is there": F.col("reward_model.ground_truth").isNotNull()})
+    both = good.withColumn("broken", F.array().cast("array<string>")).unionByName(bad)
+    return both.select("conv_id", F.array_join("broken", ",").alias("broken"), F.size("prompt").cast("bigint").alias("turns"))
+
+
+@query("""SELECT unnest(['no train split', 'a question is missing', 'one split for both', 'a quota too high']) AS "case", unnest(['there is no train split', 'missing columns [''nothing'']', 'the only split, ''test'', can''t be both train and val', 'quotas above the number of rows']) AS message""")
+def refusals(spark, folder):
+    """Tables that are refused when the plan is made, each with what it is told."""
+    docs = marked(spark, folder)
+    config = infer.Config("d", "nothing", "answer")
+    cases = {
+        "no train split": lambda: convert.converted({"val": docs}, CONFIG, "doc_id"),
+        "a question is missing": lambda: convert.converted({"train": docs}, config, "doc_id"),
+        "one split for both": lambda: infer.inferred("d", {"test": docs}),
+        "a quota too high": lambda: sample.quota_sample(docs, sample.quota_table(docs, {"en": 1 << 40}, "lang"), "lang", "doc_id"),
+    }
+    told = []
+    for name, attempt in cases.items():
+        try:
+            attempt()
+            told.append((name, "accepted"))
+        except ValueError as refused:
+            told.append((name, str(refused).split(";")[0].split(":")[0]))
+    return spark.createDataFrame(told, "case string, message string")
+
+
+@query("SELECT event_id AS index, event_type AS content, props AS ground_truth FROM events")
+def events_stream(spark, folder):
+    """Events as records, converted as their files arrive: a stream that has stopped, started again when the second half is there, each event once."""
+    events, arriving = table(spark, folder, "events").select("event_id", "event_type", "props"), scratch(spark, "arriving")
+    config = infer.Config("events", "event_type", "props", template="{question}", instruction="")
+    out, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-checkpoint")
+    made = None
+    for part in (0, 1):
+        sinks.jsonl(events.where(F.col("event_id") % 2 == part), f"{arriving}/part={part}")
+        stream = records.json_stream(spark, f"{arriving}/*/", "event_id long, event_type string, props string")
+        made = records.caught_up(records.unified_stream(stream, config, "event_id"), out, checkpoint)
+    info = F.col("extra_info")
+    return made.select(info["index"].alias("index"), chat.first_content(F.col("prompt")).alias("content"), "reward_model.ground_truth")
+
+
+@query("""WITH first AS (SELECT * FROM documents ORDER BY doc_id LIMIT 3)
+    SELECT unnest(['train: train', 'val: None', 'question: text', 'answer: answer', 'topic: lang', 'difficulty: n_chars', 'extractor: after_hash4', 'passthrough: (''source'',)']) AS line
+    UNION ALL SELECT '  ' || substr(text, 1, 120) || CASE WHEN length(text) > 120 THEN '…' ELSE '' END || ' -> ' || substr(a, 1, 120) || CASE WHEN length(a) > 120 THEN '…' ELSE '' END FROM (SELECT replace(text, chr(10), ' ') AS text, source || ' #### ' || n_chars AS a FROM first)""")
+def config_preview(spark, folder):
+    """What was decided about a data set, with its first rows shortened."""
+    docs = table(spark, folder, "documents").withColumn("answer", F.concat("source", F.lit(" #### "), "n_chars"))
+    flat = docs.withColumn("text", F.translate("text", "\n", " "))
+    shown = infer.preview(CONFIG, flat, order="doc_id").split("\n")
+    return spark.createDataFrame([(line,) for line in shown], "line string")
+
+
 # Inference
 
 
-@query(r"""SELECT doc_id, CASE WHEN contains(a, '####') THEN 'after_hash4' WHEN regexp_matches(a, '\boxed\{[^}]+\}') THEN 'boxed' WHEN len(regexp_extract_all(a, '[-+]?\d*\.?\d+')) >= 5 THEN 'numeric' ELSE 'copy' END AS extractor
-    FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' #### 1' WHEN 1 THEN ' oxed{x' WHEN 2 THEN ' oxed{x}' WHEN 3 THEN ' 1 2 3 4 .5' ELSE '' END || E'
-' || lang AS a FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN contains(a, '####') THEN 'after_hash4' WHEN regexp_matches(a, '\\boxed\{[^}]+\}') THEN 'boxed' WHEN len(regexp_extract_all(a, '[-+]?\d*\.?\d+')) >= 5 THEN 'numeric' ELSE 'copy' END AS extractor
+    FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' #### 1' WHEN 1 THEN ' \boxed{x' WHEN 2 THEN ' \boxed{x}' WHEN 3 THEN ' 1 2 3 4 .5' ELSE '' END || chr(10) || lang AS a FROM documents)""")
 def guess_extractor(spark, folder):
     """What the answers of each document would be taken for: its text with a mark, and its language, as a sample of two."""
     marks = F.from_json(F.lit(json.dumps([" #### 1", " \\boxed{x", " \\boxed{x}", " 1 2 3 4 .5", ""])), "array<string>")
@@ -641,11 +754,11 @@ def infer_config(spark, folder):
     FROM (SELECT *, {RANKED.format('lang', 'doc_id')} FROM documents)"""
 )
 def inferred_records(spark, folder):
-    """Records of a table whose columns are inferred from their names and first rows."""
+    """Records of a data set of a hub, whose columns are inferred from their names and first rows."""
     docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("problem"), F.concat("text", F.lit(" #### "), "n_chars", F.lit(". ")).alias("solution"), F.col("lang").alias("topic"), F.col("doc_id").alias("level"))
-    hub = files.Registry()
-    hub.add("some/maths-set", {"train": docs}, "part")
-    splits = hub.load("some/maths-set", "part")
+    root = scratch(spark, "hub")
+    sinks.parquet(docs, f"{root}/some/maths-set/part/train")
+    splits = hub.splits(spark, root, "some/maths-set", "part")
     made = convert.converted(splits, infer.inferred("some/maths-set", splits, "doc_id"), "doc_id")
     info = F.col("extra_info")
     return made.select(info["difficulty"].cast("bigint").alias("doc_id"), chat.first_content(F.col("prompt")).alias("content"), "reward_model.ground_truth", info["topic"].alias("topic"), info["split"].alias("split"))

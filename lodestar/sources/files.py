@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lodestar.functions.text import base_name, null_if_na
 from lodestar.operators.jsonkeys import keys
 
-from . import charsets
+from . import charsets, hub
 
 def _header(reader, path: str | list[str], name: str) -> list[str]:
     """The decoded column names in the first record; names that are there already, in either case, or empty ones get their place as Spark gives it."""
@@ -56,17 +56,39 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def first_line_keys(spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] = base_name) -> DataFrame:
-    """(filename, keys): the top-level keys of the first line of each JSONL file; none for a file without lines. `name` makes the file's name of its path.
+def paths(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files that a path or its pattern names, on whatever file system; those whose names begin with a dot or an underscore are none."""
+    out = []
+    for p in [path] if isinstance(path, str) else path:
+        target = spark._jvm.org.apache.hadoop.fs.Path(p)
+        found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
+        out += [f.getPath().toString() for f in found if f.isFile() and f.getPath().getName()[0] not in "._"]
+    return sorted(out)
+
+
+#: Stores that the source of first lines opens itself.
+OPENED = ("file", "s3", "s3a", "gs", "abfs", "abfss")
+
 
-    Files are read as lines, in as many splits as Spark makes; only the first line of each file's first split is kept.
+def first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, value): the first line of each file, without its line end; null for a file without lines.
+
+    No more than the beginning of a file is read. Files in a store that only Spark reads are read as lines, in as many splits as Spark makes, and the first line of each
+    file's first split is kept.
     """
-    files = spark.read.format("binaryFile").load(path).select("path")
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
-    first = rows.where("start = 0").groupBy("path").agg(F.min_by("value", "place").alias("line"))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731 (the two sources write local paths differently)
-    joined = files.select(plain(F.col("path")).alias("path")).join(first.select(plain(F.col("path")).alias("path"), "line"), "path", "left")
-    return joined.select(name(F.col("path")).alias("filename"), keys(F.regexp_replace("line", "\r$", "")).alias("keys"))
+    found = paths(spark, path)
+    if all(p.split(":", 1)[0] in OPENED for p in found):
+        lines_ = hub.first_lines(spark, found)
+    else:
+        rows = spark.read.text(found).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+        first = rows.where("start = 0").groupBy("path").agg(F.min_by("value", "place").alias("value"))
+        lines_ = spark.createDataFrame([(p,) for p in found], "path string").join(first, "path", "left")
+    return lines_.select("path", F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def first_line_keys(spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] = base_name) -> DataFrame:
+    """(filename, keys): the top-level keys of the first line of each JSONL file; none for a file without lines. `name` makes the file's name of its path."""
+    return first_lines(spark, path).select(name(F.col("path")).alias("filename"), keys(F.col("value")).alias("keys"))
 
 
 def formats(files) -> str:
@@ -96,21 +118,6 @@ def load(spark: SparkSession, files: Mapping[str, str | list[str] | None]) -> di
     return {name: (read(path) if kind != "parquet" or isinstance(path, str) else read(*path)) for name, path in files.items() if path}
 
 
-class Registry:
-    """Data sets by name and subset: each is a dict of split names to tables. Stands where a hub of data sets would."""
-
-    def __init__(self):
-        self.known: dict[tuple[str, str | None], dict[str, DataFrame]] = {}
-
-    def add(self, name: str, splits: dict[str, DataFrame], subset: str | None = None) -> None:
-        self.known[name, subset] = splits
-
-    def load(self, name: str, subset: str | None = None) -> dict[str, DataFrame]:
-        if (name, subset) not in self.known:
-            raise KeyError(f"no data set {name!r} with subset {subset!r}")
-        return self.known[name, subset]
-
-
 def chosen_splits(splits: dict[str, DataFrame], train: str | None = "train", val: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """The configured splits; None for those that aren't there."""
     return splits.get(train or "train"), splits.get(val) if val else None

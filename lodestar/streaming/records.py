@@ -18,6 +18,12 @@ def unified_stream(rows: DataFrame, config: Config, index: str) -> DataFrame:
     return unified(rows.withColumns({"split": F.lit("train"), "index": F.col(index)}), config)
 
 
+def caught_up(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Writes what has arrived since the last call with the same checkpoint, waits for it, and gives all that was ever written; each record is there once, also after a stop halfway."""
+    written(stream, path, checkpoint).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def written(stream: DataFrame, path: str, checkpoint: str):
     """Starts a query that writes what has arrived to Parquet, once, and ends; run it again for what comes later."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ of A and one of B end cut the tokens into groups; tokens of a group are linked.
 A text is taken apart into chunks, a run of white space and what follows it; neither tokenizer has a token across the end of a chunk, which the vocabularies are
 checked for, so chunks are encoded and aligned alone, each distinct one once. In each block of texts, DuckDB holds the new chunks' tokens as tables of byte
 intervals: an as-of join finds for each token of A the last end of B at or before its own, a window sum over the ends that fall together numbers the groups, and
-a range join lays the tokens of B into the groups' intervals. A block gives how many of its documents hold each pair of ids; Spark adds these counts up and
+an as-of join with a range condition lays the tokens of B into the groups' intervals. A block gives how many of its documents hold each pair of ids; Spark adds these counts up and
 finds each id's most frequent partner, and hands every block the totals of its own pairs, from which the block sums those of its documents.
 
 Only the pairs' ids and counts of blocks are shuffled, neither texts nor tokens. A pair of nearly all blocks is one of at most 1,000, which are broadcast; the
@@ -27,7 +27,9 @@ from .shared import columns, sliced, stored
 #: A pair is id of A times PAIR plus id of B.
 PAIR = 1 << 16
 #: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Bytes of text of a block.
+BLOCK_BYTES = 2 << 20
 #: Below this character, Unicode's letters and digits have been settled for long, so that the two libraries for A agree on them.
 SETTLED = "\u0530"
 
@@ -37,12 +39,16 @@ CHUNK = r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+\Z"
 GROUPS = """
 CREATE OR REPLACE TEMP TABLE in_a AS
 WITH met AS (SELECT a.*, coalesce(b.stop = a.stop, false) AS closes FROM a ASOF LEFT JOIN b ON a.stop >= b.stop)
-SELECT pos, chunk, id, start, stop, coalesce(sum(closes::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grp FROM met;
-CREATE OR REPLACE TEMP TABLE spans AS SELECT grp, any_value(chunk) AS chunk, min(start) AS start, max(stop) AS stop FROM in_a GROUP BY grp;
-CREATE OR REPLACE TEMP TABLE in_b AS SELECT b.pos, b.id, spans.grp, spans.chunk FROM b JOIN spans ON b.start >= spans.start AND b.start < spans.stop;
-CREATE OR REPLACE TEMP TABLE links AS
+SELECT pos, chunk, id, start, stop, coalesce(sum(closes::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS grp FROM met;
+CREATE OR REPLACE TEMP TABLE spans AS SELECT grp, min(start) AS start, max(stop) AS stop FROM in_a GROUP BY grp;
+CREATE OR REPLACE TEMP TABLE in_b AS SELECT b.pos, b.id, spans.grp FROM b ASOF JOIN spans ON b.start >= spans.start WHERE b.start < spans.stop;
+"""
+#: Groups whose tokens of both sides make more links than so many are counted by their distinct ids.
+LARGE_GROUP = 10_000
+LINKS = "SELECT x.chunk, x.id * 65536 + y.id AS pair, count(*) AS times FROM in_a x JOIN in_b y USING (grp) WHERE grp NOT IN (SELECT grp FROM large) GROUP BY ALL"
+LARGE = """
 SELECT x.chunk, x.id * 65536 + y.id AS pair, sum(x.n * y.n)::BIGINT AS times
-FROM (SELECT chunk, grp, id, count(*) AS n FROM in_a GROUP BY ALL) x JOIN (SELECT grp, id, count(*) AS n FROM in_b GROUP BY ALL) y USING (grp) GROUP BY ALL;
+FROM (SELECT chunk, grp, id, count(*) AS n FROM in_a SEMI JOIN large USING (grp) GROUP BY ALL) x JOIN (SELECT grp, id, count(*) AS n FROM in_b SEMI JOIN large USING (grp) GROUP BY ALL) y USING (grp) GROUP BY ALL
 """
 HELD = "SELECT pair, count(*) AS n FROM (SELECT DISTINCT held.doc, links.pair FROM held JOIN links ON held.chunk = links.chunk) GROUP BY pair ORDER BY pair"
 
@@ -86,6 +92,8 @@ class Vocabularies:
         model.normalizer_spec.add_dummy_prefix = False  # a chunk brings its own space
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.bytes_b = piece_bytes(self.processor)
+        most = range(max(len(self.bytes_a), len(self.bytes_b)))
+        self.names = [f"{i}{mark}" for mark in ",|;" for i in most]  # ids with what follows them
         self.sizes = [np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b)]
 
     def encoded(self, chunks: list[str], at_once: int = 2000):
@@ -138,40 +146,52 @@ class Aligner:
         import pyarrow as pa
 
         voc = self.vocabularies
-        both, whole = [[], []], []
-        for chunk, ids in zip(chunks, voc.encoded(chunks), strict=True):
-            data = chunk.encode()
-            ok = all(b"".join([table[i] for i in x]) == data for table, x in zip((voc.bytes_a, voc.bytes_b), ids, strict=True))
-            whole.append(ok)
+        both = [[], []]
+        for ids in voc.encoded(chunks):
             for side, x in zip(both, ids, strict=True):
-                side.append(x if ok else [])
+                side.append(x)
+        whole = self._whole(chunks, both)
+        if not whole.all():
+            both = [[x if ok else [] for x, ok in zip(side, whole.tolist(), strict=True)] for side in both]
         tables, numbers = {}, []
         for name, side, size in zip("ab", both, voc.sizes, strict=True):
             n = np.fromiter(map(len, side), np.int64, len(side))
             ids = np.fromiter(chain.from_iterable(side), np.int64, int(n.sum()))
             stop = np.cumsum(size[ids])
-            tables[name] = pa.table({"pos": np.arange(len(ids)), "chunk": np.repeat(np.arange(len(side)), n), "id": ids, "start": stop - size[ids], "stop": stop})
+            tables[name] = pa.table({"pos": np.arange(len(ids), dtype=np.int32), "chunk": np.repeat(np.arange(len(side), dtype=np.int32), n), "id": ids, "start": stop - size[ids], "stop": stop})
             numbers.append(n)
             self.database.register(name, tables[name])
+        del both
         self.database.execute(GROUPS)
         groups = [self.database.sql(f"SELECT grp FROM in_{x} ORDER BY pos").fetchnumpy()["grp"] for x in "ab"]
-        links = self.database.sql("SELECT chunk, pair, times FROM links ORDER BY chunk, pair").fetchnumpy()
-        for name in "ab":
+        sizes = [np.bincount(g, minlength=1) for g in groups]
+        large = np.flatnonzero(sizes[0] * sizes[1] > LARGE_GROUP)
+        self.database.register("large", pa.table({"grp": large.astype(np.int32)}))
+        links = self.database.sql(f"SELECT * FROM ({LINKS}{' UNION ALL ' + LARGE if len(large) else ''}) ORDER BY chunk, pair").fetchnumpy()
+        for name in ("a", "b", "large"):
             self.database.unregister(name)
         self.shown += self._shown(tables, groups, len(chunks))
         # groups rise with the tokens, so a chunk has as many as its tokens of A begin
         begins = np.diff(groups[0], prepend=-1) > 0
         n_groups = np.bincount(tables["a"]["chunk"].to_numpy()[begins], minlength=len(chunks))
         n_links = np.bincount(links["chunk"], links["times"], len(chunks)).astype(np.int64)
-        self.whole = np.concatenate([self.whole, np.array(whole, bool)])
+        self.whole = np.concatenate([self.whole, whole])
         self.counts = np.concatenate([self.counts, np.stack([*numbers, n_groups, n_links], axis=1)])
         ends = np.cumsum(np.bincount(links["chunk"], minlength=len(chunks))) + len(self.pairs)
         self.first = np.concatenate([self.first, ends])
         self.pairs = np.concatenate([self.pairs, links["pair"]])
         self.times = np.concatenate([self.times, links["times"]])
 
-    @staticmethod
-    def _shown(tables, groups, n: int) -> list[str]:
+    def _whole(self, chunks: list[str], both):
+        """Whether both token sequences of a chunk give its bytes; chunk by chunk only if they don't give those of all."""
+        import numpy as np
+
+        tables = (self.vocabularies.bytes_a, self.vocabularies.bytes_b)
+        joined = [[b"".join([table[i] for i in x]) for x in side] for table, side in zip(tables, both, strict=True)]
+        data = [c.encode() for c in chunks]
+        return np.array([a == b == d for a, b, d in zip(*joined, data, strict=True)], bool)
+
+    def _shown(self, tables, groups, n: int) -> list[str]:
         """`a1,a2|b1;a3|b2` of each chunk."""
         import numpy as np
 
@@ -179,12 +199,12 @@ class Aligner:
         total = int(a[-1]) + 1 if len(a) else 0
         upto_a, upto_b = (np.cumsum(np.bincount(g, minlength=total)) for g in groups)
         places = np.arange(len(a)) + np.concatenate([[0], upto_b])[a], np.arange(len(b)) + upto_a[b]
-        tokens, kind = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        names = self.vocabularies.names
+        tokens = np.empty(len(a) + len(b), np.int64)
         for side, (name, place, g) in enumerate(zip("ab", places, groups, strict=True)):
-            tokens[place] = tables[name]["id"].to_numpy()
-            kind[place[np.diff(g, append=total) > 0]] = side + 1  # the group's last on this side
-        marks = np.array([",", "|", ";"])[kind].tolist()
-        texts = [str(i) + m for i, m in zip(tokens.tolist(), marks, strict=True)]
+            last = np.diff(g, append=total) > 0  # the group's last on this side
+            tokens[place] = tables[name]["id"].to_numpy() + last * (side + 1) * (len(names) // 3)
+        texts = [names[i] for i in tokens.tolist()]
         sizes = sum(np.bincount(tables[name]["chunk"].to_numpy(), minlength=n) for name in "ab")
         stops = np.cumsum(sizes).tolist()
         return ["".join(texts[p:q])[:-1] for p, q in zip([0, *stops], stops, strict=False)]
@@ -251,7 +271,7 @@ def blocks(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: s
         aligner, number = Aligner(Vocabularies(*sent.value)), TaskContext.get().partitionId() << 32
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for start, stop in sliced(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), rows=10_000):
+            for start, stop in sliced(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), BLOCK_BYTES, 10_000):
                 some = batch.slice(start, stop - start)
                 counts, digests, pairs, documents, packed = aligner.block(columns(some, "text")[0])
                 row = {"block": pa.array([number], pa.int64()), "key": _lists(some.column(some.schema.get_field_index("key")), some.num_rows)}

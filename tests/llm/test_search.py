@@ -173,3 +173,28 @@ def test_pairs_grow_with_the_copies(spark, monkeypatch):
     many, again = compared_pairs(spark, monkeypatch, half_overlapping(300))
     assert parts == again == 2
     assert few <= 6 * 300 and many <= 6 * 600
+
+
+def templated(n: int) -> list:
+    """Documents of one template: 84.5 % of their words are common, which is a little too few for a link."""
+    common = prose(1, 845)
+    return [(k, common + "\n" + prose(1000 + k, 155)) for k in range(n)]
+
+
+def joined_rows(spark, monkeypatch, rows) -> int:
+    counted = []
+
+    def counting(asking, heads, place, plain=ngram.fitting):
+        counted.append(asking.join(heads, [*place, "order", "part"]).count())
+        return plain(asking, heads, place)
+
+    monkeypatch.setattr(ngram, "fitting", counting)
+    found = ngram.near_duplicates(table(spark, rows)).groupBy("component_id").count()
+    assert found.count() == len(rows)  # none is linked
+    monkeypatch.undo()
+    return sum(counted)
+
+
+def test_templated_documents_make_no_pairs(spark, monkeypatch):
+    few, more, many = (joined_rows(spark, monkeypatch, templated(n)) for n in (150, 300, 600))
+    assert few <= 50 * 150 and more <= 50 * 300 and many <= 50 * 600

@@ -6,7 +6,7 @@ the word computes; a text's is the product over its words. The piece probabiliti
 expectation maximisation, whose expected counts come from a forward and a backward pass. Nothing is ever
 segmented by the tokenizer itself: only its list of pieces is used.
 
-A word is a maximal run of letters, lower-cased, with the vocabulary's word-start mark in front; longer
+A word is a maximal run of letters and their marks that begins with a letter, lower-cased, with the vocabulary's word-start mark in front; longer
 ones than CHUNK characters are learned and scored in stretches of that length. Pieces are lower-cased, too, and counted once. Workers score each distinct word once
 while they remember it. The model is pieces times languages, whatever the corpus.
 """
@@ -17,12 +17,16 @@ import math
 import re
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import batch_slices, columns, iterator_udf, release, series_slices, stored, unused
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters of any script, with the marks that follow them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LATIN = re.compile("[a-z]+")
+#: Stretches have so many characters, or as many as the longest piece.
 CHUNK = 24
 #: Probability of a character that stands for itself, outside the vocabulary.
 UNKNOWN = 1e-7
@@ -41,6 +45,12 @@ def read_pieces(model_path: str) -> list[str]:
     return [processor.id_to_piece(i) for i in range(processor.get_piece_size()) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i))]
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower-cased; none if it has no letter: digits, fractions and other numbers are none."""
+    lower = text.lower()
+    return LATIN.findall(lower) if lower.isascii() else LETTERS.findall(lower)
+
+
 class Lattice:
     """All pieces that match inside many words at once."""
 
@@ -49,8 +59,9 @@ class Lattice:
     COMMON = 8
 
     def __init__(self, pieces: list[str]):
-        self.pieces = [p for p in dict.fromkeys(p.lower() for p in pieces) if 0 < len(p) <= CHUNK]
+        self.pieces = [p for p in dict.fromkeys(p.lower() for p in pieces) if p]
         self.longest = max(map(len, self.pieces), default=1)
+        self.chunk = max(CHUNK, self.longest)
         self.hashes = np.zeros(len(self.pieces) + 1, np.uint64)  # row 0: no piece
         self.begun = np.zeros(1 << 20, bool)
         for k, piece in enumerate(self.pieces, 1):
@@ -61,18 +72,25 @@ class Lattice:
                 h = ((h ^ ord(c)) * int(self.MULTIPLIER)) & (2**64 - 1)
                 h ^= h >> 29
             self.hashes[k] = h
-        self.slots = [np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int32)]
+        self.bits = max(20, 3 + len(self.hashes).bit_length())
+        while not self._placed():
+            self.bits += 1
+
+    def _placed(self) -> bool:
+        """Fills two tables of 2 ** bits slots; false if a piece finds both of its slots taken."""
+        self.slots = [np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)]
+        places = [p.tolist() for p in self._slots(self.hashes)]
         for k in range(1, len(self.hashes)):
-            for table, slot in zip(self.slots, self._slots(self.hashes[k : k + 1]), strict=True):
-                if not table[slot[0]]:
-                    table[slot[0]] = k
+            for table, own in zip(self.slots, places, strict=True):
+                if not table[own[k]]:
+                    table[own[k]] = k
                     break
             else:
-                raise ValueError("two pieces too many share their slots")
+                return False
+        return True
 
-    @staticmethod
-    def _slots(h):
-        return (h >> np.uint64(44)).astype(np.int64), (h & np.uint64((1 << 20) - 1)).astype(np.int64)
+    def _slots(self, h):
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64), (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def find(self, h):
         """The piece numbers of hashes; 0 where there is none."""
@@ -125,13 +143,13 @@ def forward(lattice: Lattice, table, words: list[str]):
     return alpha, found
 
 
-def stretches(words):
+def stretches(words, chunk: int = CHUNK):
     """(number of the word, stretch) of words with their mark in blocks of one length."""
     by_length: dict[int, list[tuple[int, str]]] = {}
     for k, word in enumerate(words):
         marked = "▁" + word
-        for at in range(0, len(marked), CHUNK):
-            part = marked[at : at + CHUNK]
+        for at in range(0, len(marked), chunk):
+            part = marked[at : at + chunk]
             by_length.setdefault(len(part), []).append((k, part))
     for parts in by_length.values():
         for at in range(0, len(parts), BLOCK):
@@ -142,7 +160,7 @@ def stretches(words):
 def log_probabilities(lattice: Lattice, table, words: list[str]):
     """Rows of log-probabilities of any words; long ones are scored in stretches of CHUNK characters."""
     out = np.zeros((len(words), table.shape[1]))
-    for numbers, parts in stretches(words):
+    for numbers, parts in stretches(words, lattice.chunk):
         alpha, _ = forward(lattice, table, parts)
         np.add.at(out, numbers, np.log(alpha[-1]))
     return out
@@ -152,7 +170,7 @@ def expected_counts(lattice: Lattice, probability, words: list[str], counts):
     """Expected numbers of each piece in the words of one language, by a forward and a backward pass."""
     total, counts = np.zeros(len(lattice.hashes)), np.asarray(counts, float)
     table = probability[:, None]
-    for own, parts in stretches(words):
+    for own, parts in stretches(words, lattice.chunk):
         n = len(parts[0])
         alpha, found = forward(lattice, table, parts)
         share = counts[own][:, None] / alpha[n]
@@ -190,7 +208,7 @@ def fit(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str =
         for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             seen: Counter = Counter()
             for t, name in zip(*columns(batch, "text", "lang"), strict=True):
-                seen.update((name, w) for w in LETTERS.findall(t.lower()))
+                seen.update((name, w) for w in words_of(t))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
     words = stored(sample.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
@@ -241,7 +259,7 @@ def predict(df: DataFrame, model: dict, text: str = "text", lang: str = "lang_pr
         for texts in series_slices(batches):
             if len(known) > REMEMBERED:
                 known, rows = {}, rows[:0]
-            cut = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+            cut = [words_of(t) if t else [] for t in texts]
             new = list({w for words in cut for w in words} - known.keys())
             if new:
                 known.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import re
 import zlib
 from html.parser import HTMLParser
 
@@ -28,7 +29,9 @@ WIDTH = 192
 SECTION = 8
 
 BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul br body html".split())
-SILENT = frozenset("script style template noscript title".split())
+#: Elements whose content is no text of the page.
+RAW = ("title", "script", "style")
+RAW_START = re.compile(r"<(title|script|style)\b[^>]*>", re.IGNORECASE)
 MEDIA = frozenset("img video audio source embed".split())
 
 #: Fields of an item besides its position: text of a block; of a reference its caption, address and digest.
@@ -37,9 +40,30 @@ MEDIA_SCHEMA = "n_bytes long, html string, digest string, media binary"
 PROPERTIES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+BLOCK_START = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})\b", re.IGNORECASE)
+
+
+def closed(page: str) -> str:
+    """The page with an end tag for every title, script and style that lacks one: before the next block, or at the end."""
+    lower, parts, at, place = page.lower(), [], 0, 0
+    last = {tag: lower.rfind("</" + tag) for tag in RAW}
+    while start := RAW_START.search(page, place):
+        tag = start[1].lower()
+        if last[tag] >= start.end():
+            place = lower.index("</" + tag, start.end())
+            continue
+        block = BLOCK_START.search(page, start.end())
+        place = block.start() if block else len(page)
+        parts += [page[at:place], f"</{tag}>"]
+        at = place
+    return "".join([*parts, page[at:]])
+
+
 class Sequence(HTMLParser):
     """Collects items in reading order.
 
+    The content of title, script and style is no text; one without an end tag ends at the next block. That of noscript and template is text of the page.
+
     A figcaption captions all media of its figure, wherever it stands there. It ends with its own end tag, with the figure, with the page, or with the
     next block once it has text. Outside a figure it is a text block. Of several captions in a figure, the first counts and the others are text.
     """
@@ -82,7 +106,7 @@ class Sequence(HTMLParser):
             self.end_caption()
 
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
+        if tag in RAW:
             self.silent += 1
         if tag in BLOCKS:
             self.block()
@@ -102,7 +126,7 @@ class Sequence(HTMLParser):
                     self.figures[-1]["media"].append(item)
 
     def handle_endtag(self, tag):
-        if tag in SILENT and self.silent:
+        if tag in RAW and self.silent:
             self.silent -= 1
         if tag in ("figcaption", "figure"):
             self.end_caption()
@@ -126,7 +150,7 @@ class Sequence(HTMLParser):
 def items_of(page: str | None) -> list[dict]:
     """The items of a page, with positions from 0; none if it is null or empty."""
     parser = Sequence()
-    parser.feed(page or "")
+    parser.feed(closed(page or ""))
     parser.close()
     return parser.items
 
@@ -168,9 +192,11 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (-len(data) % WIDTH if data else WIDTH), len(data)
 
 
-def page_of(text: str, digest: str) -> str:
-    """A page of all lines of a text, in sections that each end with a figure of the text's image."""
+def page_of(text: str, digest: str, shared: str | None = None) -> str:
+    """A page of all lines of a text, in sections that each end with a figure of the text's image; with a shared text, its image stands at the top."""
     lines, parts = text.split("\n"), []
+    if shared is not None:
+        parts.append(f'<figure><img src="sha256:{digest_of(shared)}"><figcaption>{entities.escape(shared, quote=False)}</figcaption></figure>')
     for at in range(0, len(lines), SECTION):
         own = lines[at : at + SECTION]
         parts += [f"<p>{entities.escape(line, quote=False)}</p>" for line in own]
@@ -178,8 +204,15 @@ def page_of(text: str, digest: str) -> str:
     return "<body>" + "".join(parts) + "</body>"
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, html, digest, media) of each row: its payload as a stored image, its digest, and the page of the text, in which the image is shown."""
+def digest_of(text: str | None) -> str:
+    return hashlib.sha256(padded(text)[0]).hexdigest()
+
+
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", shared: str | None = None) -> DataFrame:
+    """(key, n_bytes, html, digest, media) of each row: its payload as a stored image, its digest, and the page of the text, in which the image is shown.
+
+    `shared` is a column of texts whose images many pages may show besides.
+    """
 
     def encoded(batches):
         import pyarrow as pa
@@ -187,14 +220,14 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
         for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             rows = []
-            for t in columns(batch, "text")[0]:
+            for t, top in zip(*columns(batch, "text", "shared"), strict=True):
                 payload, plain = padded(t)
                 digest = hashlib.sha256(payload).hexdigest()
-                rows.append((plain, page_of(t or "", digest), digest, to_pgm(payload)))
+                rows.append((plain, page_of(t or "", digest, top), digest, to_pgm(payload)))
             made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["key", *[x.split()[0] for x in MEDIA_SCHEMA.split(", ")]])
 
-    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(shared) if shared else F.lit(None)).cast("string").alias("shared"))
     return source.mapInArrow(encoded, f"key {source.schema[0].dataType.simpleString()}, {MEDIA_SCHEMA}")
 
 
@@ -250,18 +283,25 @@ def resolve(df: DataFrame, payloads: DataFrame, row: str, items: str = "items")
     return df.join(known, F.col(row) == F.col(of_row), "left").withColumn(items, aligned).drop(of_row, found)
 
 
-def columns_of_texts(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+def columns_of_texts(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True, shared: str | None = None) -> DataFrame:
     """Stores every text as media and parses its page, and returns (key, n_bytes, items): the resolved interleaved sequence of each row.
 
+    The values of the column `shared` are stored, too, each once; the page of a row that has one begins with a reference to it, so that many rows refer to
+    one digest.
+
     Null counts as empty; an empty payload is padded to WIDTH spaces. Equal texts share one digest and so all properties. Rows
     with equal or null keys stay apart. Only the two columns named are read. An empty table gives no rows. Pages are parsed as they are made and not
     stored; without keep_text, items have the number of characters of a block, `n_chars`, in the place of its text, which then isn't stored or shuffled.
     """
-    made = sequences(encode(df, key, text)).drop("html")
+    made = sequences(encode(df, key, text, shared)).drop("html")
     if not keep_text:
         fields = ("position", "kind", "caption", "digest")
         made = made.withColumn("items", F.transform("items", lambda i: F.struct(*[i[f].alias(f) for f in fields], F.length(i["text"]).alias("n_chars"))))
     table = stored(made.withColumn("row", F.monotonically_increasing_id()), "media-table")
-    payloads = stored(properties(table), "media-properties")  # stored, so that the join on digests stands alone in its stage, where Spark can split a frequent digest
+    media = table.select("digest", "media")
+    if shared:
+        own = df.where(F.col(shared).isNotNull()).select(F.col(shared).cast("string").alias("value")).distinct()
+        media = media.unionByName(encode(own, "value", "value").select("digest", "media"))
+    payloads = stored(properties(media), "media-properties")  # stored, so that the join on digests stands alone in its stage, where Spark can split a frequent digest
     resolved = resolve(table.select("row", "key", "n_bytes", "items"), payloads, "row")
     return resolved.select(F.col("key").alias(key), "n_bytes", "items")

@@ -68,12 +68,14 @@ def _counted(items) -> list:
 
 
 def op8_media(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text as an image in the page of its lines: properties of the stored image, and the page's items in order."""
-    found = media.columns_of_texts(documents(spark, folder), keep_text=False)
+    """Every text as an image in the page of its lines, under the image of its source: properties of both stored images, and the page's items in order."""
+    found = media.columns_of_texts(documents(spark, folder), keep_text=False, shared="source")
     references = F.filter("items", lambda i: i["kind"] == "media")
     fields = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    payload = [F.get(references, F.lit(0))["payload"][f].alias(f) for f in fields]
-    return found.select("doc_id", "n_bytes", *payload, F.element_at(references, -1)["caption"].alias("last_caption"), *_counted(F.col("items")))
+    last = F.element_at(references, -1)
+    payload = [last["payload"][f].alias(f) for f in fields]
+    of_source = F.when(F.size(references) > 1, F.get(references, F.lit(0))["payload"]["payload_sha256"]).alias("first_sha256")
+    return found.select("doc_id", "n_bytes", *payload, last["caption"].alias("last_caption"), of_source, *_counted(F.col("items")))
 
 
 def media_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,6 +18,7 @@ matrix. As every kernel value is a sum over subsequences, that decision is a sum
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -179,7 +180,7 @@ class Scorer:
         return self.known
 
 
-def _strongest(sample: DataFrame, weights, bias: float, most: int = 3) -> DataFrame:
+def _strongest(sample: DataFrame, weights, bias: float, most: int) -> DataFrame:
     """Of each document, the `most` sentences with the highest decisions: (label, rank, string, decision)."""
     sent = sample.sparkSession.sparkContext.broadcast((weights, bias))
 
@@ -238,7 +239,7 @@ def _gram_frequencies(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(counted, "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _telling(toxic: DataFrame, odds: dict[str, float], most: int = 2) -> DataFrame:
+def _telling(toxic: DataFrame, odds: dict[str, float], most: int) -> DataFrame:
     """(string, n): the `most` strings of each toxic document whose pieces tell most, and in how many documents they do."""
     sent = toxic.sparkSession.sparkContext.broadcast(odds)
 
@@ -279,12 +280,27 @@ def _sampled(labelled: DataFrame, sizes: dict[int, int], documents: int) -> tupl
     return sample, taken
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents: int = 15_000, landmarks: int = 256, rounds: int = 3) -> dict:
+@dataclass(frozen=True)
+class Bounds:
+    """How many strings of its sample training keeps at most. They are chosen from all of the sample's; whole texts are scored by all of theirs."""
+
+    pieces: int = 4000  # pieces that are peculiar to toxic documents
+    seeds: int = 2000  # first positive strings
+    telling: int = 2  # of them, strings of one document
+    common: int = 1500  # negative strings that many documents hold
+    others: int = 2000  # further negative strings of clean documents
+    strongest: int = 3000  # positive strings that a round adds
+    hard: int = 3000  # negative strings that a round adds
+    negatives: int = 6000  # negative strings in all, the latest
+    sentences: int = 3  # strongest sentences of one document
+
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents: int = 15_000, landmarks: int = 256, rounds: int = 3, bounds: Bounds = Bounds()) -> dict:
     """The machine and its calibration from labelled rows (label 1: toxic).
 
     Rows with a null text or label teach nothing. About `documents` rows are used, chosen by a hash of the text: the same share of
-    both labels, but of a rare label a tenth of `documents` where it has so many, and the text of the least hash at least; with the
-    at most 9,000 strings and 4,000 pieces of strings that each round keeps, that is the documented bound of the training sample. Without
+    both labels, but of a rare label a tenth of `documents` where it has so many, and the text of the least hash at least; with
+    `bounds`, the strings and pieces of strings that each round keeps of them, that is the documented bound of the training sample. Without
     rows of both labels, or where no string tells them apart, the model gives every text the share of toxic rows (0.0 without any rows).
 
     The first positive strings are those of each toxic document whose four-letter pieces are most peculiar to toxic documents: pieces
@@ -306,14 +322,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents
     leaning = F.desc(F.col("odds") * F.log1p("toxic"))
     rarely_clean = f"coalesce(clean, 0) * {stands_for[0] / stands_for[1]!r}D <= 0.05 * n"
     pieces, least = stored(_gram_frequencies(sample), "toxicity-pieces").withColumn("odds", odds).where("odds > 1.8"), max(5.0, 0.01 * taken[1])
-    while (peculiar := pieces.where(F.col("toxic") >= least).orderBy(leaning, "gram").limit(4000).toPandas()).empty and least > 1:
+    while (peculiar := pieces.where(F.col("toxic") >= least).orderBy(leaning, "gram").limit(bounds.pieces).toPandas()).empty and least > 1:
         least /= 2
-    telling = _telling(sample.where("label = 1"), dict(zip(peculiar["gram"], peculiar["odds"] * np.sqrt(peculiar["toxic"].astype(float)), strict=True))).join(frequencies.select("word", "clean"), "word").where(rarely_clean)
-    seeds = telling.orderBy(F.desc("n"), "word").limit(2000).toPandas()
+    telling = _telling(sample.where("label = 1"), dict(zip(peculiar["gram"], peculiar["odds"] * np.sqrt(peculiar["toxic"].astype(float)), strict=True)), bounds.telling).join(frequencies.select("word", "clean"), "word").where(rarely_clean)
+    seeds = telling.orderBy(F.desc("n"), "word").limit(bounds.seeds).toPandas()
     if seeds.empty:
-        seeds = frequencies.withColumn("odds", odds).where("toxic > 0 and odds > 0").orderBy(leaning, "word").limit(min(2000, 2 * taken[1])).withColumn("n", F.col("toxic")).toPandas()
-    common = frequencies.where("clean > 0").orderBy(F.desc(F.col("clean") - 10 * F.col("toxic")), "word").limit(1500).toPandas()
-    others = frequencies.where("clean > 0 and toxic = 0").orderBy(F.xxhash64("word"), "word").limit(2000).toPandas()
+        seeds = frequencies.withColumn("odds", odds).where("toxic > 0 and odds > 0").orderBy(leaning, "word").limit(min(bounds.seeds, 2 * taken[1])).withColumn("n", F.col("toxic")).toPandas()
+    common = frequencies.where("clean > 0").orderBy(F.desc(F.col("clean") - 10 * F.col("toxic")), "word").limit(bounds.common).toPandas()
+    others = frequencies.where("clean > 0 and toxic = 0").orderBy(F.xxhash64("word"), "word").limit(bounds.others).toPandas()
     first = dict(zip(seeds["word"], seeds["n"].astype(float), strict=True))
     positive = dict(first)
     negative = {w: 1.0 for w in [*common["word"], *others["word"]] if w not in positive}
@@ -326,15 +342,15 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", documents
         labels = np.array([True] * len(positive) + [False] * len(negative))
         importance = np.array([min(v, 5.0) for v in positive.values()] + [2.0] * len(negative))
         weights, bias = Landmarks(marks).machine(words, labels, importance)
-        best = stored(_strongest(sample, weights, bias), "toxicity-best")
+        best = stored(_strongest(sample, weights, bias, bounds.sentences), "toxicity-best")
         clean = frequencies.select("word", "clean")
-        tops = best.where("label = 1 and rank = 0 and value > 0").groupBy("word").agg(F.count("*").alias("n"), F.max("value").alias("value")).join(clean, "word", "left").where(rarely_clean).orderBy(F.desc("n"), F.desc("value"), "word").limit(3000).toPandas()
-        hard = best.where("label = 0").groupBy("word").agg(F.max("value").alias("value")).orderBy(F.desc("value"), "word").limit(3000).toPandas()
+        tops = best.where("label = 1 and rank = 0 and value > 0").groupBy("word").agg(F.count("*").alias("n"), F.max("value").alias("value")).join(clean, "word", "left").where(rarely_clean).orderBy(F.desc("n"), F.desc("value"), "word").limit(bounds.strongest).toPandas()
+        hard = best.where("label = 0").groupBy("word").agg(F.max("value").alias("value")).orderBy(F.desc("value"), "word").limit(bounds.hard).toPandas()
         positive = first | dict(zip(tops["word"], tops["n"].astype(float), strict=True))
         for w in hard["word"]:
             negative.pop(w, None)
         negative |= {w: 1.0 for w in reversed(list(hard["word"])) if w and w not in positive}
-        negative = dict(list(negative.items())[-6000:])
+        negative = dict(list(negative.items())[-bounds.negatives :])
     # Strings that decide a document: no more than the sample has different texts, copies being counted.
     top = best.where("rank = 0").groupBy("label", "value").agg(F.count("*").alias("n")).orderBy("label", "value").toPandas()
     slope, offset = calibrate(top["value"].to_numpy(), top["label"].to_numpy(), top["n"].to_numpy(float), stands_for)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import itertools
 import re
 import zlib
 
@@ -11,10 +12,11 @@ import pytest
 import zstandard
 from cases import rows
 from oracle import differences
+from pyspark.sql import functions as F
 from test_rows import brute_counts, brute_shard
 from test_search import brute_components
 
-from lodestar.llm import bpe, media, quality, queries, sharding
+from lodestar.llm import bpe, langid, media, quality, queries, sharding, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -70,11 +72,41 @@ def test_languages(spark, found, texts):
     assert sorted(x["doc_id"] for x in out) == sorted(texts)
     for x in out:
         assert x["held_out"] == (fold(x["doc_id"], 3) == 1) and 0 <= x["score"] <= 1
-        letters = re.search(r"[^\W\d_]", texts[x["doc_id"]] or "")
+        letters = any(c.isalpha() for c in texts[x["doc_id"]] or "")
         assert x["lang_pred"] in learned if letters else x["lang_pred"] == "und"
     assert np.mean([x["lang_pred"] == langs[x["doc_id"]] for x in out if x["held_out"]]) > 0.95
 
 
+def test_languages_by_all_segmentations(spark, found, texts):
+    """Scores of the query, recomputed word by word from the piece probabilities."""
+    import public_tokenizers
+
+    docs = queries.documents(spark, FOLDER).select("doc_id", "text", "lang")
+    pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1), pieces)
+    probability = [dict(zip(model["pieces"], model["table"][1:, k].astype(float).tolist(), strict=True)) for k in range(len(model["names"]))]
+
+    def of_word(word, own):
+        marked, total = "▁" + word, 0.0
+        for at in range(0, len(marked), langid.CHUNK):
+            part = marked[at : at + langid.CHUNK]
+            ways = [1.0] + [0.0] * len(part)  # ways[n]: all segmentations of the first n characters
+            for end in range(1, len(part) + 1):
+                for start in range(end):
+                    ways[end] += ways[start] * own.get(part[start:end], langid.UNKNOWN if end - start == 1 else 0.0)
+            total += np.log(ways[-1])
+        return total
+
+    some = [x for x in found("op1_langid") if texts[x["doc_id"]] and len(texts[x["doc_id"]]) < 400][:50]
+    assert len(some) >= 10
+    for x in some:
+        words = re.findall(r"[^\W\d_]+", texts[x["doc_id"]].lower())
+        total = [sum(of_word(w, own) for w in words) for own in probability]
+        k = int(np.argmax(total))
+        assert x["lang_pred"] == model["names"][k]
+        assert x["score"] == pytest.approx(1 / sum(np.exp(t - total[k]) for t in total), abs=1e-3)
+
+
 def test_archives(spark, found):
     pages = [(x["page_id"], (x["html"] or "").encode()) for x in rows(spark.read.parquet(f"{FOLDER}/pages.parquet"))]
     first = {}
@@ -142,8 +174,9 @@ def test_verdicts(spark, found, texts):
         assert (x["base_failed"], x["n_chunks"], x["n_bad_chunks"], x["kept"]) == (failed, chunks, bad, good and not failed)
 
 
-def test_media(found, texts):
+def test_media(spark, found, texts):
     out = found("op8_media")
+    sources = {x["doc_id"]: x["source"] for x in rows(queries.documents(spark, FOLDER))}
     assert sorted(x["doc_id"] for x in out) == sorted(texts)
     for x in out:
         text = texts[x["doc_id"]] or ""
@@ -155,8 +188,9 @@ def test_media(found, texts):
         lines = text.split("\n")
         sections = [lines[k : k + media.SECTION] for k in range(0, len(lines), media.SECTION)]
         blocks = [[y for y in (" ".join(z.split()) for z in s) if y] for s in sections]
-        assert x["sequence"] == "".join("t" * len(b) + "m" for b in blocks) and x["block_chars"] == sum(len(y) for b in blocks for y in b)
-        assert (x["n_references"], x["n_blocks"]) == (len(sections), sum(map(len, blocks)))
+        assert x["first_sha256"] == hashlib.sha256(media.padded(sources[x["doc_id"]])[0]).hexdigest()
+        assert x["sequence"] == "m" + "".join("t" * len(b) + "m" for b in blocks) and x["block_chars"] == sum(len(y) for b in blocks for y in b)
+        assert (x["n_references"], x["n_blocks"]) == (1 + len(sections), sum(map(len, blocks)))
         assert x["last_caption"] == f"lines {len(lines) - len(sections[-1]) + 1} to {len(lines)} of {len(lines)}"
 
 
@@ -181,3 +215,36 @@ def test_toxicity(spark, found, texts):
         assert x["held_out"] == (fold(x["doc_id"], 5) == 0) and 0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.5)
         assert by_text.setdefault(texts[x["doc_id"]], x["score"]) == x["score"]
     assert sum(x["predicted"] for x in out if labels.get(x["doc_id"]) == 0) <= 0.02 * sum(v == 0 for v in labels.values())
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Recall and precision over the held-out labelled documents of a larger table, and scores of some texts by the kernel itself."""
+    folder = "/root/testdata/sf0.01"
+    labels = {x["doc_id"]: x["toxic"] for x in rows(spark.read.parquet(f"{folder}/labels.parquet"))}
+    whole = {x["doc_id"]: x["text"] for x in rows(queries.documents(spark, folder))}
+    model = queries.toxicity_model(spark, folder)
+    docs = queries.documents(spark, folder).select("doc_id", "text").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id"), "doc_id")
+    out = {x["doc_id"]: x for x in rows(toxicity.score(docs, model))}
+    held = [d for d in out if fold(d, 5) == 0]
+    caught, toxic = sum(out[d]["predicted"] and labels[d] for d in held), sum(labels[d] for d in held)
+    assert toxic and caught >= 0.5 * toxic and sum(out[d]["predicted"] for d in held) - caught <= 0.02 * len(held)
+
+    def decision(word):
+        """All subsequences with their spans, one by one."""
+        total, norm = 0.0, 0.0
+        classes = toxicity.letter_classes([word])[0] if word else []
+        for order in toxicity.ORDERS:
+            for places in itertools.combinations(range(len(word)), order):
+                span = places[-1] - places[0] + 1
+                if span <= toxicity.SPANS[order] and all(classes[p] for p in places):
+                    code = 0
+                    for p in places:
+                        code = code * 32 + int(classes[p])
+                    total += toxicity.DECAY**span * model["weights"][code + (32**3 if order == 4 else 0)]
+                    norm += toxicity.DECAY ** (2 * span)
+        return model["bias"] + (total / np.sqrt(norm) if norm else 0.0)
+
+    for d in [d for d in held if whole[d] and len(whole[d]) < 1500][:15]:
+        words = set(toxicity.strings(whole[d]))
+        best = max(map(decision, words)) if words else model["bias"]
+        assert out[d]["score"] == pytest.approx(1 / (1 + np.exp(-(model["slope"] * best + model["offset"]))), abs=1e-4)

@@ -92,6 +92,22 @@ def test_fit_is_expectation_maximisation(spark):
     assert dict(zip(model["pieces"], model["table"][1:, 0].tolist(), strict=True)) == pytest.approx(prob, rel=1e-5)
 
 
+def test_letters_of_any_script_and_numbers_that_are_none():
+    assert langid.words_of("½ ² ① Ⅳ 42 _") == []
+    assert langid.words_of("हिन्दी में Straße É2é") == ["हिन्दी", "में", "straße", "é", "é"]
+
+
+def test_numbers_have_no_language(spark):
+    df = spark.createDataFrame([(1, "½ ² ①", "es"), (2, "hola", "es"), (3, "hallo", "de")], "doc_id long, text string, lang string")
+    found = {x["doc_id"]: x for x in rows(langid.predict(df, langid.fit(df, ["h", "o", "l", "a"])))}
+    assert (found[1]["lang_pred"], found[1]["score"]) == ("und", 0.0) and found[2]["lang_pred"] == "es"
+
+
+def test_crowded_and_very_long_pieces():
+    lattice = langid.Lattice([chr(97 + k % 26) * (1 + k // 26) for k in range(26 * 40)])
+    assert lattice.chunk == 40 and lattice.matches(["q" * 40])[0, 40][0].tolist() == [0]
+
+
 def test_long_pieces_and_words():
     long = "abcdefghijklmnop"
     lattice = langid.Lattice([long, "a", "B", long[:9] + "x"])
@@ -284,6 +300,34 @@ def test_captions_end(page, items):
     assert [(kind, caption if kind == "media" else text) for _, kind, text, caption, _ in plain_items(page)] == items
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<noscript>hello<p>rest of page", ["hello", "rest of page"]),
+        ("<p>one</p><title>unclosed <p>two</p><p>three</p>", ["one", "two", "three"]),
+        ("<script>var a = 1 <p>two</p><title>t</title>x", ["two", "x"]),
+        ("<style>p {} <div>two", ["two"]),
+        ("<template><p>kept</p></template>after", ["kept", "after"]),
+        ("<SCRIPT>a<b</script>x<title>y</TITLE>z", ["xz"]),
+        ("<title>never ends", []),
+        ("a<script>b</script>c<script>d", ["ac"]),
+    ],
+)
+def test_elements_without_an_end_lose_no_page(page, texts):
+    assert [text for _, kind, text, _, _ in plain_items(page) if kind == "text"] == texts
+
+
+def test_shared_images(spark):
+    """Many rows refer to the image of their source; a row without one doesn't."""
+    docs = spark.createDataFrame([(k, f"text {k}", None if k == 4 else f"src{k % 2}") for k in range(5)], "doc_id long, text string, source string")
+    for x in rows(media.columns_of_texts(docs, shared="source")):
+        kinds = [(i["kind"], i["caption"]) for i in x["items"]]
+        top = [("media", f"src{x['doc_id'] % 2}")] if x["doc_id"] != 4 else []
+        assert kinds == [*top, ("text", None), ("media", "lines 1 to 1 of 1")]
+        if top:
+            assert x["items"][0]["payload"]["payload_sha256"] == media.digest_of(f"src{x['doc_id'] % 2}")
+
+
 def test_media_of_texts(spark):
     found = rows(media.columns_of_texts(table(spark, EDGES)))
     assert len(found) == len(EDGES)

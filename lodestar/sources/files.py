@@ -57,11 +57,12 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def paths(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The files that a path or its pattern names, on whatever file system; those whose names begin with a dot or an underscore are none."""
+    """The files that a path or its pattern names, or that stand in a folder it names, on whatever file system; those whose names begin with a dot or an underscore are none."""
     out = []
     for p in [path] if isinstance(path, str) else path:
         target = spark._jvm.org.apache.hadoop.fs.Path(p)
-        found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
+        system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [g for f in system.globStatus(target) or [] for g in (system.listStatus(f.getPath()) if f.isDirectory() else [f])]
         out += [f.getPath().toString() for f in found if f.isFile() and f.getPath().getName()[0] not in "._"]
     return sorted(out)
 

@@ -12,10 +12,11 @@ def spark(tmp_path_factory):
     import os
 
     os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"  # for Python workers
-    from lodestar.session import session
+    from pyspark.sql import SparkSession
 
     shared = tmp_path_factory.mktemp("shared")
-    made = session("tests", **{"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{shared}"})
+    # a plain session: no result may depend on settings
+    made = SparkSession.builder.appName("tests").config(map={"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{shared}"}).getOrCreate()
     made.sparkContext.setLogLevel("ERROR")
     yield made
     made.stop()

@@ -91,11 +91,9 @@ def test_split_files(spark, tmp_path):
     assert [spark.read.parquet(p).first()[0] for p in paths] == [1, 2]
     loaded = files.load(spark, {"train": paths[0] + "/*.parquet", "val": None})
     assert list(loaded) == ["train"] and loaded["train"].count() == 1
-    hub = files.Registry()
-    hub.add("x", loaded)
-    assert files.chosen_splits(hub.load("x"), None, "val")[1] is None
-    with pytest.raises(KeyError):
-        hub.load("y")
+    assert files.chosen_splits(loaded, None, "val")[1] is None
+    with pytest.raises(Exception, match="no such split: null"):
+        sinks.split_parquet(spark.createDataFrame([(1, "train"), (2, None)], "i int, split string"), str(tmp_path), "q")
 
 
 def test_annotation_over_http(spark):

@@ -34,6 +34,11 @@ def complete(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
+def without_value(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose text is there and empty, such as questions without an image; a null isn't empty."""
+    return df.where(F.col(f"`{column}`") == "")
+
+
 def rules(df: DataFrame, extra: Mapping[str, Column] | None = None) -> dict[str, Column]:
     """What unified records must keep, by name: true where a row does. A null ground truth is allowed; `extra` adds rules, for which null counts as broken.
 

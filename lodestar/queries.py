@@ -332,7 +332,7 @@ def dropna_subset(spark, folder):
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'en' AND source <> 'src1'")
 def filter_empty(spark, folder):
     image = F.when(F.col("source") == "src1", F.lit(None)).when(F.col("lang") == "en", "").otherwise("x.png")
-    return table(spark, folder, "documents").where(image == "").select("doc_id", "lang")
+    return validate.without_value(table(spark, folder, "documents").withColumn("image", image), "image").select("doc_id", "lang")
 
 
 # JSON
@@ -733,20 +733,45 @@ def guess_extractor(spark, folder):
     return table(spark, folder, "documents").select("doc_id", infer.guessed_extractor(answers_).alias("extractor"))
 
 
-@query(
-    """WITH first AS (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 5)
-    SELECT unnest(['question', 'answer', 'topic', 'difficulty', 'passthrough', 'train', 'val', 'strategy', 'ability', 'extractor', 'prefix']) AS part,
-    unnest([(SELECT CASE WHEN count(text) FILTER (WHERE doc_id < 0) > 0 THEN 'question' ELSE 'problem' END FROM first), 'solution', 'category', NULL, 'source', 'main', NULL, 'stratified', 'math', 'after_hash4', 'some_set_1']) AS value"""
-)
+PARTS = ("question", "answer", "topic", "difficulty", "passthrough", "train", "val", "strategy", "ability", "extractor", "prefix")
+EXTRACTOR_SQL = r"CASE WHEN contains(a, '####') THEN 'after_hash4' WHEN regexp_matches(a, '\\boxed\{[^}]+\}') THEN 'boxed' WHEN len(regexp_extract_all(a, '[-+]?\d*\.?\d+')) >= 5 THEN 'numeric' ELSE 'copy' END"
+
+
+def config_sql() -> str:
+    """What each data set's columns mean: which of them have values in the first five documents of each language, and what its answers look like, is looked up."""
+    cases = {
+        # name: answers of the first rows, and the parts that don't depend on them
+        "some/Set-1": ("text || ' #### ' || n_chars", ("solution", "category", "NULL", "source", "main", "NULL", "stratified", "math", "some_set_1")),
+        "plain": ("repeat('x \\boxed{' || length(lang) || '} ', 1)", ("answer", "NULL", "level", "", "train", "dev", "existing", "general", "plain")),
+        "gsm8k/de": ("source || ' and ' || doc_id || ' or 1'", ("n", "NULL", "NULL", "", "only", "NULL", "random", "math", "gsm8k_de")),
+        "words": ("lang", ("target", "topic", "NULL", "rationale,model", "default", "validation", "existing", "general", "words")),
+    }
+    out = []
+    for name, (answer, (column, topic, difficulty, passed, train, val, strategy, ability, prefix)) in cases.items():
+        known = {"answer": column, "topic": topic, "difficulty": difficulty, "passthrough": passed, "train": train, "val": val, "strategy": strategy, "ability": ability, "prefix": prefix}
+        question = {"some/Set-1": "CASE WHEN count(text) FILTER (WHERE doc_id < 0) > 0 THEN 'question' ELSE 'problem' END", "plain": "CASE WHEN count(CASE WHEN doc_id % 2 = 1 THEN text END) > 0 THEN 'query' ELSE 'text' END", "gsm8k/de": "max('q')", "words": "CASE WHEN count(text) > 0 THEN 'input' ELSE 'text' END"}[name]
+        first = "(SELECT * FROM documents ORDER BY doc_id LIMIT 5)"
+        values = [f"(SELECT {question} FROM {first})", *("NULL" if known[p] == "NULL" else f"'{known[p]}'" for p in PARTS[1:9]), f"(SELECT {EXTRACTOR_SQL} FROM (SELECT string_agg({answer}, chr(10) ORDER BY doc_id) AS a FROM {first}))", f"'{prefix}'"]
+        out.append(f"SELECT '{name}' AS name, unnest([{', '.join(repr(p) for p in PARTS)}]) AS part, unnest([{', '.join(values)}]) AS value")
+    return " UNION ALL ".join(out)
+
+
+@query(config_sql())
 def infer_config(spark, folder):
-    """What is inferred from documents under other names: a question column without values is passed over, marks in the first answers are found."""
-    docs = table(spark, folder, "documents").select(
-        "doc_id", F.when(F.col("doc_id") < 0, F.col("text")).alias("question"), F.col("text").alias("problem"), F.concat("text", F.lit(" #### "), "n_chars").alias("solution"), F.col("lang").alias("category"), "source",
-    )
-    found = infer.inferred("some/Set-1", {"extra": docs, "main": docs}, "doc_id")
-    values = {n: getattr(found, n) for n in ("question", "answer", "topic", "difficulty", "train", "val", "ability", "extractor", "prefix")}
-    values |= {"passthrough": ",".join(found.passthrough), "strategy": found.strategy.kind}
-    return files.rows(spark, [{"part": k, "value": v} for k, v in values.items()], "part string, value string")
+    """What is inferred from four data sets made of documents: columns without values are passed over, names are taken in their order of preference, splits under other names are found."""
+    docs = table(spark, folder, "documents")
+    text, never = F.col("text"), F.when(F.col("doc_id") < 0, F.col("text"))
+    maths = docs.select("doc_id", never.alias("question"), text.alias("problem"), F.concat("text", F.lit(" #### "), "n_chars").alias("solution"), F.col("lang").alias("category"), "source")
+    boxed = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 1, text).alias("query"), "text", F.concat(F.lit("x \\boxed{"), F.length("lang").cast("string"), F.lit("} ")).alias("answer"), F.col("n_chars").alias("level"))
+    placed = docs.select(text.alias("q"), F.concat("source", F.lit(" and "), "doc_id", F.lit(" or 1")).alias("n"), "doc_id")
+    words = docs.select("doc_id", text.alias("input"), F.col("lang").alias("target"), F.col("lang").alias("topic"), F.col("source").alias("model"), F.col("source").alias("rationale"))
+    sets = {"some/Set-1": {"extra": maths, "main": maths}, "plain": {"train": boxed, "dev": boxed}, "gsm8k/de": {"only": placed}, "words": {"validation": words, "default": words}}
+    told = []
+    for name, splits in sets.items():
+        found = infer.inferred(name, splits, "doc_id")
+        values = {p: getattr(found, p) for p in PARTS if p not in ("passthrough", "strategy")} | {"passthrough": ",".join(found.passthrough), "strategy": found.strategy.kind}
+        told += [{"name": name, "part": p, "value": values[p]} for p in PARTS]
+    return files.rows(spark, told, "name string, part string, value string")
 
 
 @query(

@@ -63,6 +63,7 @@ class Vocabularies:
 
     def __init__(self, a: str, b: bytes):
         import json
+        import os
 
         import numpy as np
         import public_tokenizers
@@ -71,6 +72,7 @@ class Vocabularies:
         from sentencepiece import sentencepiece_model_pb2 as pb
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(a)
         self.tokenizer.encode_special_tokens = True
         own = json.loads(a)["model"]

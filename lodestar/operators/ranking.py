@@ -148,12 +148,16 @@ def first_rows(df: DataFrame, digest: str, tie: str, size: Callable[[Column], Co
     held = F.least(F.col(wanted), F.col(rows))
     cuts = starts.where((F.col(start) < held) & (held <= F.col(start) + F.col(count))).select(*keys, of, (held - F.col(start)).cast("bigint").alias(need))
     small = cuts.limit(GROUPS_SENT + 1).collect()
-    if len(small) <= GROUPS_SENT:
-        cuts = F.broadcast(df.sparkSession.createDataFrame(small, cuts.schema))
-    same = F.lit(True)
-    for c, k in zip(within, keys, strict=True):
-        same = same & F.col(c).eqNullSafe(F.col(k))
-    marked = keyed.join(cuts, same, "inner" if isinstance(size, DataFrame) else "left")
+    if within:
+        if len(small) <= GROUPS_SENT:
+            cuts = F.broadcast(df.sparkSession.createDataFrame(small, cuts.schema))
+        same = F.lit(True)
+        for c, k in zip(within, keys, strict=True):
+            same = same & F.col(c).eqNullSafe(F.col(k))
+        marked = keyed.join(cuts, same, "inner" if isinstance(size, DataFrame) else "left")
+    else:  # one group, so one cut, or none in an empty table
+        cut = small[0] if small else {of: None, need: None}
+        marked = keyed.withColumns({of: F.lit(cut[of]).cast("string"), need: F.lit(cut[need]).cast("bigint")})
     at_cut = F.col(own).eqNullSafe(F.col(of))
     sure = marked.where(~at_cut).withColumn(name, F.coalesce(F.col(own) < F.col(of), F.lit(False)))
     ranked = marked.where(at_cut).withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(digest, tie)) <= F.col(need))

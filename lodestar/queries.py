@@ -362,15 +362,16 @@ def judge_flatten(spark, folder):
 
 @query("SELECT 'e' || event_id AS id, 'a' || user_id AS correct_answer, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS correct, (event_id % 100)::VARCHAR AS confidence FROM events")
 def judge_large_files(spark, folder):
-    """The verdicts of all events in a few large JSON files, lists and objects, cut into items while they are read."""
+    """The verdicts of all events in JSON files of 5,000, lists and objects, cut into items while they are read."""
     name = F.concat(F.lit("e"), "event_id")
     member = F.concat(F.lit('"'), name, F.lit('": {"note": "} \\\\ \\" {", "judge_response": '), verdict(), F.lit("}"))
-    listed = F.col("event_id") % 4 < 2
+    number = F.floor(F.col("event_id") / 5000)
+    listed = number % 2 == 0
     row = F.when(listed, F.concat(F.lit("{"), member, F.lit("}"))).otherwise(member)
-    events = table(spark, folder, "events").select((F.col("event_id") % 4).alias("file"), row.alias("row"))
+    events = table(spark, folder, "events").select(number.alias("file"), row.alias("row"))
     path = scratch(spark, "verdicts")
     events.groupBy("file").agg(F.array_join(F.collect_list("row"), ", \n").alias("rows")).select(
-        F.when(F.col("file") < 2, F.concat(F.lit("["), "rows", F.lit("\n]"))).otherwise(F.concat(F.lit("{"), "rows", F.lit("}"))).alias("value"), "file"
+        F.when(F.col("file") % 2 == 0, F.concat(F.lit("["), "rows", F.lit("\n]"))).otherwise(F.concat(F.lit("{"), "rows", F.lit("}"))).alias("value"), "file"
     ).write.partitionBy("file").text(path)
     return judge.flattened_items(json_items.items(spark, f"{path}/*/*.txt")).drop("path")
 

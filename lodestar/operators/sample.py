@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .names import unused
-from .ranking import first_rows, hash_bucket, hash_key, numbered
+from .ranking import first_rows, hash_bucket, hash_key, in_order, numbered
 
 # Rows of each category in the benchmark's sample of 500.
 QUOTA = {
@@ -82,6 +82,12 @@ def size_report(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("n")).select("n", F.lit(size).cast("bigint").alias("expected"), (F.col("n") == size).alias("complete"))
 
 
+def first(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows in the order of the files they are read from."""
+    place, = unused(df.columns, "source_order")
+    return in_order(df, place).orderBy(place).limit(n).drop(place)
+
+
 def full_rows(source: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     """The rows of the unfiltered source whose keys were chosen."""
     return source.join(chosen.select(key), key, "left_semi")

@@ -378,7 +378,8 @@ def judge_large_files(spark, folder):
 
 @query("SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100")
 def limit_first_100(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "lang", "n_chars").orderBy("doc_id").limit(100)
+    """The first rows in the order of the files."""
+    return sample.first(table(spark, folder, "documents").select("doc_id", "lang", "n_chars"), 100)
 
 
 # Profiles

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.scratch import scratch
 
+#: Bytes of stored pieces that a task holds before it writes them.
+ROW_GROUP = 16 << 20
+
 
 def _count(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
@@ -33,7 +36,7 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     earlier = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     whole = counted.select("file", "block", "place", "value", "quotes", *changes, F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("before"))
     where = scratch(spark, "json-pieces")
-    whole.write.option("compression", "zstd").parquet(where)
+    whole.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(where)
     return spark.read.schema(whole.schema).parquet(where)
 
 

@@ -137,8 +137,12 @@ def splits(spark: SparkSession, root: str, name: str, subset: str | None = None,
     found = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inside, allow_not_found=True)) if f.type == fs.FileType.Directory)
     if not found:
         raise KeyError(f"no data set {name!r} with subset {subset!r}")
-    reader = lambda: spark.read.format("lodestar_hub").option("root", root).option("name", name).option("subset", subset or "default")
-    return {s: (reader().schema(columns) if columns else reader()).option("split", s).load() for s in found}
+    out = {}
+    for split in found:
+        options = {"root": root, "name": name, "subset": subset or "default", "split": split}
+        # with a schema known here, no worker is started to ask for it
+        out[split] = spark.read.format("lodestar_hub").options(**options).schema(columns or Hub(options).schema()).load()
+    return out
 
 
 def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -29,6 +29,8 @@ from .shared import release, stored, unused
 
 #: What tells documents apart: key and digest of the text. Rows equal in both are one document.
 DOCUMENT = ("key", "digest")
+#: Up to so many documents with runs (4 MB of hashes) are broadcast, so that only their texts are shuffled; with more, all are.
+BROADCAST_ROWS = 500_000
 #: A word is a run of characters other than the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -189,9 +191,16 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     empty, with 0 deleted lines; a text that loses all its lines becomes empty. All rows and columns are kept; a column called like
     `deleted` is replaced.
     """
-    own_key, own_digest, runs = unused(df, "_key", "_digest", "_runs")
+    own_key, own_digest, runs, own = unused(df, "_key", "_digest", "_runs", "_document")
     found = find_runs(df, key, text, min_words).toDF(own_key, own_digest, runs)
-    joined = df.drop(deleted).join(found, F.col(key).eqNullSafe(F.col(own_key)) & (_digest(F.col(text)) == F.col(own_digest)), "left")
+    rows = df.drop(deleted)
+    untouched = None
+    if found.count() <= BROADCAST_ROWS:
+        marked, documents = rows.withColumn(own, F.xxhash64(key, _digest(F.col(text)))), F.broadcast(found.select(F.xxhash64(own_key, own_digest).alias(own)))
+        untouched = marked.join(documents, own, "left_anti").drop(own).withColumn(deleted, F.lit(0))
+        rows = marked.join(documents, own, "left_semi").drop(own)
+    joined = rows.join(found, F.col(key).eqNullSafe(F.col(own_key)) & (_digest(F.col(text)) == F.col(own_digest)), "left")
     count = F.coalesce(F.aggregate(runs, F.lit(0), lambda n, r: n + r["stop"] - r["start"]), F.lit(0))
     cut = F.when(F.col(runs).isNull(), F.col(text)).otherwise(_kept(F.col(text), F.col(runs)))
-    return joined.withColumns({text: cut, deleted: count}).drop(own_key, own_digest, runs)
+    touched = joined.withColumns({text: cut, deleted: count}).drop(own_key, own_digest, runs)
+    return touched if untouched is None else touched.unionByName(untouched)

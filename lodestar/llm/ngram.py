@@ -14,10 +14,11 @@ copies cost nothing. The join is exact on classes:
    Its tokens are ordered, those of its own group alone first, then from few groups to many; the first token that it has in common with
    a linked class lies early in both, by an amount that sizes and places tell, so early tokens give the groups that come into question.
    The class's overlap with a group's token union bounds its overlap with any member from above; only groups where that suffices are opened.
-   An opened group's root is compared first; if that is a link, both groups are joined, and no member is looked at. The others are compared
-   with those members that share an early token.
+   Of two groups one class is compared with the other's root first, then each class of an opened group with its root, and with some members by a hash; once there is a link, both groups are joined, and no member is looked at.
+   The others are compared with those members that share an early token.
 4. This is done twice. Among groups of one reference, a class is the difference between its tokens and the reference's: loosely similar
-   classes have little in common there, and two linked ones must share a part of their differences, which sizes tell. Between references, it is done with whole sets.
+   classes have little in common there, and two linked ones must share a part of their differences, which sizes tell. Between references, it is done with whole sets. Classes of one reference
+   needn't be linked, so there a link joins only what links have connected by then, and the rest of both references is compared further.
 5. Components of all links, from the smallest key.
 
 A large group of near copies is one column of the matrix, and frequent passages lie late in the order, so neither makes
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +53,8 @@ SIMILAR = (1, 5)
 #: Up to so many classes (16 MB) are broadcast to select their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 MARKER = 0xFFFF
+#: About so many members of a cluster are compared with a class, in rounds, before all that share an early token with it are.
+TRIED = (16, 64)
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -393,12 +397,48 @@ def fitting(asking: DataFrame, heads: DataFrame, place: list[str]) -> DataFrame:
     return asking.join(heads, [*place, "order", "part"]).where(FITS)
 
 
-def between_clusters(tokens: DataFrame, sets: DataFrame, early: int, name: str) -> DataFrame:
+def joined() -> Column:
+    """The two groups that a class and a cluster belong to, in order."""
+    return F.array_sort(F.array("group", "other_group")).alias("joined")
+
+
+def with_roots(rest: DataFrame, asking: DataFrame, sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of classes with their cluster's root among the rows (class, other, joined) of `asking`, and the rest whose groups none of them joins; both stored."""
+    pairs = asking.select(F.col("class").alias("a"), F.col("other").alias("b"), "joined")
+    links = stored(compared(pairs, sets).where(at_least(PART)).select("a", "b"), f"ngram-roots-{name}")
+    return links, stored(rest.join(pairs.join(links, ["a", "b"]).select("joined").distinct(), "joined", "left_anti"), f"ngram-rest-{name}")
+
+
+def one_each(rest: DataFrame) -> DataFrame:
+    """A row (class, other, joined) for each pair of groups."""
+    return rest.groupBy("joined").agg(F.min(F.struct("class", "other")).alias("one")).select("one.class", "one.other", "joined")
+
+
+def tried(rest: DataFrame, members: DataFrame, sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the classes with their clusters' members in (class, other, n_a, size_a, joined) and (other, b, n_b, size_b), and the rest whose groups none of them joins; both stored."""
+    possible = "class <> b and 3 * n_a <= 4 * n_b and 3 * n_b <= 4 * n_a and 14 * least(size_a, size_b) >= 7 * (size_a + size_b) - (n_a + n_b)"
+    pairs = stored(rest.join(members, "other").where(possible).select(F.col("class").alias("a"), "b", "joined"), f"ngram-tried-{name}")
+    links = stored(compared(pairs.select("a", "b").distinct(), sets).where(at_least(PART)).select("a", "b"), f"ngram-links-{name}")
+    left = stored(rest.join(pairs.join(links, ["a", "b"]).select("joined").distinct(), "joined", "left_anti"), f"ngram-rest-{name}")
+    release(pairs)
+    return links, left
+
+
+def parts_of(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(class, cluster, part, group) of (class, cluster): the group that links have connected, from (class, root), and the part of the cluster in it, named by its first class."""
+    grouped = coalesced(classes.select("class", "cluster"), "group", groups, of=F.col("class"))
+    return grouped.join(grouped.groupBy("cluster", "group").agg(F.min("class").alias("part")), ["cluster", "group"])
+
+
+def between_clusters(tokens: DataFrame, sets: DataFrame, early: int, name: str, links: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that connect all clusters of a frame with linked classes in them, from (frame, token, class, n, size, cluster).
 
     A class has `size` tokens, in one frame and one cluster, named by its root. Two classes of different clusters can only be linked
     if they share (7 * (size_a + size_b) - (n_a + n_b)) / 14 tokens. For the larger a, that is size_a - n_a / early at least; for the smaller b,
     size_b - n_b / (early + 3): `early` is 3, or 4 where the size is n.
+
+    Classes of a cluster are connected by links, so that one link joins two clusters. Where they needn't be, `links` (a, b) are those known: opened clusters are then
+    taken apart into what these connect.
     """
     place, own = ["frame", "token"], Window.partitionBy("class")
     names = [F.xxhash64("cluster"), F.xxhash64(F.lit(1), "cluster")]  # 128 bits, as hash aggregation has no extremes of binary values
@@ -414,25 +454,60 @@ def between_clusters(tokens: DataFrame, sets: DataFrame, early: int, name: str)
     query = ["frame", "class", "n", "size", "cluster", "other"]
     asked = fitting(askable(large, heads, place), heads, place).where("cluster <> other").groupBy(*query).agg(F.min(F.expr("7 * size - n + need")).alias("needed"))
     asked = stored(asked, f"ngram-asked-{name}")
+    found = []
+    if links is None:  # clusters of which the first pair that comes into question is a link need no more
+        asking = asked.withColumn("joined", F.array_sort(F.array("cluster", "other")))
+        some, rest = with_roots(asking, one_each(asking), sets, name)
+        found.append(some)
+        release(asked)
+        asked = rest
     union = matrix.select(*place, F.col("cluster").alias("other")).distinct()
     bound = asked.join(matrix.select("class", "token"), "class").join(union, [*place, "other"]).groupBy(*query, "needed").agg(F.count("*").alias("both"))
     opened = stored(bound.where(f"{early} * both >= {early} * size - n and 14 * both >= needed").drop("both", "needed"), f"ngram-opened-{name}")
-
-    with_root = stored(compared(opened.select(F.col("class").alias("a"), F.col("other").alias("b")), sets).where(at_least(PART)).select("a", "b"), f"ngram-roots-{name}")
-    both_ways = F.array_sort(F.array("cluster", "other")).alias("joined")
-    done = opened.join(with_root, (F.col("class") == F.col("a")) & (F.col("other") == F.col("b"))).select(both_ways).distinct()
-    rest = opened.select("class", "other", both_ways).join(done, "joined", "left_anti").select("class", "other")
-    values = ("class", "n", "size", "place")
-    left = large.join(rest, "class").select(*place, "other", *[F.col(c).alias(f"{c}_a") for c in values])
-    right = small.select(*place, F.col("cluster").alias("other"), *[F.col(c).alias(f"{c}_b") for c in values])
-    fits = (
-        "(size_a > size_b or size_a = size_b and class_a > class_b) and 3 * n_a <= 4 * n_b and 3 * n_b <= 4 * n_a"
-        " and 14 * least(size_a - place_a, size_b - place_b) >= 7 * (size_a + size_b) - (n_a + n_b)"
-    )
-    pairs = left.join(right, [*place, "other"]).where(fits).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
-    with_members = stored(compared(pairs, sets).where(at_least(PART)).select("a", "b"), f"ngram-members-{name}")
-    release(matrix, large, asked, opened)
-    return with_root.unionByName(with_members)
+    release(asked)
+    if opened.isEmpty():
+        release(matrix, large)
+        return reduce(DataFrame.unionByName, found, opened.select(F.col("class").alias("a"), F.col("other").alias("b")))
+
+    classes = matrix.select("class", "n", "size", "cluster").distinct()
+    if links is None:
+        members, within = classes.withColumn("other", F.col("cluster")), small.withColumn("other", F.col("cluster"))
+        rest = opened.select("class", "n", "size", "other", F.col("cluster").alias("group"), F.col("other").alias("other_group"))
+    else:
+        groups = components(links).select(F.col("node").alias("class"), F.col("component").alias("root"))
+        parts = stored(parts_of(classes, groups), f"ngram-parts-{name}")
+        members = classes.drop("cluster").join(parts.select("class", F.col("part").alias("other")), "class")
+        within = small.join(parts.select("class", F.col("part").alias("other")), "class")
+        of_part = parts.select(F.col("part").alias("other"), F.col("cluster").alias("opened"), F.col("group").alias("other_group")).distinct()
+        part_heads = clusters_in_cells(within.withColumn("cluster", F.col("other")), place).drop("order", "part").join(of_part, "other")
+        asking = large.join(opened.select("class", F.col("other").alias("opened")), "class").join(parts.select("class", "group"), "class")
+        rest = asking.join(part_heads, [*place, "opened"]).where(FITS).where("group <> other_group").select("class", "n", "size", "other", "group", "other_group").distinct()
+    rest = stored(rest.select("class", "other", F.col("n").alias("n_a"), F.col("size").alias("size_a"), joined()), f"ngram-asking-{name}")
+
+    for asking in (one_each, lambda every: every):
+        some, rest = with_roots(rest, asking(rest), sets, name)
+        found.append(some)
+    several = members.join(members.groupBy("other").agg(F.count("*").alias("members")), "other")
+    of_other = several.select("other", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), F.pmod(F.xxhash64("class"), "members").alias("turn"), "members")
+    of_other = of_other.join(rest.select("other").distinct(), "other", "left_semi")
+    for low, high in zip((0, *TRIED), TRIED, strict=False):
+        if rest.isEmpty():
+            break
+        some, rest = tried(rest, of_other.where(f"turn >= {low} and turn < {high}"), sets, name)
+        found.append(some)
+    if not rest.isEmpty():
+        rest = rest.join(of_other.where(f"members > {TRIED[-1]}"), "other", "left_semi")  # of smaller clusters, all have been compared
+        values = ("class", "n", "size", "place")
+        left = large.join(rest.select("class", "other"), "class").select(*place, "other", *[F.col(c).alias(f"{c}_a") for c in values])
+        right = within.select(*place, "other", *[F.col(c).alias(f"{c}_b") for c in values])
+        fits = (
+            "(size_a > size_b or size_a = size_b and class_a > class_b) and 3 * n_a <= 4 * n_b and 3 * n_b <= 4 * n_a"
+            " and 14 * least(size_a - place_a, size_b - place_b) >= 7 * (size_a + size_b) - (n_a + n_b)"
+        )
+        pairs = left.join(right, [*place, "other"]).where(fits).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+        found.append(stored(compared(pairs, sets).where(at_least(PART)).select("a", "b"), f"ngram-members-{name}"))
+    release(matrix, large, opened)
+    return reduce(DataFrame.unionByName, found)
 
 
 # 4. Differences from a reference
@@ -480,11 +555,11 @@ def links_of(sets: DataFrame) -> DataFrame:
     settled = coalesced(settled.join(root_close, ["cluster", "frame"], "left"), "home", clusters, of=F.col("frame"))
     settled = settled.withColumn("cluster", F.when(F.col("close") | F.col("root_close"), F.col("home")).otherwise(F.col("cluster")))
     among = between_clusters(spread(settled), sets, 3, "among")
+    with_reference = close.select(F.col("class").alias("a"), F.col("frame").alias("b"))
+    known = linked.unionByName(with_reference).unionByName(among)
 
     whole = coalesced(sets.select("class", "n", "tokens"), "cluster", references, of=F.col("class")).withColumn("frame", F.lit(b""))
-    beyond = between_clusters(spread(whole), sets, 4, "beyond")
-    with_reference = close.select(F.col("class").alias("a"), F.col("frame").alias("b"))
-    return linked.unionByName(with_reference).unionByName(among).unionByName(beyond)
+    return known.unionByName(between_clusters(spread(whole), sets, 4, "beyond", known))
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -198,3 +198,42 @@ def joined_rows(spark, monkeypatch, rows) -> int:
 def test_templated_documents_make_no_pairs(spark, monkeypatch):
     few, more, many = (joined_rows(spark, monkeypatch, templated(n)) for n in (150, 300, 600))
     assert few <= 50 * 150 and more <= 50 * 300 and many <= 50 * 600
+
+
+def made_sets(spark, tokens: dict, buckets: dict, share: dict):
+    """Sets as `ngram.members` gives them, with chosen first buckets; no other bucket has two classes."""
+    made = []
+    for k, (name, own) in enumerate(tokens.items()):
+        packed = ngram.np.unique(ngram.mixed(ngram.np.array(sorted(own), ngram.np.uint64)))
+        made.append((bytearray(name.encode()), len(packed), share.get(name, 0.9), [buckets[name], *range(1000 * k + 1000, 1000 * k + 1015)], bytearray(packed.tobytes())))
+    return spark.createDataFrame(made, ngram.MEMBER)
+
+
+def test_two_references_may_be_linked_in_several_places(spark):
+    x, z, both = set(range(100)), set(range(200, 300)), set(range(400, 460))
+    tokens = {"r1": set(range(50)) | set(range(200, 250)) | both, "r2": x | both, "a1": x | both | set(range(500, 510)), "a2": z | set(range(410, 460)), "b2": z | both}
+    sets = made_sets(spark, tokens, {"r1": 1, "a1": 1, "a2": 1, "r2": 2, "b2": 2}, {"r1": 1.0, "r2": 1.0})
+    parts = {bytes(r["node"]).decode(): bytes(r["component"]).decode() for r in rows(components.components(ngram.links_of(sets)))}
+    assert parts == {"a1": "a1", "r2": "a1", "a2": "a2", "b2": "a2"}
+
+
+def test_members_of_a_cluster_are_tried_in_rounds(spark, monkeypatch):
+    """n classes, each linked with a quarter of the n members of one cluster, but neither with its root nor with each other."""
+    r, n, seen, plain = random.Random(5), 240, [0], ngram.compared
+    base = list(range(400))
+    tokens = {"root": set(base)}
+    for k in range(n):
+        quarter = {10_000 + 1000 * (k % 4) + j for j in range(40)}
+        tokens[f"m{k}"] = set(base[40:]) | quarter | {50_000 + k}
+        tokens[f"s{k}"] = set(base[40:]) - set(r.sample(base[40:], 40)) | quarter | {90_000 + 50 * k + j for j in range(40)}
+
+    def counting(pairs, sets):
+        kept = ngram.stored(pairs.select("a", "b"), "counted")
+        seen[0] += kept.count()
+        return plain(kept, sets)
+
+    monkeypatch.setattr(ngram, "compared", counting)
+    links = ngram.links_of(made_sets(spark, tokens, {t: 100_000 + k if t[0] == "s" else 1 for k, t in enumerate(tokens)}, {"root": 1.0}))
+    parts = rows(components.components(links))
+    assert len(parts) == len(tokens) and len({bytes(x["component"]) for x in parts}) == 1
+    assert seen[0] <= 25 * n

@@ -198,3 +198,19 @@ def test_names_that_operators_use_may_clash(spark):
         found = made.collect()
         assert len(found) == rows and all(r[n] == n for r in found for n in names)
     assert len(enrich.enriched(df, df.select("id", "_key", "of"), "id").columns) == len(df.columns) + 2
+
+
+def test_keys_of_many_rows_on_both_sides_are_dealt_to_many_tasks(spark, monkeypatch):
+    from collections import Counter
+
+    from lodestar.operators import enrich
+
+    monkeypatch.setattr(enrich, "TASK_PAIRS", 1000)
+    key = F.when(F.col("id") % 3 > 0, F.col("id") % 3)
+    left, right = spark.range(300).select(key.alias("k"), F.col("id").alias("v")), spark.range(90).coalesce(1).select(key.alias("k"), F.col("id").alias("v"), "id")
+    plain = [enrich.enriched(left.coalesce(1), right, "k", null_keys_match=n) for n in (False, True)]
+    many = [enrich.enriched(left.coalesce(1), right, "k", null_keys_match=n, many=True) for n in (False, True)]
+    for a, b in zip(plain, many, strict=True):
+        assert a.schema == b.schema and Counter(a.collect()) == Counter(b.collect())
+    assert many[1].count() == 9000
+    assert many[1].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 4000

@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Files of a partition of first lines, and bytes that are read of a file at a time until its line ends.
 FILES, READ_BYTES = 64, 4096
+#: Bytes of rows, at most so many, that a reader of a row group holds at a time, and bytes of a column's stored pages.
+BATCH_BYTES, BATCH_ROWS, PAGE_BYTES = 4 << 20, 2000, 1 << 20
 
 
 def opened(path: str):
@@ -61,8 +63,10 @@ class HubReader(DataSourceReader):
         import pyarrow.parquet as pq
 
         system, _ = opened(self.folder)
-        with pq.ParquetFile(partition.path, filesystem=system) as file:
-            yield from file.iter_batches(row_groups=[partition.number], columns=self.names)
+        with pq.ParquetFile(partition.path, filesystem=system, buffer_size=PAGE_BYTES, pre_buffer=False) as file:
+            group = file.metadata.row_group(partition.number)
+            rows = max(1, min(BATCH_ROWS, BATCH_BYTES * group.num_rows // max(1, group.total_byte_size)))
+            yield from file.iter_batches(batch_size=rows, row_groups=[partition.number], columns=self.names, use_threads=False)
 
 
 class Hub(DataSource):

@@ -150,3 +150,17 @@ def test_quarantine(spark, tmp_path):
     assert counts == {"prompt has a turn": 2, "turns are whole": 1, "has a truth": 3}
     empty = validate.quarantined(df.limit(0), str(tmp_path / "e"), name="rules")
     assert [t.count() for t in empty] == [0, 0]
+
+
+def test_row_groups_of_a_hub_are_read_in_bounded_batches(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lodestar.sources import hub
+
+    texts = [f"{k} " * 4000 for k in range(2000)]
+    pq.write_table(pa.table({"id": range(2000), "text": texts}), tmp_path / "a.parquet", use_dictionary=False)
+    reader = hub.HubReader(str(tmp_path), ["id", "text"])
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert [t for b in batches for t in b.column(1).to_pylist()] == texts
+    assert max(b.nbytes for b in batches) <= 2 * hub.BATCH_BYTES

@@ -12,7 +12,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from .names import unused
 from .scratch import scratch
 
 
+#: Bytes of prompts that are taken from a batch together.
+SLICE_BYTES = 4 << 20
+
+
 class Client(Protocol):
     def __call__(self, prompt: str, system: str) -> str: ...
 
@@ -54,18 +59,31 @@ class Http:
         return ""
 
 
+def slices(prompts: pa.Array) -> Iterator[list[str | None]]:
+    """Neighbouring prompts of about SLICE_BYTES bytes; a longer one is alone."""
+    start = held = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(prompts), 0).to_pylist()):
+        if k > start and held + n > SLICE_BYTES:
+            yield prompts.slice(start, k - start).to_pylist()
+            start, held = k, 0
+        held += n
+    if start < len(prompts):
+        yield prompts.slice(start).to_pylist()
+
+
 def annotate(df: DataFrame, prompt: Column, name: str, client: Callable[[], Client] = Stub, system: str = "", at_once: int = 4, partitions: int | None = None) -> DataFrame:
     """Adds the reply to each row's prompt; a null prompt has none. `client` is called once in each task, which sends `at_once` prompts at a time."""
 
-    def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def replies(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ask = client()
         with ThreadPoolExecutor(at_once) as pool:
             for prompts in batches:
-                yield pd.Series(list(pool.map(lambda p: None if p is None else ask(p, system), prompts)), dtype=object)
+                # a slice at a time, so that a worker holds few texts besides the batch
+                yield pa.array([reply for part in slices(prompts) for reply in pool.map(lambda p: None if p is None else ask(p, system), part)], pa.string())
 
-    replies.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    replies.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     spread = df if partitions is None else df.repartition(partitions)
-    return spread.withColumn(name, F.pandas_udf(replies, "string")(prompt))
+    return spread.withColumn(name, F.arrow_udf(replies, "string")(prompt))
 
 
 REPLIES = "prompt_digest string, reply string"

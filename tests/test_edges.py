@@ -214,3 +214,14 @@ def test_keys_of_many_rows_on_both_sides_are_dealt_to_many_tasks(spark, monkeypa
         assert a.schema == b.schema and Counter(a.collect()) == Counter(b.collect())
     assert many[1].count() == 9000
     assert many[1].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 4000
+
+
+def test_prompts_are_answered_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from lodestar.operators import annotate
+
+    monkeypatch.setattr(annotate, "SLICE_BYTES", 10)
+    parts = list(annotate.slices(pa.array(["abcd", None, "efgh", "x" * 30, "y" * 10, "z"])))
+    assert parts == [["abcd", None, "efgh"], ["x" * 30], ["y" * 10], ["z"]]
+    assert list(annotate.slices(pa.array([], pa.string()))) == []

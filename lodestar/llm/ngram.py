@@ -14,6 +14,7 @@ copies cost nothing. The join is exact on classes:
    Its tokens are ordered, those of its own group alone first, then from few groups to many; the first token that it has in common with
    a linked class lies early in both, by an amount that sizes and places tell, so early tokens give the groups that come into question.
    The class's overlap with a group's token union bounds its overlap with any member from above; only groups where that suffices are opened.
+   Within a reference, a group is compared with the root of one that it asks for, linked groups become one, and so on in rounds: groups linked over others are not asked again.
    Of two groups one class is compared with the other's root first, then each class of an opened group with its root, and with some members by a hash; once there is a link, both groups are joined, and no member is looked at.
    The others are compared with those members that share an early token.
 4. This is done twice. Among groups of one reference, a class is the difference between its tokens and the reference's: loosely similar
@@ -55,6 +56,10 @@ BROADCAST_ROWS = 500_000
 MARKER = 0xFFFF
 #: About so many members of a cluster are compared with a class, in rounds, before all that share an early token with it are.
 TRIED = (16, 64)
+#: Rounds in which each group of clusters is compared with one that it asks for, and those that are linked become one.
+ROUNDS = 4
+#: Tokens of a cluster's union that go together, about.
+UNION_TOKENS = 4096
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -414,6 +419,50 @@ def one_each(rest: DataFrame) -> DataFrame:
     return rest.groupBy("joined").agg(F.min(F.struct("class", "other")).alias("one")).select("one.class", "one.other", "joined")
 
 
+def still_apart(rest: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of `rest`, whose groups that edges (a, b) connect, directly or over others, become one; rows within one group are left out."""
+    names = components(edges).select(F.col("node").alias("class"), F.col("component").alias("root"))
+    named = rest.withColumnsRenamed({"group": "_one", "other_group": "_two"})
+    for new, old in (("group", "_one"), ("other_group", "_two")):
+        named = coalesced(named, new, names, of=F.col(old))
+    return named.where("group <> other_group").select(*rest.columns)
+
+
+def contracted(asked: DataFrame, sets: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
+    """Links (a, b) of classes with their cluster's root among (class, other, group, other_group, cells), and the rows whose groups these don't connect; all stored.
+
+    A group first asks the one with which it shares most cells, later any; in the end, each of two groups that are still apart is compared once with the other.
+    So groups that are all linked with each other cost about a pair each, not all their pairs.
+    """
+    found, rest = [], asked
+    for k in range(ROUNDS + 1):
+        if rest.isEmpty():
+            break
+        turn = (F.col("cells") if k == 0 else F.xxhash64(F.lit(k), "class", "other")).alias("turn")
+        best = rest.groupBy("group" if k < ROUNDS else joined()).agg(F.max(F.struct(turn, "class", "other", "group", "other_group")).alias("best"))
+        pairs = stored(best.select(F.col("best.class").alias("a"), F.col("best.other").alias("b"), F.col("best.group").alias("one"), F.col("best.other_group").alias("two")), f"ngram-turn-{name}")
+        links = stored(compared(pairs, sets).where(at_least(PART)).select("a", "b"), f"ngram-roots-{name}")
+        if not links.isEmpty():
+            found.append(links)
+            edges = pairs.join(links, ["a", "b"]).select(F.col("one").alias("a"), F.col("two").alias("b"))
+            left = stored(still_apart(rest, edges), f"ngram-apart-{name}")
+            release(rest)
+            rest = left
+        release(pairs)
+    return found, rest
+
+
+def bounded(asked: DataFrame, matrix: DataFrame, place: list[str]) -> DataFrame:
+    """Adds `both`, the number of a class's tokens that are in the union of a cluster, to (frame, class, other). A union comes in parts, of which each gives a row."""
+    held = F.collect_list("token")
+    own = matrix.join(asked.select("class").distinct(), "class", "left_semi").groupBy("class").agg(held.alias("own"))
+    union = matrix.select(*place, F.col("cluster").alias("other")).join(asked.select("frame", "other").distinct(), ["frame", "other"], "left_semi").distinct()
+    parts = union.groupBy("frame", "other").agg(F.ceil(F.count("*") / UNION_TOKENS).alias("parts"))
+    dealt = union.join(parts, ["frame", "other"]).groupBy("frame", "other", F.pmod(F.xxhash64("token"), "parts").alias("part")).agg(held.alias("union"))
+    rows = asked.join(own, "class").join(dealt, ["frame", "other"]).select(*asked.columns, F.size(F.array_intersect("own", "union")).alias("both"))
+    return rows.groupBy(*asked.columns).agg(F.sum("both").alias("both"))
+
+
 def tried(rest: DataFrame, members: DataFrame, sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of the classes with their clusters' members in (class, other, n_a, size_a, joined) and (other, b, n_b, size_b), and the rest whose groups none of them joins; both stored."""
     possible = "class <> b and 3 * n_a <= 4 * n_b and 3 * n_b <= 4 * n_a and 14 * least(size_a, size_b) >= 7 * (size_a + size_b) - (n_a + n_b)"
@@ -452,17 +501,12 @@ def between_clusters(tokens: DataFrame, sets: DataFrame, early: int, name: str,
 
     heads = clusters_in_cells(small, place)
     query = ["frame", "class", "n", "size", "cluster", "other"]
-    asked = fitting(askable(large, heads, place), heads, place).where("cluster <> other").groupBy(*query).agg(F.min(F.expr("7 * size - n + need")).alias("needed"))
-    asked = stored(asked, f"ngram-asked-{name}")
+    asked = fitting(askable(large, heads, place), heads, place).where("cluster <> other").groupBy(*query)
+    asked = stored(asked.agg(F.min(F.expr("7 * size - n + need")).alias("needed"), F.count("*").alias("cells")).withColumns({"group": F.col("cluster"), "other_group": F.col("other")}), f"ngram-asked-{name}")
     found = []
-    if links is None:  # clusters of which the first pair that comes into question is a link need no more
-        asking = asked.withColumn("joined", F.array_sort(F.array("cluster", "other")))
-        some, rest = with_roots(asking, one_each(asking), sets, name)
-        found.append(some)
-        release(asked)
-        asked = rest
-    union = matrix.select(*place, F.col("cluster").alias("other")).distinct()
-    bound = asked.join(matrix.select("class", "token"), "class").join(union, [*place, "other"]).groupBy(*query, "needed").agg(F.count("*").alias("both"))
+    if links is None:  # clusters that links with roots connect, directly or over others, need no more
+        found, asked = contracted(asked, sets, name)
+    bound = bounded(asked.drop("cells"), matrix, place)
     opened = stored(bound.where(f"{early} * both >= {early} * size - n and 14 * both >= needed").drop("both", "needed"), f"ngram-opened-{name}")
     release(asked)
     if opened.isEmpty():
@@ -472,7 +516,7 @@ def between_clusters(tokens: DataFrame, sets: DataFrame, early: int, name: str,
     classes = matrix.select("class", "n", "size", "cluster").distinct()
     if links is None:
         members, within = classes.withColumn("other", F.col("cluster")), small.withColumn("other", F.col("cluster"))
-        rest = opened.select("class", "n", "size", "other", F.col("cluster").alias("group"), F.col("other").alias("other_group"))
+        rest = opened.select("class", "n", "size", "other", "group", "other_group")
     else:
         groups = components(links).select(F.col("node").alias("class"), F.col("component").alias("root"))
         parts = stored(parts_of(classes, groups), f"ngram-parts-{name}")

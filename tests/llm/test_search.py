@@ -237,3 +237,35 @@ def test_members_of_a_cluster_are_tried_in_rounds(spark, monkeypatch):
     parts = rows(components.components(links))
     assert len(parts) == len(tokens) and len({bytes(x["component"]) for x in parts}) == 1
     assert seen[0] <= 25 * n
+
+
+def test_groups_linked_over_others_are_not_all_compared(spark, monkeypatch):
+    """n classes, each linked with all others but only similar to the one pivot that their buckets name."""
+    n, seen, unions, plain, bound = 60, [0], [0], ngram.compared, ngram.bounded
+    base = list(range(400))
+    tokens = {"root": set(base)} | {f"s{k}": set(base[:250]) | set(range(1000, 1100)) | {5000 + 20 * k + j for j in range(10)} for k in range(n)}
+
+    def counting(pairs, sets):
+        kept = ngram.stored(pairs.select("a", "b"), "counted")
+        seen[0] += kept.count()
+        return plain(kept, sets)
+
+    def counting_unions(asked, matrix, place):
+        unions[0] += asked.count()
+        return bound(asked, matrix, place)
+
+    monkeypatch.setattr(ngram, "compared", counting)
+    monkeypatch.setattr(ngram, "bounded", counting_unions)
+    links = ngram.links_of(made_sets(spark, tokens, dict.fromkeys(tokens, 1), {"root": 1.0}))
+    parts = rows(components.components(links))
+    assert len(parts) == n and len({bytes(x["component"]) for x in parts}) == 1
+    assert seen[0] <= 6 * n and unions[0] <= n
+
+
+def test_overlaps_with_unions_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "UNION_TOKENS", 8)
+    matrix = [(b"f", t, c, k) for c, k, own in ((b"a", b"a", range(30)), (b"b", b"b", range(10, 40)), (b"c", b"b", range(20, 60)), (b"d", b"d", range(100, 103))) for t in own]
+    matrix = spark.createDataFrame([(bytearray(f), t, bytearray(c), bytearray(k)) for f, t, c, k in matrix], "frame binary, token long, class binary, cluster binary")
+    asked = spark.createDataFrame([(bytearray(b"f"), bytearray(c), bytearray(o)) for c, o in ((b"a", b"b"), (b"b", b"a"), (b"c", b"a"), (b"d", b"b"))], "frame binary, class binary, other binary")
+    found = {(bytes(x["class"]), bytes(x["other"])): x["both"] for x in rows(ngram.bounded(asked, matrix, ["frame", "token"]))}
+    assert found == {(b"a", b"b"): 20, (b"b", b"a"): 20, (b"c", b"a"): 10, (b"d", b"b"): 0}

@@ -304,36 +304,35 @@ def aligned(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     whose token bytes differ from a space and the text (U+2581 is one such) have no tokens: zeros, and an empty text for the digest. Rows are counted one by one,
     also repeated ones and those without a key; columns besides key and text are left out. An empty table gives none.
     """
-    made = stored(blocks(df, a_path, b_path, key, text), "align-blocks")
+    made = stored(blocks(df, a_path, b_path, key, text), "align-blocks", large_rows=True)
     totals = stored(pair_totals(made), "align-pairs")
     rows = totals.agg(F.sum("in_blocks")).first()[0] or 0  # one number
     hot = totals.where(F.col("in_blocks") * 1000 > rows).select("pair", "total", "best")  # 1,000 rows at most
     own = made.select("block", F.explode("pair").alias("pair"))
     common = own.join(F.broadcast(hot), "pair")
     others = own.join(F.broadcast(hot.select("pair")), "pair", "left_anti").join(totals.select("pair", "total", "best"), "pair")
-    told = common.unionByName(others).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pair", "total", "best"))).alias("told"))
-    slim = made.drop("pair", "documents").join(told.select("block", F.col("told.total").alias("total"), F.col("told.best").alias("best")), "block", "left")
     kind = df.schema[key].dataType
     out = T.StructType([T.StructField(key, kind), *[T.StructField(n, T.LongType()) for n in (*COUNTS, "n_best", "count_sum")], T.StructField("groups_sha256", T.StringType())])
 
-    def summed(batches):
+    def summed(block, told):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(j)[k] for j, n in enumerate(batch.schema.names)}
-                chunks, chunk, repeated, pairs_of, pair_at, times = (np.frombuffer(row[n].as_py(), "<u4").astype(np.int64) for n in PACKED)
-                total, best = (np.array(row[n].as_py() or [], np.int64) for n in ("total", "best"))
-                of, doc = np.repeat(np.arange(len(pairs_of)), pairs_of), np.repeat(np.arange(len(chunks)), chunks)
-
-                def sums(weight):
-                    by_chunk = np.zeros(len(pairs_of), np.int64)
-                    np.add.at(by_chunk, of, times * weight[pair_at])
-                    by_doc = np.zeros(len(chunks), np.int64)
-                    np.add.at(by_doc, doc, repeated * by_chunk[chunk])
-                    return pa.array(by_doc)
-
-                yield pa.RecordBatch.from_arrays([row["key"].values, *[row[n].values for n in COUNTS], sums(best), sums(total), row["digest"].values], names=out.names)
-
-    return slim.mapInArrow(summed, out)
+        row = {n: block.column(n)[0] for n in block.schema.names}
+        chunks, chunk, repeated, pairs_of, pair_at, times = (np.frombuffer(row[n].as_py(), "<u4").astype(np.int64) for n in PACKED)
+        place = np.argsort(told.column("pair").to_numpy())  # a block names its pairs by their places in rising order
+        of, doc = np.repeat(np.arange(len(pairs_of)), pairs_of), np.repeat(np.arange(len(chunks)), chunks)
+
+        def sums(name):
+            weight = told.column(name).to_numpy().astype(np.int64)[place]
+            by_chunk = np.zeros(len(pairs_of), np.int64)
+            np.add.at(by_chunk, of, times * weight[pair_at])
+            by_doc = np.zeros(len(chunks), np.int64)
+            np.add.at(by_doc, doc, repeated * by_chunk[chunk])
+            return pa.array(by_doc)
+
+        return pa.Table.from_arrays([row["key"].values, *[row[n].values for n in COUNTS], sums("best"), sums("total"), row["digest"].values], names=out.names)
+
+    # a block and its pairs at a time: a block has some MB, so neither a task's blocks nor lists of their pairs are ever held together
+    told = common.unionByName(others).withColumnRenamed("block", "of")
+    return made.drop("pair", "documents").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(summed, out)

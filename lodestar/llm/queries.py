@@ -34,7 +34,7 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Pages written as ARC archives, converted to WARC archives, and read back."""
     when = F.date_format(F.timestamp_seconds(946684800 + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(700_000_000))), "yyyyMMddHHmmss")
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", when.alias("date"), "html")
-    arc = stored(warc.write_arc(pages), "warc-arc")
+    arc = stored(warc.write_arc(pages), "warc-arc", large_rows=True)
     return warc.read_warc(warc.convert(arc))
 
 

@@ -92,7 +92,7 @@ def index(df: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (ids, pa.array(vocabulary, pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*lists, *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=schema.names)
 
-    return Index(stored(slim.mapInArrow(shards, schema), "search-index"), key, documents, terms)
+    return Index(stored(slim.mapInArrow(shards, schema), "search-index", large_rows=True), key, documents, terms)
 
 
 def query_blocks(queries: DataFrame, query_key: str, text: str, most: int = BLOCK_BYTES) -> list[DataFrame]:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Python functions work on about so many characters or bytes of text at a time, whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
+#: Large rows of a stored table that a task holds before it writes them, and that it reads at a time.
+LARGE_ROWS = 2
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,10 +39,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: later steps don't compute them twice, and a lost executor costs no more than a reread."""
+def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: later steps don't compute them twice, and a lost executor costs no more than a reread.
+
+    `large_rows`: rows have some MB each. A writer holds, and a reader takes together, a row group's rows (up to 4,096), whose size is looked at after a hundred rows and
+    counts what is compressed; so row groups have a few rows.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if large_rows:
+        writer = writer.option("parquet.block.row.count.limit", LARGE_ROWS)
+    writer.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table

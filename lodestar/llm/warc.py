@@ -211,7 +211,7 @@ def convert(archives: DataFrame) -> DataFrame:
                 members = [warc_record(fields, body, record_id(name, k), known.get(k)) for k, (fields, body) in enumerate(arc_records(content))]
                 yield _batch(ARC_SCHEMA, [(name.removesuffix(".arc") + ".warc.gz", b"".join(members))])
 
-    made = stored(archives.join(later, "name", "left").select("name", "content", "refers").mapInArrow(converted, ARC_SCHEMA), "warc-archives")
+    made = stored(archives.join(later, "name", "left").select("name", "content", "refers").mapInArrow(converted, ARC_SCHEMA), "warc-archives", large_rows=True)
     release(listed, first)
     return made
 

@@ -133,3 +133,13 @@ def test_the_query(spark, whole):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert found(queries.op11_alignment(spark, folder)) == expected(whole, rows)
+
+
+def test_blocks_are_stored_and_summed_one_at_a_time(spark, whole, monkeypatch):
+    """A task with many blocks holds neither their rows nor lists of their pairs together."""
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 100)
+    rows = [(k, prose(k % 7, 8) if k % 5 else None) for k in range(60)]
+    made = alignment.aligned(table(spark, rows).coalesce(1), *PATHS)
+    assert found(made) == expected(whole, rows)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan

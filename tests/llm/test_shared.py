@@ -29,6 +29,18 @@ def test_stored_tables_can_be_released(spark):
     assert not os.path.exists(table.stored_at.removeprefix("file://"))
 
 
+def test_large_rows_are_stored_a_few_at_a_time(spark):
+    """A reader takes a row group's rows together."""
+    import pyarrow.parquet as pq
+
+    large = spark.range(60).repartition(1).selectExpr("id", "cast(repeat(uuid(), 60000) AS binary) AS content")  # 2 MB a row
+    table = shared.stored(large, "large", large_rows=True)
+    folder = table.stored_at.removeprefix("file://")
+    groups = [part.metadata.row_group(k).num_rows for part in (pq.ParquetFile(f"{folder}/{f}") for f in os.listdir(folder) if f.endswith(".parquet")) for k in range(part.num_row_groups)]
+    assert sum(groups) == 60 and max(groups) <= shared.LARGE_ROWS
+    assert table.agg({"id": "sum"}).first()[0] == 1770
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, *_):

@@ -216,6 +216,34 @@ def test_keys_of_many_rows_on_both_sides_are_dealt_to_many_tasks(spark, monkeypa
     assert many[1].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 4000
 
 
+def _dealt(plan):
+    """Rows that the repartitions of an executed plan have written."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _dealt(plan.executedPlan())
+    if "QueryStage" in name:
+        return _dealt(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" and "REPARTITION" in plan.toString().split("\n")[0] else 0
+    return own + sum(_dealt(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_rows_of_many_pairs_are_copied_a_few_times_only(spark, monkeypatch):
+    """What is shuffled grows with the rows of a key, not with its pairs."""
+    from lodestar.operators import enrich
+
+    monkeypatch.setattr(enrich, "TASK_PAIRS", 20)
+    for n, m in ((600, 40), (40, 600), (200, 200)):
+        left, right = spark.range(n).selectExpr("1 AS k", "id AS v"), spark.range(m).selectExpr("1 AS k", "id AS w")
+        made = enrich.enriched(left, right, "k", many=True)
+        found = made.collect()
+        assert len(found) == n * m == len(set(found))
+        dealt = _dealt(made._jdf.queryExecution().executedPlan())
+        assert 0 < dealt <= 1.5 * enrich.COPIES * (n + m)
+    monkeypatch.setattr(enrich, "HELD_ROWS", 60)
+    made = enrich.enriched(left, right, "k", many=True)
+    assert len(set(made.collect())) == 40_000 and made.groupBy(F.spark_partition_id()).count().count() >= 4
+
+
 def test_prompts_are_answered_in_slices(monkeypatch):
     import pyarrow as pa
 
